@@ -16,6 +16,7 @@ ignored by ``leaks`` and kept by ``drop_leaks``.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
@@ -24,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_rows, ship, texts
+from .runtime import map_rows, once, ship, texts
 
 LEAST, COVERAGE = 4, 0.5
 #: Tokens of benchmark items in one block.
@@ -198,14 +199,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
 
 
 def _leaked(sent: Broadcast, least: int, coverage: float) -> Callable:
-    holder: list[Items] = []  # filled in the task
+    key = f"items {uuid.uuid4()}"
 
     def leaked(text):
         import pandas as pd
 
-        if not holder:
-            holder.append(Items(sent.value, least, coverage))
-        return pd.Series([next(holder[0].leaks(t or ""), None) is not None for t in text], dtype="bool")
+        items = once(key, lambda: Items(sent.value, least, coverage))
+        return pd.Series([next(items.leaks(t or ""), None) is not None for t in text], dtype="bool")
 
     return F.pandas_udf(leaked, "boolean")
 

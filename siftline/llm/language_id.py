@@ -21,6 +21,7 @@ training rows every text is ``und``. Other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import durable, map_rows, texts
+from .runtime import durable, map_rows, once, texts
 from .toxicity import held_out
 
 BUCKETS, GRAMS = 1 << 16, (1, 2, 3, 4)
@@ -243,9 +244,10 @@ class Labeller:
 
 def identify(docs: DataFrame, model: Model, folds: int = 3, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
+    key = f"language {uuid.uuid4()}"
 
     def make() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
-        labeller = Labeller(model)
+        labeller = once(key, lambda: Labeller(model))
 
         def rows(source: Iterator[tuple]) -> Iterator[tuple]:
             batch: list[tuple] = []

@@ -25,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .runtime import map_rows, texts
+from .runtime import map_rows, once, texts
 
 BASE = ("email", "ip", "card", "phone")
 ENTITIES = ("crf_phone", "crf_id", "crf_name")
@@ -283,7 +283,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     model = field()
 
     def make() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
-        finder = Finder(model)
+        finder = once("personal data", lambda: Finder(model))
 
         def done(batch: list[tuple]) -> Iterator[tuple]:
             for (doc_id, text), more in zip(batch, finder([t for _, t in batch]), strict=True):

@@ -99,6 +99,18 @@ _ARROW = {
 }
 
 
+_kept: dict[str, object] = {}
+
+
+def once(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in each Python worker; the last few keys stay."""
+    if key not in _kept:
+        while len(_kept) >= 2:
+            _kept.pop(next(iter(_kept)))
+        _kept[key] = make()
+    return _kept[key]
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null: empty), under fixed names, whatever else the table holds."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

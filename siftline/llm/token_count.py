@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 
-from .runtime import map_rows, texts
+from .runtime import map_rows, once, texts
 
 MARK = "▁"
 LIMIT = 4096
@@ -80,7 +80,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: st
     """doc_id, n_bytes, n_tokens, over_limit for every row. ``tokenizer``: the file's place."""
 
     def make() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
-        count = counter(tokenizer)
+        count = once(f"count {tokenizer}", lambda: counter(tokenizer))
 
         def rows(source: Iterator[tuple]) -> Iterator[tuple]:
             for doc_id, text in source:

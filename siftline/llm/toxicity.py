@@ -20,6 +20,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import durable, map_rows, texts
+from .runtime import durable, map_rows, once, ship, texts
 
 SIZES = (4, 5, 6)
 MAX_ROWS, MAX_FEATURES, LEAST_Z, LEAST_TEXTS = 8000, 4000, 4.0, 4
@@ -150,9 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
 def score(docs: DataFrame, model: tuple[dict[str, int], np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     index, w, b = model
+    key = f"toxicity {uuid.uuid4()}"
 
     def make() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
-        features, weight = Features(index), w.tolist()
+        features, weight = once(key, lambda: Features(index)), w.tolist()
 
         def rows(source: Iterator[tuple]) -> Iterator[tuple]:
             for doc_id, out, text in source:
@@ -169,19 +171,14 @@ def score(docs: DataFrame, model: tuple[dict[str, int], np.ndarray, float], id_c
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` scored under 0.5, with all their columns; one pass, no join."""
     index, w, b = train(docs, labels, id_col=id_col, text_col=text_col)
-    from pyspark.sql.types import DoubleType
-
-    from .runtime import ship
-
     ship(docs.sparkSession)
-    holder: list[Features] = []
+    key = f"toxicity {uuid.uuid4()}"
 
-    @F.pandas_udf(DoubleType())
+    @F.pandas_udf("double")
     def scored(text):
         import pandas as pd
 
-        if not holder:
-            holder.append(Features(index))
-        return pd.Series([b + sum(w[i] for i in sorted(holder[0](t or ""))) for t in text], dtype="float64")
+        features = once(key, lambda: Features(index))
+        return pd.Series([b + sum(w[i] for i in sorted(features(t or ""))) for t in text], dtype="float64")
 
     return docs.filter(scored(F.col(text_col)) < 0)
