@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_rows, ship, texts
+from .runtime import map_rows, once, texts
 
 CAPACITY = 4096
 END_ID = 2
@@ -178,10 +178,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     sequence_id: the task's number in the upper bits, so that ids are unique without a shuffle.
     ``tokenizer``: the file's place.
     """
-    ship(docs.sparkSession)
 
     def make() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
-        encode = Encoder(tokenizer)
+        encode = once(f"encode {tokenizer}", lambda: Encoder(tokenizer))
 
         def rows(source: Iterator[tuple]) -> Iterator[tuple]:
             for first in source:
