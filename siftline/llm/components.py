@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from .runtime import durable
 
 ROUNDS = 60
+#: Links for each task: rounds over few links don't need many tasks and files.
+TASK_LINKS = 50_000
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, tasks: int) -> DataFrame:
     """links: u, v with u > v, each once."""
     if large:
         ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,8 +28,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         least = links.groupBy("u").agg(F.min("v").alias("m"))
         out = links.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    out = out.filter("a != b")
-    return out.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    out = out.filter("a != b").coalesce(tasks)
+    return out.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().coalesce(tasks)
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -36,7 +38,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(links)
     for _ in range(ROUNDS if before[0] else 0):
-        links = durable(_star(_star(links, True), False))
+        tasks = before[0] // TASK_LINKS + 1
+        links = durable(_star(_star(links.coalesce(tasks), True, tasks), False, tasks))
         now = mark(links)
         if now == before:
             break
