@@ -38,7 +38,7 @@ BUCKETS, GRAMS = 1 << 16, (1, 2, 3, 4)
 MAX_ROWS, SWITCH, SMOOTH = 6000, 12.0, 0.5
 #: A script belongs to a language that has at least this share of its letters in it.
 SCRIPT_SHARE = 0.01
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 

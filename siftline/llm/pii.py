@@ -214,7 +214,7 @@ class Finder:
         found = list(map(self.known.get, tokens))
         if None in found:
             new = {t for t, i in zip(tokens, found, strict=True) if i is None}
-            if len(self.known) + len(new) > 500_000:
+            if len(self.known) + len(new) > 250_000:
                 self.known.clear()
                 new = set(tokens)
             self.known.update((t, self.shapes.get(shape(t), 0)) for t in new)

@@ -103,10 +103,9 @@ _kept: dict[str, object] = {}
 
 
 def once(key: str, make: Callable[[], object]) -> object:
-    """What ``make`` gives, made once in each Python worker; the last few keys stay."""
+    """What ``make`` gives, made once in each Python worker; only the last key stays."""
     if key not in _kept:
-        while len(_kept) >= 2:
-            _kept.pop(next(iter(_kept)))
+        _kept.clear()
         _kept[key] = make()
     return _kept[key]
 

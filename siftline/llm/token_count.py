@@ -24,7 +24,7 @@ from .runtime import map_rows, once, texts
 MARK = "▁"
 LIMIT = 4096
 #: Merged pre-tokens that a task remembers; the table is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class Vocabulary:

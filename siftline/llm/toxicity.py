@@ -33,7 +33,7 @@ from .runtime import durable, map_rows, once, ship, texts
 SIZES = (4, 5, 6)
 MAX_ROWS, MAX_FEATURES, LEAST_Z, LEAST_TEXTS = 8000, 4000, 4.0, 4
 RIDGE, STEPS = 1e-3, 150
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
