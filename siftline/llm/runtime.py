@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import tempfile
 import zipfile
@@ -35,6 +36,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that nothing refers to any more.
+
+    Spark deletes them when the driver's garbage is collected, which may take long where the driver
+    has little to do; between two large shuffles it is asked for.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _shipped: set[str] = set()
 
 
