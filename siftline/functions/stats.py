@@ -44,23 +44,48 @@ def holm(df: DataFrame, p: str, alpha: float = 0.05, order: str = "id") -> DataF
     return steps.withColumn("_ok", ok).withColumn("significant", F.every("_ok").over(Window.orderBy("_i"))).drop("_i", "_m", "_ok")
 
 
-def bootstrap(df: DataFrame, group: str, diff: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
-    """group, n, mean, low, high, p of paired differences. A group's vector is one task's."""
+def bootstrap(df: DataFrame, group: str, diff: str, draws: int = 10_000, seed: int = 0, scale: float = 1.0) -> DataFrame:
+    """group, n, mean, low, high, p of paired differences, times ``scale``; 0, 0, 0 and 1 for none.
+
+    Differences are counted before they meet: a task gets a group's distinct values and their counts,
+    and a resample is a multinomial draw of counts. Differences of 0/1 outcomes have three values.
+    """
+    columns = ["g", "n", "mean", "low", "high", "p"]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        d = rows["d"].sort_values().to_numpy(float)
-        if not len(d):
-            return pd.DataFrame([(*key, 0, 0.0, 0.0, 0.0, 1.0)], columns=["g", "n", "mean", "low", "high", "p"])
+        rows = rows.dropna(subset=["d"]).sort_values("d")
+        d, counts = rows["d"].to_numpy(float), rows["n"].to_numpy(np.int64)
+        n = int(counts.sum())
+        if not n:
+            return pd.DataFrame([(*key, 0, 0.0, 0.0, 0.0, 1.0)], columns=columns)
         rng = np.random.default_rng(random.Random(seed).getrandbits(64))
-        means = np.sort([d[rng.integers(0, len(d), len(d))].mean() for _ in range(draws)])
+        step = max(1, 4_000_000 // len(d))
+        parts = [rng.multinomial(n, counts / n, min(step, draws - i)) @ d / n for i in range(0, draws, step)]
+        means = np.sort(np.concatenate(parts))
         p = max(min(2 * min((means >= 0).mean(), (means <= 0).mean()), 1.0), 1 / draws)
-        return pd.DataFrame([(*key, len(d), d.mean(), means[int(0.025 * draws)], means[int(0.975 * draws)], p)], columns=["g", "n", "mean", "low", "high", "p"])
+        return pd.DataFrame([(*key, n, scale * (counts @ d) / n, scale * means[int(0.025 * draws)], scale * means[int(0.975 * draws)], p)], columns=columns)
 
-    rows = df.select(F.col(group).cast("string").alias("g"), F.col(diff).cast("double").alias("d"))
+    rows = df.select(F.col(group).cast("string").alias("g"), F.col(diff).cast("double").alias("d")).groupBy("g", "d").agg(F.count("d").alias("n"))
     return rows.groupBy("g").applyInPandas(run, "g string, n long, mean double, low double, high double, p double").withColumnRenamed("g", group)
 
 
+def delta_family(outcomes: DataFrame, pairs: list[tuple[str, str]], metrics: list[str]) -> DataFrame:
+    """family, diff: a row for each query, pair of arms and metric, overall and by type.
+
+    outcomes: config, qid, type, arm and the metrics as 0/1 or doubles. Queries that lack an arm are
+    left out of that arm's pairs. ``bootstrap`` and ``holm`` over family give the family of tests.
+    """
+    arms = sorted({a for p in pairs for a in p})
+    firsts = [F.first(m).cast("double").alias(m) for m in metrics]
+    wide = outcomes.groupBy("config", "qid", "type").pivot("arm", arms).agg(*firsts)
+    at = lambda arm, m: F.col(f"{arm}_{m}" if len(metrics) > 1 else arm)
+    rows = F.array(*(F.struct(F.lit(f"{a}-{b}").alias("pair"), F.lit(m).alias("metric"), (at(a, m) - at(b, m)).alias("diff")) for a, b in pairs for m in metrics))
+    long = wide.select("config", "type", F.explode(rows).alias("x"))
+    long = long.select("config", F.explode(F.array(F.lit("all"), F.col("type"))).alias("stratum"), "x.pair", "x.metric", "x.diff").filter("diff IS NOT NULL")
+    return long.select(F.concat_ws("/", "config", "stratum", "pair", "metric").alias("family"), "diff")
+
+
 def geometric_mean(ratio: Column) -> Column:
     return F.exp(F.avg(F.ln(ratio)))

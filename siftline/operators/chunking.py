@@ -50,3 +50,20 @@ def slide(docs: DataFrame, doc: str, text: str, size: int, overlap: int, least:
     last = F.greatest(F.length(text) - overlap, F.lit(1)) - 1
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.explode(F.sequence(F.lit(0), last, F.lit(size - overlap))).alias("start"))
     return rows.select("doc", "start", F.col("text").substr(F.col("start") + 1, F.lit(size)).alias("chunk")).filter(F.length("chunk") >= least)
+
+
+def severed(pairs: DataFrame, docs: DataFrame, doc: str, text: str, sizes: list[tuple[str, int, int]], least: int = 200) -> DataFrame:
+    """label, spans, severed, pct: facts that no chunk holds whole, for each (label, size, overlap).
+
+    pairs: doc, fact. Only texts that a pair names are cut, inside the row that tests them.
+    """
+    rows = pairs.join(docs.select(F.col(doc).alias("doc"), F.col(text).alias("t")), "doc")
+
+    def whole(size: int, overlap: int) -> Column:
+        last = F.greatest(F.length("t") - overlap, F.lit(1)) - 1
+        at = lambda i: F.col("t").substr(i + 1, F.lit(size))
+        return F.exists(F.sequence(F.lit(0), last, F.lit(size - overlap)), lambda i: (F.length(at(i)) >= least) & at(i).contains(F.col("fact")))
+
+    cases = F.array(*(F.struct(F.lit(name).alias("label"), whole(size, overlap).alias("whole")) for name, size, overlap in sizes))
+    out = rows.select(F.explode(cases).alias("x")).groupBy("x.label").agg(F.count("*").alias("spans"), F.sum((~F.col("x.whole")).cast("long")).alias("severed"))
+    return out.withColumn("pct", F.round(F.try_divide(100.0 * F.col("severed"), F.col("spans")), 2))

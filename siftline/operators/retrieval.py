@@ -61,7 +61,17 @@ def unit(v: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, vid: str = "vec_id", vec: str = "embedding", block: int = 4096) -> DataFrame:
-    """Exact top k by dot product: qid, doc, score, rank.
+    """Exact top k by dot product: qid, doc, score, rank."""
+    return top(_products(vectors, queries, k, None, vid, vec, block), k)
+
+
+def above(vectors: DataFrame, queries: DataFrame, least: float, vid: str = "vec_id", vec: str = "embedding", block: int = 4096) -> DataFrame:
+    """All pairs whose dot product is at least ``least``: qid, doc, score."""
+    return _products(vectors, queries, None, least, vid, vec, block)
+
+
+def _products(vectors: DataFrame, queries: DataFrame, k: int | None, least: float | None, vid: str, vec: str, block: int) -> DataFrame:
+    """qid, doc, score of each partition's k best, or of all products that reach ``least``.
 
     Queries, a stated set, are taken in blocks; each block meets every partition of vectors in one
     matrix product, and a partition hands on its k best for each query only.
@@ -80,6 +90,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vid: str = "vec_id",
                     continue
                 docs = rows["doc"].to_numpy()
                 scores = np.round(q @ np.stack(rows["v"].to_numpy()).astype(float).T, 12)
+                if k is None:
+                    a, b = np.nonzero(scores >= least)
+                    yield pd.DataFrame({"qid": ids[a], "doc": docs[b], "score": scores[a, b]})
+                    continue
                 best = np.lexsort((np.broadcast_to(docs, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
                 yield pd.DataFrame({"qid": np.repeat(ids, best.shape[1]), "doc": docs[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
 
@@ -91,7 +105,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vid: str = "vec_id",
             out, part = against(part) if out is None else out.unionAll(against(part)), []
     if part:
         out = against(part) if out is None else out.unionAll(against(part))
-    return top(out if out is not None else spark.createDataFrame([], "qid long, doc long, score double"), k)
+    return out if out is not None else spark.createDataFrame([], "qid long, doc long, score double")
 
 
 def first_documents(ranked: DataFrame, of: str) -> DataFrame:
@@ -115,6 +129,14 @@ def metrics(queries: DataFrame, gold: DataFrame, ranked: DataFrame, k: int) -> D
     return queries.select("qid").join(per, "qid")
 
 
+def graded(gold: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
+    """qid, recall, ndcg at k for every query with gold; all gold counts alike."""
+    hit = gold.join(ranked.filter(F.col("rank") <= k).select("qid", "doc", "rank"), ["qid", "doc"], "left")
+    gain = 1 / F.log2(F.col("rank") + 1.0)
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.count("*"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
+    return hit.groupBy("qid").agg((F.count("rank") / F.count("*")).alias("recall"), (F.coalesce(F.sum(gain), F.lit(0.0)) / ideal).alias("ndcg"))
+
+
 def containing(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, part: str, tokens) -> DataFrame:
     """qid, doc: items whose text occurs in a document verbatim.
 

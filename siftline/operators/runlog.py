@@ -40,6 +40,44 @@ def systematic(rows: DataFrame, want: int, strata: list[str], order: str) -> Dat
     return rows.filter((F.col("_p") % F.col("_s") == 0) & (F.floor(F.col("_p") / F.col("_s")) < want)).drop("_p", "_s")
 
 
+def proportional(rows: DataFrame, want: int, stratum: str, order: str) -> DataFrame:
+    """About ``want`` rows, each stratum's share of them, one at least, evenly spaced; the first ``want`` in order."""
+    sizes = rows.groupBy(stratum).agg(F.count("*").alias("_n"))  # a row for each stratum
+    total = rows.agg(F.count("*").alias("_all"))
+    share = F.greatest(F.bround(want * F.col("_n") / F.col("_all")), F.lit(1)).cast("long")
+    sizes = sizes.crossJoin(F.broadcast(total)).withColumn("_w", share).withColumn("_s", F.greatest(F.floor(F.col("_n") / F.col("_w")), F.lit(1)))
+    at = rows.withColumn("_p", F.row_number().over(Window.partitionBy(stratum).orderBy(order)) - 1).join(sizes, stratum)
+    taken = at.filter((F.col("_p") % F.col("_s") == 0) & (F.floor(F.col("_p") / F.col("_s")) < F.col("_w")))
+    return taken.select(*rows.columns).orderBy(order).limit(want)
+
+
+def strided(rows: DataFrame, score: str, order: str, want: int, cells: int = 10_000) -> DataFrame:
+    """Every step-th row in the order of a score between 0 and 1, ``want`` at most.
+
+    Rows are ranked inside cells of the score and cells are added up, so that no task ranks all rows.
+    """
+    own = rows.withColumn("_c", F.least(F.floor(F.col(score) * cells), F.lit(cells - 1)))
+    before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
+    sizes = own.groupBy("_c").agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
+    at = own.withColumn("_i", F.row_number().over(Window.partitionBy("_c").orderBy(score, order)) - 1).join(sizes, "_c")
+    at = at.withColumn("_p", F.col("_b") + F.col("_i")).withColumn("_s", F.greatest(F.floor(F.col("_all") / want), F.lit(1)))
+    return at.filter((F.col("_p") % F.col("_s") == 0) & (F.floor(F.col("_p") / F.col("_s")) < want)).select(*rows.columns)
+
+
+def fates(base_abstained: Column, abstained: Column, contained: Column) -> list[Column]:
+    """recovered, exposed, still_abstains: what became of the base arm's abstentions."""
+    n = lambda c: F.sum((base_abstained & c).cast("long"))
+    return [n(~abstained & contained).alias("recovered"), n(~abstained & ~contained).alias("exposed"), n(abstained).alias("still_abstains")]
+
+
+def completeness(log: DataFrame, expected: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``by``, expected, found, missing: expected keys with and without a row."""
+    have = log.select(*keys).distinct().withColumn("_f", F.lit(1))
+    rows = expected.select(*keys).distinct().join(have, keys, "left")
+    return rows.groupBy(by).agg(F.count("*").alias("expected"), F.count("_f").alias("found"), (F.count("*") - F.count("_f")).alias("missing"))
+
+
 def discordance(a: Column, b: Column) -> list[Column]:
     """n, b, c, delta_pp of paired outcomes."""
     only = lambda x, y: F.sum((x & ~y).cast("long"))
