@@ -141,9 +141,11 @@ def containing(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str
     """qid, doc: items whose text occurs in a document verbatim.
 
     An inner token of the item, the longest, must be a token of the document: an equi-join finds
-    candidates, the substring test decides. Items of under three tokens have no inner one and are left out.
+    candidates, the substring test decides. Items of under three tokens have no inner one; they, a
+    stated query set, are tried on every document. Empty and null items are in none.
     """
-    own = items.select(F.col(item).alias("qid"), F.col(part).alias("part"), tokens(F.col(part)).alias("t")).filter(F.size("t") > 2)
+    own = items.select(F.col(item).alias("qid"), F.col(part).alias("part"), tokens(F.col(part)).alias("t")).filter(F.length("part") > 0)
+    short, own = own.filter(F.size("t") < 3).select("qid", "part"), own.filter(F.size("t") > 2)
     inner = F.expr("slice(t, 2, size(t) - 2)")
     longest = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
     own = own.select("qid", "part", longest.alias("term"))
@@ -151,4 +153,5 @@ def containing(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str
     seen = docs.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).join(wanted, "term")
     pairs = seen.join(own, "term").select("qid", "doc", "part")
     texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    return pairs.join(texts, "doc").filter(F.col("text").contains(F.col("part"))).select("qid", "doc")
+    found = pairs.join(texts, "doc").filter(F.col("text").contains(F.col("part"))).select("qid", "doc")
+    return found.unionAll(texts.join(short, F.col("text").contains(F.col("part"))).select("qid", "doc"))

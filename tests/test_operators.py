@@ -29,6 +29,13 @@ def test_bm25_as_brute_force(spark):
             assert got.get((a, i), 0.0) == pytest.approx(s)
 
 
+def test_items_found_verbatim(spark):
+    docs = spark.createDataFrame([(1, "One two three four"), (2, "xone two three"), (3, None), (4, "")], "id long, text string")
+    items = spark.createDataFrame([(1, "ne two thr"), (2, "two"), (3, ""), (4, None), (5, "two four five"), (6, "ne two")], "item long, part string")
+    got = {tuple(r) for r in retrieval.containing(docs, "id", "text", items, "item", "part", tx.unicode_tokens).collect()}
+    assert got == {(1, 1), (1, 2), (2, 1), (2, 2), (6, 1), (6, 2)}
+
+
 def test_metrics_of_empty_and_partial_lists(spark):
     gold = spark.createDataFrame([(1, 10), (1, 11), (2, 20)], "qid long, doc long")
     ranked = spark.createDataFrame([(1, 11, 2), (1, 10, 1), (1, 5, 3)], "qid long, doc long, rank int")
