@@ -94,3 +94,9 @@ def contains_any(text: Column, golds: Column) -> Column:
 
 def occurrences(text: Column, part: Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("long")
+
+
+def ablated(prompt: Column, sentence: str) -> Column:
+    """The prompt without a sentence; a prompt that doesn't hold it fails the query."""
+    gone = F.replace(prompt, F.lit(sentence), F.lit(""))
+    return F.when(prompt.contains(sentence), gone).otherwise(F.raise_error(F.lit(f"not in the prompt: {sentence}")))

@@ -22,6 +22,16 @@ def whole_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def write_lines(rows: DataFrame, path: str) -> None:
+    """JSON lines in place of what was there, a file for each partition."""
+    rows.write.mode("overwrite").json(path)
+
+
+def write_document(summary: DataFrame, path: str) -> None:
+    """A (small) summary as one file of JSON, a line for each row."""
+    summary.coalesce(1).select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
 def append_log(rows: DataFrame, path: str, batch: str) -> None:
     """One more batch of a run log; earlier ones stay."""
     rows.withColumn("batch", F.lit(batch)).write.mode("append").json(path)

@@ -108,6 +108,18 @@ def test_sources_and_sinks(spark, tmp_path):
     assert "<td>1</td>" in io.html_report(one("<x>", 1), "t") and "&lt;x&gt;" in io.html_report(one("<x>", 1), "t")
 
 
+def test_written_lines_documents_and_ablation(spark, tmp_path):
+    for v in (1, 2):
+        io.write_lines(spark.range(v), str(tmp_path / "l"))
+    assert spark.read.json(str(tmp_path / "l")).count() == 2
+    io.write_document(spark.createDataFrame([("a", [1, 2])], "k string, v array<int>"), str(tmp_path / "d"))
+    assert spark.read.json(str(tmp_path / "d")).first().v == [1, 2] and len(list((tmp_path / "d").glob("part-*"))) == 1
+    d = spark.createDataFrame([("Answer. Or say so. Now.",)], "p string")
+    assert d.select(tx.ablated(F.col("p"), " Or say so.")).first()[0] == "Answer. Now."
+    with pytest.raises(Exception, match="not in the prompt"):
+        d.select(tx.ablated(F.col("p"), "absent")).collect()
+
+
 def test_streamed_run_log_resumes(spark, tmp_path):
     (tmp_path / "tasks").mkdir()
 
