@@ -83,7 +83,7 @@ def capital_ratio(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Struct array (text, starts_paragraph): paragraphs at blank lines, cut behind . ! ? or a line end."""
-    parts = lambda p: F.filter(F.transform(F.split(p, r"(?<=[.!?])\s+|\n"), F.trim), lambda s: s != "")
+    parts = lambda p: F.filter(F.transform(F.split(p, r"(?<=[.!?])\s+|\n"), lambda s: F.trim(s)), lambda s: s != "")
     one = lambda p: F.transform(parts(p), lambda s, i: F.struct(s.alias("text"), (i == 0).alias("starts_paragraph")))
     return F.flatten(F.transform(F.split(c, "\n\n"), one))
 

@@ -2,47 +2,188 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences, unicode_tokens
+from ..functions.text import clean, sentences, unicode_tokens
 
+#: Share of the room from which a paragraph's start closes a chunk.
+LATE = 0.85
+CHUNKS = "chunk_index int, text string, n_tokens long, char_start int, char_end int, hard_split boolean"
+
+
+def word_count(c: Column) -> Column:
+    return F.size(unicode_tokens(c))
+
+
+def hard_pieces(text: Column, room: Column) -> Column:
+    """The text cut behind every ``room``-th word; nothing is lost but blanks at the cuts."""
+    other, word = r"[^\p{L}\p{N}_]*+", r"[\p{L}\p{N}_]++"
+    pattern = F.concat(F.lit(f"((?:{other}{word}){{1,"), room.cast("string"), F.lit(f"}}+{other})"))
+    return F.transform(F.regexp_extract_all(text, pattern), lambda s: F.trim(s))
+
+
+def offsets(body: Column, first: Column, last: Column) -> tuple[Column, Column]:
+    """Start of the first sentence and end of the last one at or behind it, from 0; -1 where not found."""
+    start = F.position(first, body) - 1
+    end = F.position(last, body, F.greatest(start, F.lit(0)) + 1) - 1
+    return start, F.when(end >= 0, end + F.length(last)).otherwise(F.lit(-1))
 
-def pack(docs: DataFrame, doc: str, title: str, body: str, budget: int) -> DataFrame:
-    """doc, chunk_index, text, n_tokens: sentences packed greedily under the token budget.
 
-    The title is charged to every chunk; a document whose title leaves no room is dropped. A
-    chunk is closed when the next sentence would not fit, or at a paragraph's start once 85 % of
-    the room is used; a sentence longer than the room is cut into chunks of its own. Tokens are
-    words, whose counts add up, so that a joined chunk never outgrows its sentences. One
-    document's sentences are folded in one row, in order.
+def _articles(docs: DataFrame, doc: str, title: str, body: str) -> DataFrame:
+    """doc, title, body, cleaned; articles without a body are none."""
+    text = lambda c: clean(F.coalesce(F.col(c), F.lit("")))
+    return docs.select(F.col(doc).alias("doc"), text(title).alias("title"), text(body).alias("body")).filter("body != ''")
+
+
+def _head(title: Column) -> Column:
+    return F.when(title == "", F.lit("")).otherwise(F.concat(title, F.lit("\n\n")))
+
+
+def pack(docs: DataFrame, doc: str, title: str, body: str, budget: int) -> DataFrame:
+    """doc and CHUNKS: sentences packed greedily under the token budget.
+
+    The title is charged to every chunk; a document whose title leaves no room is dropped (``dropped``
+    counts them). A chunk is closed when the next sentence would not fit, or at a paragraph's start
+    once 85 % of the room is used; a sentence longer than the room is cut into chunks of its own,
+    which have no offsets (-1). Tokens are words, whose counts add up, so that a joined chunk never
+    outgrows its sentences; ``pack_counted`` takes counters that don't. A document is folded in its
+    own row, without a shuffle.
     """
-    count = lambda c: F.size(unicode_tokens(c))
-    rows = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(title), F.lit("")).alias("title"), F.coalesce(F.col(body), F.lit("")).alias("body"))
-    rows = rows.withColumn("room", F.lit(budget) - count(F.col("title"))).filter("room > 0")
+    rows = _articles(docs, doc, title, body)
+    rows = rows.withColumn("head_n", word_count(F.col("title"))).withColumn("room", F.lit(budget) - F.col("head_n")).filter("room > 0")
 
-    def cut(s: Column, room: Column) -> Column:
+    def cut(s: Column) -> Column:
         """The sentence, or its pieces of ``room`` words."""
-        words = F.split(s["text"], " ")
-        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / room).cast("int")), lambda i: F.struct(F.array_join(F.slice(words, i * room + 1, room), " ").alias("text"), (s["starts_paragraph"] & (i == 0)).alias("starts_paragraph")))
-        return F.when(count(s["text"]) > room, pieces).otherwise(F.array(s))
+        whole = F.struct(s["text"].alias("text"), s["starts_paragraph"].alias("p"), word_count(s["text"]).alias("n"), F.lit(False).alias("hard"))
+        pieces = F.transform(hard_pieces(s["text"], F.col("room")), lambda x: F.struct(x.alias("text"), F.lit(False).alias("p"), word_count(x).alias("n"), F.lit(True).alias("hard")))
+        return F.when(word_count(s["text"]) > F.col("room"), pieces).otherwise(F.array(whole))
 
-    units = F.flatten(F.transform(sentences(F.col("body")), lambda s: cut(s, F.col("room"))))
-    rows = rows.withColumn("units", F.transform(units, lambda s: F.struct(s["text"].alias("text"), s["starts_paragraph"].alias("p"), count(s["text"]).alias("n"))))
-    start = F.struct(F.lit(0).alias("used"), F.lit(-1).alias("chunk"), F.array().cast("array<int>").alias("of"))
+    rows = rows.withColumn("units", F.flatten(F.transform(sentences(F.col("body")), cut)))
+    rows = rows.withColumn("units", F.transform("units", lambda s, i: s.withField("i", i)))
+    empty = F.struct(F.lit(0).alias("used"), F.lit(True).alias("closed"), F.array().cast("array<int>").alias("starts"))
 
     def step(state: Column, s: Column) -> Column:
-        full = (state["used"] + s["n"] > F.col("room")) | (s["p"] & (state["used"] >= 0.85 * F.col("room")))
-        fresh = (state["chunk"] < 0) | full
-        chunk = F.when(fresh, state["chunk"] + 1).otherwise(state["chunk"])
-        return F.struct(F.when(fresh, s["n"]).otherwise(state["used"] + s["n"]).alias("used"), chunk.alias("chunk"), F.concat(state["of"], F.array(chunk)).alias("of"))
-
-    placed = rows.withColumn("of", F.aggregate("units", start, step, lambda s: s["of"])).filter(F.size("units") > 0)
-    long = placed.select("doc", "title", F.posexplode(F.arrays_zip("units", "of")).alias("pos", "x"))
-    long = long.select("doc", "title", "pos", F.col("x.of").alias("chunk_index"), F.col("x.units.text").alias("s"), F.col("x.units.n").alias("n"))
-    chunk = long.groupBy("doc", "title", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("ss"), F.sum("n").alias("n"))
-    head = F.when(F.col("title") == "", F.lit("")).otherwise(F.concat("title", F.lit("\n\n")))
-    return chunk.select("doc", "chunk_index", F.concat(head, F.array_join(F.transform("ss", lambda x: x["s"]), " ")).alias("text"), (F.col("n") + count(F.col("title"))).cast("long").alias("n_tokens"))
+        full = (state["used"] + s["n"] > F.col("room")) | (s["p"] & (state["used"] >= LATE * F.col("room")))
+        fresh = state["closed"] | s["hard"] | full
+        used = F.when(fresh, s["n"]).otherwise(state["used"] + s["n"])
+        starts = F.when(fresh, F.concat(state["starts"], F.array(s["i"]))).otherwise(state["starts"])
+        return F.struct(used.alias("used"), s["hard"].alias("closed"), starts.alias("starts"))
+
+    rows = rows.withColumn("starts", F.aggregate("units", empty, step, lambda s: s["starts"]))
+    until = lambda c: F.coalesce(F.try_element_at("starts", c + 2), F.size("units"))
+    parts = F.transform("starts", lambda at, c: F.slice("units", at + 1, until(c) - at))
+    rows = rows.select("doc", "title", "body", "head_n", F.posexplode(parts).alias("chunk_index", "part"))
+    start, end = offsets(F.col("body"), F.col("part")[0]["text"], F.element_at("part", -1)["text"])
+    hard, none = F.col("part")[0]["hard"], F.lit(-1)
+    n = F.aggregate("part", F.lit(0).cast("long"), lambda a, s: a + s["n"]) + F.col("head_n")
+    text = F.concat(_head(F.col("title")), F.array_join(F.transform("part", lambda s: s["text"]), " "))
+    return rows.select("doc", "chunk_index", text.alias("text"), n.alias("n_tokens"), F.when(hard, none).otherwise(start).alias("char_start"), F.when(hard, none).otherwise(end).alias("char_end"), hard.alias("hard_split"))
+
+
+def dropped(docs: DataFrame, doc: str, title: str, body: str, budget: int) -> DataFrame:
+    """articles, dropped: one row; articles with a body, and those whose title leaves no room."""
+    out = (word_count(F.col("title")) >= budget).cast("long")
+    return _articles(docs, doc, title, body).agg(F.count("*").alias("articles"), F.coalesce(F.sum(out), F.lit(0)).alias("dropped"))
+
+
+class ByteCounter:
+    """A token for every ``size`` bytes begun: counts of parts don't add up, as with subword tokens."""
+
+    def __init__(self, size: int = 4):
+        self.size = size
+
+    def count(self, text: str) -> int:
+        return -(-len(text.encode()) // self.size)
+
+    def pieces(self, text: str, room: int) -> list[str]:
+        """Whole characters, at most ``room`` tokens each, joined again the text."""
+        out, at, used = [], 0, 0
+        for i, c in enumerate(text):
+            n = len(c.encode())
+            if used + n > room * self.size and i > at:
+                out.append(text[at:i])
+                at, used = i, 0
+            used += n
+        return [*out, text[at:]] if text else out
+
+
+class FileCounter:
+    """Counts tokens with a tokenizer file that every executor can read; no special tokens."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+
+    def count(self, text: str) -> int:
+        return len(self.model.encode(text, add_special_tokens=False).ids)
+
+    def pieces(self, text: str, room: int) -> list[str]:
+        ids = self.model.encode(text, add_special_tokens=False).ids
+        return [self.model.decode(ids[i : i + room]) for i in range(0, len(ids), room)]
+
+
+def pack_counted(docs: DataFrame, doc: str, title: str, body: str, budget: int, counter: Callable[[], object], canary: tuple[str, int] | None = None) -> DataFrame:
+    """As ``pack``, for counters whose counts don't add up (``counter()`` makes one in each task).
+
+    Before a chunk is closed its joined text is counted again; sentences that no longer fit go to
+    the next chunk, none is lost. A canary (text, tokens) that counts differently fails the task.
+    Sentences are cut in the JVM; a document is folded in its own row.
+    """
+    rows = _articles(docs, doc, title, body).withColumn("s", sentences(F.col("body")))
+    rows = rows.select("doc", "body", _head(F.col("title")).alias("head"), F.col("s.text").alias("texts"), F.col("s.starts_paragraph").alias("firsts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = counter()
+        if canary and tokens.count(canary[0]) != canary[1]:
+            raise ValueError(f"tokenizer counts {tokens.count(canary[0])} tokens in the canary, not {canary[1]}")
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                found = list(_fold(tokens, budget, row.head, row.body, list(row.texts), list(row.firsts)))
+                if found:
+                    yield pd.DataFrame([(row.doc, i, *c) for i, c in enumerate(found)], columns=["doc", *(f.split()[0] for f in CHUNKS.split(", "))])
+
+    return rows.mapInPandas(run, f"doc {rows.schema['doc'].dataType.simpleString()}, {CHUNKS}")
+
+
+def _fold(tokens, budget: int, head: str, body: str, texts: list[str], firsts: list[bool]) -> Iterator[tuple]:
+    """text, n_tokens, char_start, char_end, hard_split of one document's chunks."""
+    head_n = tokens.count(head) if head else 0
+    room = budget - head_n
+    if room <= 0:
+        return
+    sizes = [tokens.count(s) for s in texts]
+    waiting: list[int] = []
+
+    def closed() -> tuple:
+        """The chunk of as many waiting sentences as fit, at least one; the others wait on."""
+        for keep in range(len(waiting), 0, -1):
+            text = head + " ".join(texts[i] for i in waiting[:keep])
+            n = tokens.count(text)
+            if n <= budget or keep == 1:
+                break
+        first, last = texts[waiting[0]], texts[waiting[keep - 1]]
+        del waiting[:keep]
+        start = body.find(first)
+        end = body.find(last, max(start, 0))
+        return text, n, start, end + len(last) if end >= 0 else -1, False
+
+    for i, size in enumerate(sizes):
+        used = sum(sizes[j] for j in waiting)
+        over = used + size > room or (firsts[i] and used >= LATE * room)
+        if waiting and over:
+            yield closed()
+        if size > room:
+            for piece in tokens.pieces(texts[i], room):
+                yield head + piece, head_n + tokens.count(piece), -1, -1, True
+        else:
+            waiting.append(i)
+    while waiting:
+        yield closed()
 
 
 def slide(docs: DataFrame, doc: str, text: str, size: int, overlap: int, least: int = 200) -> DataFrame:

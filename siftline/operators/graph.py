@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.text import lowered
 
 
+def normalised(mentions: DataFrame) -> DataFrame:
+    """Mentions under their normalised names; blank names are none."""
+    return mentions.withColumn("name", lowered(F.col("name"))).filter("name != ''")
+
+
 def vertices(mentions: DataFrame) -> DataFrame:
     """name, type, chunks, mentions, descriptions from (chunk, seq, name, type, description).
 
     Names are normalised; the type is the most frequent one, of ties the first seen; descriptions
     are the first five that aren't blank.
     """
-    rows = mentions.withColumn("name", lowered(F.col("name"))).filter("name != ''").withColumn("type", F.coalesce(F.expr("nullif(type, '')"), F.lit("OTHER")))
+    rows = normalised(mentions).withColumn("type", F.coalesce(F.expr("nullif(type, '')"), F.lit("OTHER")))
     base = rows.groupBy("name").agg(F.count_distinct("chunk").alias("chunks"), F.count("*").alias("mentions"))
     kinds = rows.groupBy("name", "type").agg(F.count("*").alias("n"), F.min(F.struct("chunk", "seq")).alias("seen"))
     best = kinds.withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "seen"))).filter("i = 1").select("name", "type")

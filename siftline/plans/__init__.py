@@ -1,4 +1,5 @@
-"""The queries of all operators; the second module adds its own to the tables of the first."""
+"""The queries of all operators; later modules add their own to the tables of the first."""
 
 from . import queries as queries  # noqa: I001
 from . import evaluation as evaluation
+from . import relational as relational

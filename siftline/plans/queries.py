@@ -222,7 +222,28 @@ def _(t):
     return t("documents").select("doc_id", F.size(tx.unicode_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query("t9_greedy_packing")
+_WORDS = "len(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'))"
+_CLEAN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+#: Greedy packing of documents under 120 words, sentence by sentence.
+_PACKED = f"""WITH RECURSIVE d AS (SELECT doc_id AS doc, {_CLEAN.format('source')} AS title, {_CLEAN.format('text')} AS body FROM documents),
+r AS (SELECT doc, body, title, CAST(120 - {_WORDS.format('title')} AS INT) AS room FROM d WHERE body <> '' AND {_WORDS.format('title')} < 120),
+par AS (SELECT doc, room, generate_subscripts(ps, 1) AS pi, unnest(ps) AS t FROM (SELECT doc, room, string_split(body, chr(10) || chr(10)) AS ps FROM r)),
+sen AS (SELECT doc, room, pi, list_filter([trim(x) FOR x IN string_split(regexp_replace(t, '([.!?])[ \\t\\r\\n\\f\\v]+', '\\1' || chr(10), 'g'), chr(10))], lambda x: x <> '') AS ss FROM par),
+u0 AS (SELECT doc, room, pi, generate_subscripts(ss, 1) AS si, unnest(ss) AS s FROM sen),
+u1 AS (SELECT *, {_WORDS.format('s')} AS n FROM u0),
+cut AS (SELECT doc, room, pi, si, regexp_extract_all(s, '(?:[^\\p{{L}}\\p{{N}}_]*[\\p{{L}}\\p{{N}}_]+){{1,' || room || '}}[^\\p{{L}}\\p{{N}}_]*') AS xs FROM u1 WHERE n > room),
+u2 AS (SELECT doc, room, pi, si, 0 AS hi, s, si = 1 AS p, n, false AS hard FROM u1 WHERE n <= room
+  UNION ALL SELECT doc, room, pi, si, hi, trim(x), false, {_WORDS.format('x')}, true FROM (SELECT doc, room, pi, si, generate_subscripts(xs, 1) AS hi, unnest(xs) AS x FROM cut)),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pi, si, hi) AS i FROM u2),
+f AS (SELECT doc, i, n AS used, 0 AS chunk, hard FROM u WHERE i = 1
+  UNION ALL SELECT doc, i, CASE WHEN fresh THEN n ELSE used + n END, chunk + CAST(fresh AS INT), hard FROM (SELECT u.doc, u.i, u.n, f.used, f.chunk, u.hard, f.hard OR u.hard OR f.used + u.n > u.room OR (u.p AND f.used >= CAST(0.85 AS DOUBLE) * u.room) AS fresh FROM f JOIN u ON u.doc = f.doc AND u.i = f.i + 1)),
+c AS (SELECT doc, chunk, string_agg(s, ' ' ORDER BY i) AS text, CAST(sum(u.n) AS BIGINT) AS n, bool_or(u.hard) AS hard, arg_min(s, i) AS a, arg_max(s, i) AS b FROM f JOIN u USING (doc, i) GROUP BY doc, chunk),
+o AS (SELECT c.*, title, body, CAST(120 - room AS BIGINT) AS head_n, instr(body, a) AS pos FROM c JOIN r USING (doc)),
+packed AS (SELECT doc, chunk AS chunk_index, CASE WHEN title = '' THEN '' ELSE title || chr(10) || chr(10) END || text AS text, n + head_n AS n_tokens, CAST(CASE WHEN hard THEN -1 ELSE pos - 1 END AS INT) AS char_start,
+  CAST(CASE WHEN hard OR instr(substr(body, greatest(pos, 1)), b) = 0 THEN -1 ELSE greatest(pos, 1) - 2 + instr(substr(body, greatest(pos, 1)), b) + length(b) END AS INT) AS char_end, hard AS hard_split FROM o)"""
+
+
+@query("t9_greedy_packing", f"{_PACKED} SELECT * FROM packed")
 def _(t):
     return chunking.pack(t("documents"), "doc_id", "source", "text", 120)
 
