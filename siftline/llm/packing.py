@@ -57,12 +57,16 @@ class Encoder:
         probe = "it's A1b, don't 'Re x.y ÀÉ12 '' 's ½ü-_"
         self.by_word = self.whole(probe) == b"".join(self._new(_PRETOKEN.findall(probe.lower())))
 
+    def _ids(self, text: str) -> np.ndarray:
+        """By the library's call that keeps no offsets."""
+        return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(text).tobytes()
 
     def _new(self, words: list[str]) -> list[bytes]:
         """The ids of each pre-token; the last id of a pre-token, and no other, has a word end."""
-        ids = np.array(self.lib.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = self._ids(" ".join(words))
         stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
         if len(stops) != len(words):
             return [self.whole(w) for w in words]
