@@ -30,8 +30,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Tokens in open windows at which a task closes them all (4 bytes each).
 OPEN_TOKENS = 16_000_000
-#: Pre-tokens that a task remembers (some 200 bytes each); the table is emptied when it is full.
-REMEMBERED = 500_000
+#: Pre-tokens that a Python worker remembers (some 200 bytes each); the table is emptied when it is full.
+REMEMBERED = 1_000_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 #: Texts of these characters only are cut into pre-tokens here, as the tokenizer's own rule cuts
@@ -45,7 +45,8 @@ _WORD_END = "</w>"
 class Encoder:
     """Text to ids, as little-endian unsigned 32-bit bytes; pre-tokens met before are looked up."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -80,7 +81,7 @@ class Encoder:
         found = list(map(known.get, words))
         if None in found:
             new = list({w for w, b in zip(words, found, strict=True) if b is None})
-            if len(known) + len(new) > REMEMBERED:
+            if len(known) + len(new) > self.remembered:
                 known.clear()
                 new = list(set(words))
             known.update(zip(new, self._new(new), strict=True))
@@ -176,15 +177,16 @@ def pack_rows(source: Iterable[tuple], encode: Callable[[str], bytes], capacity:
         yield from written(window)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     sequence_id: the task's number in the upper bits, so that ids are unique without a shuffle.
-    ``tokenizer``: the file's place.
+    ``tokenizer``: the file's place; ``remembered``: pre-tokens that a Python worker remembers, which
+    changes memory and time only.
     """
 
     def make() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
-        encode = once(f"encode {tokenizer}", lambda: Encoder(tokenizer))
+        encode = once(f"encode {tokenizer} {remembered}", lambda: Encoder(tokenizer, remembered))
 
         def rows(source: Iterator[tuple]) -> Iterator[tuple]:
             for first in source:
