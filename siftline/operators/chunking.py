@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, sentences, unicode_tokens
+from ..functions.text import clean, occurrences, sentences, unicode_tokens
 
 #: Share of the room from which a paragraph's start closes a chunk.
 LATE = 0.85
@@ -90,6 +90,32 @@ def dropped(docs: DataFrame, doc: str, title: str, body: str, budget: int) -> Da
     return _articles(docs, doc, title, body).agg(F.count("*").alias("articles"), F.coalesce(F.sum(out), F.lit(0)).alias("dropped"))
 
 
+def integrity(docs: DataFrame, chunks: DataFrame, doc: str, title: str, body: str, budget: int) -> DataFrame:
+    """doc, sentences, lost, duplicated, chunks, over_budget for every article. chunks: as ``pack`` gives them.
+
+    Sentences are sought in the chunks' texts without their titles, joined by blanks in order: one that
+    isn't there is lost, one that is there more often than in the body is duplicated. An article without
+    chunks has lost all. Ids must be those of single articles.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", "text")))
+    cut = chunks.groupBy(F.col("doc").alias("of")).agg(parts.alias("parts"), F.count("*").alias("chunks"), F.count_if(F.col("n_tokens") > budget).alias("over_budget"))
+    rows = _articles(docs, doc, title, body).withColumn("head", _head(F.col("title"))).join(cut, F.col("doc").eqNullSafe(F.col("of")), "left")
+    bare = lambda t: F.when(F.startswith(t, F.col("head")), F.substring(t, F.length("head") + 1, F.length(t))).otherwise(t)
+    rows = rows.withColumn("joined", F.coalesce(F.array_join(F.transform("parts", lambda c: bare(c["text"])), " "), F.lit("")))
+    rows = rows.withColumn("s", F.transform(sentences(F.col("body")), lambda s: s["text"]))
+    there = lambda s: F.col("joined").contains(s)
+    again = F.filter("s", lambda s: there(s) & (occurrences(F.col("joined"), s) > occurrences(F.col("body"), s)))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("doc", F.size("s").alias("sentences"), F.size(F.filter("s", lambda s: ~there(s))).alias("lost"), F.size(again).alias("duplicated"), none("chunks"), none("over_budget"))
+
+
+def statistics(chunks: DataFrame, docs: DataFrame, doc: str, title: str, body: str, budget: int) -> DataFrame:
+    """One row: chunks, tokens a chunk, fill rate, characters a token of the bodies, hard splits, over budget."""
+    n = F.col("n_tokens")
+    of = chunks.agg(F.count("*").alias("chunks"), F.avg(n).alias("mean"), F.median(n).alias("median"), F.min(n).alias("least"), F.max(n).alias("most"), (F.avg(n) / budget).alias("fill_rate"), F.count_if("hard_split").alias("hard_splits"), F.count_if(n > budget).alias("over_budget"))
+    return of.crossJoin(_articles(docs, doc, title, body).agg(F.try_divide(F.sum(F.length("body")), F.sum(word_count(F.col("body")))).alias("chars_per_token")))
+
+
 class ByteCounter:
     """A token for every ``size`` bytes begun: counts of parts don't add up, as with subword tokens."""
 

@@ -525,6 +525,25 @@ def _(t):
     return t("documents").select("doc_id", tx.occurrences(F.col("text"), F.lit("the ")).alias("n"))
 
 
+@query("a20_chunk_integrity")
+def _(t):
+    packed = chunking.pack(t("documents"), "doc_id", "source", "text", 120)
+    return chunking.integrity(t("documents"), packed, "doc_id", "source", "text", 120)
+
+
+@query("a17_packing_statistics")
+def _(t):
+    packed = chunking.pack(t("documents"), "doc_id", "source", "text", 120)
+    return chunking.statistics(packed, t("documents"), "doc_id", "source", "text", 120)
+
+
+@query("a23_volume", "SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean, median(n_chars) AS median, min(n_chars) AS least, max(n_chars) AS most, CAST(sum(n_chars) AS BIGINT) AS total, round(avg(n_chars) * count(*) / 3600, 6) AS hours FROM documents GROUP BY lang")
+def _(t):
+    """Hours at a second for each character."""
+    n = F.col("n_chars")
+    return t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean"), F.median(n).alias("median"), F.min(n).alias("least"), F.max(n).alias("most"), F.sum(n).alias("total"), F.round(F.avg(n) * F.count("*") / 3600, 6).alias("hours"))
+
+
 @query("a23_rolling_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 9) AS rolling FROM events")
 def _(t):
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-49, 0)

@@ -99,3 +99,14 @@ def test_direct_scores_are_those_of_the_index(spark):
 def test_mentions_without_a_name_are_none(spark):
     m = spark.createDataFrame([(" A  b ",), (" ",), (None,)], "name string")
     assert [r.name for r in graph.normalised(m).collect()] == ["a b"]
+
+
+def test_integrity_sees_what_is_lost_and_doubled(spark):
+    docs = spark.createDataFrame([(1, "T", "One two. Three four. Five six."), (2, None, "Seven eight. Nine."), (3, "a b c d", "Gone now.")], "id long, title string, body string")
+    rows = lambda c, n: {r.doc: tuple(r)[1:] for r in chunking.integrity(docs, c, "id", "title", "body", n).collect()}
+    packed = chunking.pack(docs, "id", "title", "body", 4)
+    assert rows(packed, 4) == {1: (3, 0, 0, 3, 0), 2: (2, 0, 0, 1, 0), 3: (1, 1, 0, 0, 0)}
+    bad = packed.filter("doc != 1 OR chunk_index != 1").unionByName(packed.filter("doc = 2").withColumn("chunk_index", F.lit(9)))
+    assert rows(bad, 2) == {1: (3, 1, 0, 2, 2), 2: (2, 0, 2, 2, 2), 3: (1, 1, 0, 0, 0)}
+    s = chunking.statistics(packed, docs, "id", "title", "body", 4).first()
+    assert (s.chunks, s.mean, s.fill_rate, s.hard_splits, s.over_budget) == (4, 3.0, 0.75, 0, 0) and s.chars_per_token == pytest.approx(57 / 11)
