@@ -206,6 +206,11 @@ def _(t):
     return t("benchmark").select("item_id", F.size(tx.bigram_tokens(F.col("text"))).alias("n"))
 
 
+@query("t4_bigram_documents")
+def _(t):
+    return t("documents").select("doc_id", F.size(tx.bigram_tokens(F.col("text"))).alias("n"))
+
+
 @query("t5_discarded_script", "SELECT lang, count(*) FILTER (regexp_matches(text, '[^\\x00-\\x7F]')) AS n_dropped FROM (SELECT lang, regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g') AS text FROM documents) GROUP BY lang")
 def _(t):
     return t("documents").groupBy("lang").agg(F.sum(tx.drops_script(F.col("text")).cast("long")).alias("n_dropped"))
