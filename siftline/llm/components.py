@@ -3,7 +3,7 @@
 Each round gives every node's larger neighbours, then every node's smaller ones, to its smallest
 neighbour; links never multiply, and the number of rounds is about the logarithm of the longest
 path. Rounds are written to the shared folder. No link leaves the executors: a round ends with
-one row of counts. A hub's links meet only in partial aggregates and in joins that Spark can split.
+one row of counts. A hub's links meet only in partial aggregates and in a broadcast join.
 """
 
 from __future__ import annotations
@@ -16,17 +16,22 @@ from .runtime import durable
 ROUNDS = 60
 #: Links for each task: rounds over few links don't need many tasks and files.
 TASK_LINKS = 50_000
-
-
-def _star(links: DataFrame, large: bool, tasks: int) -> DataFrame:
-    """links: u, v with u > v, each once."""
-    if large:
-        ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = ends.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
-        out = links.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+#: A node with over a HUBS-th of all links is a hub: its links aren't brought to one task.
+HUBS = 1000
+
+
+def _star(links: DataFrame, large: bool, tasks: int, hub: int) -> DataFrame:
+    """links: u, v with u > v, each once. ``hub``: links from which on a node's smallest one is broadcast."""
+    ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
+    least = ends.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    rows = ends.filter("v > u") if large else ends
+    # All nodes together have 2 * HUBS * hub links at most, so there are 2 * HUBS hubs at most: a proven bound.
+    hubs = F.broadcast(least.filter(F.col("n") > hub).select("u", F.col("m").alias("h")))
+    rows = rows.join(hubs, "u", "left")
+    done = rows.filter("h IS NOT NULL").select(F.col("v").alias("a"), F.col("h").alias("b"))
+    out = rows.filter("h IS NULL").select("u", "v").join(least.filter(F.col("n") <= hub), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    out = out.unionByName(done)
+    if not large:
         out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     out = out.filter("a != b").coalesce(tasks)
     return out.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().coalesce(tasks)
@@ -38,8 +43,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(links)
     for _ in range(ROUNDS if before[0] else 0):
-        tasks = before[0] // TASK_LINKS + 1
-        links = durable(_star(_star(links.coalesce(tasks), True, tasks), False, tasks))
+        tasks, hub = before[0] // TASK_LINKS + 1, before[0] // HUBS + 1
+        links = durable(_star(_star(links.coalesce(tasks), True, tasks, hub), False, tasks, hub))
         now = mark(links)
         if now == before:
             break

@@ -4,7 +4,7 @@ Each text, with A-Z lower-cased, is cut where its own content says so: a sentenc
 letter a-f, at least 64 characters after the last cut and at most 4,096. A document becomes the
 ordered list of its chunks' identifiers. An identifier is verified: the chunk texts meet once,
 without their repeats, and those that share a hash get ordinals that tell them apart. Equal
-lists then mean equal texts, and only the lists are compared and moved.
+lists then mean equal texts, and only the lists are compared and moved. A very long text is a longer list.
 
 Nulls count as empty texts; empty texts form one group. Of equal texts the row with the largest
 doc_id stays (null ids come last); of rows that repeat both, exactly one. An empty table gives an
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import durable, fold_ascii, texts
+from .runtime import durable, fold_ascii, one_of_each, quoted, texts, whole
 
 CHUNK = r"(?s).{63,4094}?[.!?\n](?=\s?[a-fA-F])|.{1,4095}"
 
@@ -33,7 +33,8 @@ def _hash(chunk: Column, bits: int) -> Column:
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """doc_id, row (an id of the row), recipe array<long>, ords array<int>, text_sha256: durable.
 
-    ``ords`` is empty unless a chunk's hash is shared by another chunk text.
+    ``ords`` is empty unless a chunk's hash is shared by another chunk text. Row ids are taken once, for
+    the written table; texts are met again by their digest.
     """
     folded = texts(docs, id_col, text_col).select("doc_id", fold_ascii(F.col("text")).alias("text"))
     plain = durable(
@@ -56,13 +57,14 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
     ranked = told.alias("a").join(told.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("b.chunk") < F.col("a.chunk")), "left")
     ranked = ranked.groupBy(F.col("a.h").alias("h"), F.col("a.chunk").alias("chunk")).agg(F.count("b.chunk").cast("int").alias("ord"))
     # The texts that hold such chunks are known by their hash list and their digest.
-    hit = plain.select("recipe", "text_sha256").distinct().select("recipe", "text_sha256", F.explode("recipe").alias("h")).join(shared, "h", "left_semi").select(F.col("text_sha256").alias("hit_sha")).distinct()
-    held = folded.withColumn("row", F.monotonically_increasing_id()).withColumn("hit_sha", F.sha2(F.col("text").cast("binary"), 256)).join(hit, "hit_sha", "left_semi")
-    pieces = held.select("row", F.posexplode(_chunks(F.col("text"))).alias("pos", "chunk"))
+    hit = plain.select("recipe", "text_sha256").distinct().select("text_sha256", F.explode("recipe").alias("h")).join(shared, "h", "left_semi").select("text_sha256").distinct()
+    held = folded.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).join(hit, "text_sha256", "left_semi")
+    held = held.groupBy("text_sha256").agg(F.min("text").alias("text"))
+    pieces = held.select("text_sha256", F.posexplode(_chunks(F.col("text"))).alias("pos", "chunk"))
     pieces = pieces.withColumn("h", _hash(F.col("chunk"), hash_bits)).join(ranked, ["h", "chunk"], "left")
-    ords = pieces.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("ord", F.lit(0)).alias("ord")))).alias("o"))
-    ords = ords.select("row", F.transform("o", lambda x: x["ord"]).alias("ords"))
-    return durable(plain.join(ords, "row", "left").select("doc_id", "row", "recipe", F.coalesce("ords", none).alias("ords"), "text_sha256"))
+    ords = pieces.groupBy("text_sha256").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("ord", F.lit(0)).alias("ord")))).alias("o"))
+    ords = ords.select("text_sha256", F.transform("o", lambda x: x["ord"]).alias("ords"))
+    return durable(plain.join(ords, "text_sha256", "left").select("doc_id", "row", "recipe", F.coalesce("ords", none).alias("ords"), "text_sha256"))
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
@@ -81,16 +83,15 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ha
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    stay = verdicts(docs, id_col, text_col)
-    stay = stay.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("kept")
-    stay = stay.select(F.col("doc_id").alias("__stay_id"), F.col("text_sha256").alias("__stay_sha"), F.col("n").alias("__stay_n"))
-    sha = F.sha2(fold_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
-    joined = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stay_id")) & (sha == F.col("__stay_sha")))
-    once = joined.filter("__stay_n = 1").select(*docs.columns)
-    # Rows that repeat id and text: one of them, the largest by all columns.
-    again = joined.filter("__stay_n > 1").groupBy("__stay_id", "__stay_sha").agg(F.max(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return once.unionByName(again)
+    """The rows of ``docs`` that stay, with all their columns, of whatever names and types."""
+    told = verdicts(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    stay = durable(told.filter("kept").select("doc_id", "text_sha256", "n"))
+    sha = F.sha2(fold_ascii(F.coalesce(F.col(quoted(text_col)), F.lit(""))).cast("binary"), 256)
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), sha.alias("sha"), whole(docs).alias("doc"))
+    rows = rows.join(stay, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256")))
+    if stay.filter("n > 1").isEmpty():
+        return rows.select("doc.*")
+    return one_of_each(rows, ["id", "sha"], text_col)
 
 
 ORACLE = """

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import io
+import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -24,26 +26,66 @@ def fold_ascii(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept where every executor can read it again.
+def folder_of(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session that
-    names none, as in tests, gets a temporary one. Files go when nothing refers to them.
+    Only a session on one machine may do without; it gets a temporary one.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siftline-"))
-    return df.checkpoint(eager=True)
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="siftline-")
+    return _own[context.applicationId]
+
+
+_own: dict[str, str] = {}
+#: Folders of the innermost open scope last.
+_scopes: list[list[str]] = []
+
+
+def _path(spark: SparkSession, folder: str) -> tuple[object, object]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder of a new name in the shared one. It goes when its scope ends, or else with the application."""
+    folder = f"{folder_of(spark).rstrip('/')}/siftline-{kind}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(folder)
+    system, path = _path(spark, folder)
+    system.deleteOnExit(path)
+    return folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    system, path = _path(spark, folder)
+    system.delete(path, True)
+
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables made ``durable`` inside are deleted, by name, when the block ends."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            remove(spark, folder)
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that nothing refers to any more.
 
-    Spark deletes them when the driver's garbage is collected, which may take long where the driver
-    has little to do; between two large shuffles it is asked for.
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` computed once, written as a table to the shared folder and read from there.
+
+    It outlives executors, and only the columns that are asked for are read again.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    folder = new_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 _shipped: set[str] = set()
@@ -124,3 +166,23 @@ def once(key: str, make: Callable[[], object]) -> object:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null: empty), under fixed names, whatever else the table holds."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def whole(docs: DataFrame) -> Column:
+    """All columns in one, whatever their names: no name of an operator can clash with theirs."""
+    return F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def one_of_each(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """The documents of ``rows`` (doc, n, keys): where n is over 1, of each key's documents the one largest by text, then as JSON.
+
+    Documents that are alone under their key aren't aggregated; of the others partial results are.
+    """
+    again = rows.filter("n > 1")
+    order = F.struct(F.coalesce(F.col("doc")[text_col].cast("string"), F.lit("")).alias("t"), F.to_json("doc").alias("j"))
+    largest = again.groupBy(*keys).agg(F.max_by("doc", order).alias("doc"))
+    return rows.filter("n = 1").select("doc.*").unionByName(largest.select("doc.*"))

@@ -59,3 +59,16 @@ def test_an_edit_changes_few_chunks(spark):
     rows = op.recipes(spark.createDataFrame([(1, t), (2, "inserted. " + t)], "doc_id long, text string")).collect()
     a, b = (set(r.recipe) for r in rows)
     assert len(a) > 100 and len(a & b) > 0.9 * len(a)
+
+
+def test_columns_of_any_name_and_type(spark):
+    """Dotted names, names used inside, maps; a shuffled input."""
+    rows = [(i % 7, f"Text {i % 5}", {"k": i}, f"u{i}", i, i, i) for i in range(200)] + [(None, None, None, None, None, None, None)] * 3
+    schema = "doc_id long, text string, props map<string,int>, `meta.url` string, __stay_n int, n int, doc int"
+    docs = spark.createDataFrame(rows, schema).repartition(5)
+    got = op.keep_first(docs)
+    assert got.columns == docs.columns
+    left = [tuple(r) for r in got.collect()]
+    # Ids 0 to 6 meet all five texts; id 6 stays for each, of its rows the largest as JSON.
+    assert len(left) == 6 and sorted((r[0] is None, r[0], r[1]) for r in left if r[0] is not None) == [(False, 6, f"Text {t}") for t in range(5)]
+    assert all((r[0], r[1], r[2], r[3]) == (r[4] % 7, f"Text {r[4] % 5}", {"k": r[4]}, f"u{r[4]}") for r in left if r[0] is not None)
