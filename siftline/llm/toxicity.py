@@ -1,165 +1,164 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A feature is a character n-gram of 4 to 6 in some word of a text (lower case, a blank at each end
-of the word), present or not. Over the training rows its log-count ratio r compares how many
-toxic and how many other texts have it. The features whose ratio is surest are kept; logistic
-regression is fitted on them with value r for present and 0 for absent. A text's score is the
-regression's probability.
-
-Training is bounded: at most ``max_rows`` labelled rows, those with the smallest hash of their
-doc_id, and ``max_features`` features; nothing else is sampled. Counting and feature extraction run
-on the executors; the driver fits at most max_rows sparse rows. Scores come from texts only.
-
-Null and empty texts have no features and get the intercept's score. Rows without a label or with
-an unknown id take no part in training; repeated labels of a document count once (the largest).
-With labels of one class only, or none, every score is the share of that class (0 without
-labels). Repeated rows are scored alike, null ids stay null and count as not held out; an empty
-table gives an empty result; other columns are ignored.
+A feature is a character n-gram of 4 to 6 in the words of a text (lower case, a blank at each end of the
+word); its value is the number of different words that hold it. N-grams are hashed into 2**20 places, and
+none is left out. Over the training rows a place's log-count ratio r compares how many toxic and how many
+other texts have it, smoothed towards no difference; logistic regression with a ridge is fitted on the
+features scaled by r. A text's score is the regression's probability. It is a sum over the text's
+different words, so that each word is worth one number, worked out once.
+
+Training is bounded: at most ``max_rows`` labelled rows, those with the smallest hash of their doc_id;
+nothing else is sampled. N-grams are cut and counted on the executors; the driver fits the bounded sample.
+Scores come from texts only.
+
+Null and empty texts have no features and get the intercept's score; very long texts are scored whole. Rows
+without a label or with an unknown id take no part in training; repeated labels of a document count once
+(the largest), and of rows that repeat a labelled id the smallest text is learned. With labels of one class
+only, or none, every score is the share of that class (0 without labels). A score of exactly 0.5, a tie, is
+toxic. Repeated rows are scored alike, null ids stay null and count as not held out; an empty table gives an
+empty result; other columns are ignored by ``score`` and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import durable, map_rows, once, ship, texts
+from .runtime import durable, map_rows, once, quoted, ship, texts
 
-SIZES = (4, 5, 6)
-MAX_ROWS, MAX_FEATURES, LEAST_Z, LEAST_TEXTS = 8000, 4000, 4.0, 4
-RIDGE, STEPS = 1e-3, 150
+SIZES, PLACES = (4, 5, 6), 1 << 20
+MAX_ROWS = 8000
+SMOOTH, RIDGE, STEPS = 1.0, 3e-3, 60
+#: Words whose worth a Python worker remembers; the table is emptied when it is full.
 REMEMBERED = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
+Model = tuple[np.ndarray, float]
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def grams(word: str) -> set[str]:
-    w = f" {word} "
-    return {w[i : i + n] for n in SIZES for i in range(len(w) - n + 1)}
+def grams(word: str) -> list[int]:
+    """The places of a word's different n-grams."""
+    w = f" {word} ".encode("utf-32-le", "surrogatepass")
+    n = len(w) // 4
+    return list({crc32(w[4 * i : 4 * (i + k)]) % PLACES for k in SIZES for i in range(n - k + 1)})
 
 
 def words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-class Features:
-    """From a text to the indices of the kept n-grams in it; words met before are looked up."""
-
-    def __init__(self, index: dict[str, int]):
-        self.index, self.known = index, {}
-
-    def __call__(self, text: str) -> set[int]:
-        found: set[int] = set()
-        known, index = self.known, self.index
-        for w in words(text):
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[w] = tuple(index[g] for g in grams(w) if g in index)
-            if ids:
-                found.update(ids)
-        return found
-
-
-def _counted(sample: DataFrame) -> DataFrame:
-    """gram, pos, neg: in how many toxic and other texts it occurs."""
-
-    def make() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
-        def rows(source: Iterator[tuple]) -> Iterator[tuple]:
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
-            known: dict[str, set[str]] = {}
-
-            def flush() -> Iterator[tuple]:
-                for g in counts[0].keys() | counts[1].keys():
-                    yield g, counts[1][g], counts[0][g]
-                counts[0].clear()
-                counts[1].clear()
-
-            for text, toxic in source:
-                found: set[str] = set()
-                for w in words(text):
-                    if len(known) > 50_000:
-                        known.clear()
-                    found |= known.get(w) or known.setdefault(w, grams(w))
-                counts[toxic].update(found)
-                if len(counts[0]) + len(counts[1]) > 500_000:
-                    yield from flush()
-            yield from flush()
-
-        return rows
-
-    parts = map_rows(sample.select("text", "toxic"), make, "gram string, pos bigint, neg bigint")
-    return parts.groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-
-
-def fit_logistic(rows: list[list[int]], y: np.ndarray, scale: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Adam on the whole (bounded) sample, from zero: deterministic."""
-    lengths = np.array([len(r) for r in rows])
-    cols = np.fromiter((i for r in rows for i in r), np.int64, int(lengths.sum()))
-    at = np.repeat(np.arange(len(rows)), lengths)
-    k, n = len(scale), len(rows)
-    w, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
+class Scorer:
+    """The log odds of a text; words met before are looked up."""
+
+    def __init__(self, model: Model):
+        (self.weights, self.intercept), self.known = model, {}
+
+    def __call__(self, text: str) -> float:
+        found, known = words(text), self.known
+        worth = list(map(known.get, found))
+        if None in worth:
+            if len(known) > REMEMBERED:
+                known.clear()
+            for w in found.difference(known):
+                known[w] = float(self.weights[grams(w)].sum())
+            worth = map(known.__getitem__, found)
+        # Exact, so that it doesn't depend on the order of a set.
+        return self.intercept + math.fsum(worth)
+
+
+def log_count_ratios(pos: np.ndarray, neg: np.ndarray, toxic: int, other: int, smooth: float = SMOOTH) -> np.ndarray:
+    """ln of the share of toxic over the share of other texts; 0 where nothing is known."""
+    prior = toxic / (toxic + other)
+    up = np.log(pos + smooth * prior) - np.log(smooth * prior)
+    down = np.log(neg + smooth * (1 - prior)) - np.log(smooth * (1 - prior))
+    return up - down
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, cut: list[np.ndarray], ridge: float = RIDGE, steps: int = STEPS) -> Model:
+    """Weights of all places, and the intercept, by Adam on the whole (bounded) sample from zero: deterministic.
+
+    rows: the words of each text, as places in ``cut``; cut: the places of each word's n-grams.
+    """
+    n, v = len(rows), len(cut)
+    of, word = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    owner, gram = np.repeat(np.arange(v), [len(c) for c in cut]), np.concatenate(cut) if v else np.zeros(0, np.int64)
+    used, gram = np.unique(gram, return_inverse=True)
+    k = len(used)
+    count, ends = np.zeros((2, k)), np.cumsum([len(c) for c in cut]).tolist()
+    parts = [gram[b - len(c) : b] for b, c in zip(ends, cut, strict=True)]
+    for own, toxic in zip(rows, y.astype(int).tolist(), strict=True):
+        if len(own):
+            count[toxic, np.unique(np.concatenate([parts[i] for i in own.tolist()]))] += 1
+    r = log_count_ratios(count[1], count[0], int(y.sum()), int(n - y.sum()))
+    rg, w = r[gram], np.zeros(k + 1)
+    m, s = np.zeros(k + 1), np.zeros(k + 1)
     w[k] = np.log((y.sum() + 1) / (n - y.sum() + 1))
-    values = scale[cols]
     for t in range(1, steps + 1):
-        z = np.bincount(at, w[cols] * values, n) + w[k]
+        worth = np.bincount(owner, w[gram] * rg, v)
+        z = np.bincount(of, worth[word], n) + w[k]
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        g = np.append(np.bincount(cols, error[at] * values, k), error.sum())
-        g[:k] += ridge * w[:k]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return w[:k] * scale, float(w[k])
+        pull = np.bincount(word, error[of], v)
+        g = np.append(np.bincount(gram, pull[owner] * rg, k) + ridge * w[:k], error.sum())
+        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
+    out = np.zeros(PLACES, np.float32)
+    out[used] = w[:k] * r
+    return out, float(w[k])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, int], np.ndarray, float]:
-    """(n-gram to index, weight of each, intercept), from labelled rows that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """(weight of each place, intercept), from labelled rows that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # At most max_rows pairs of numbers: a proven bound.
-    sample = durable(texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").select("text", "toxic"))
-    ends = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    pos, neg = ends.get(1, 0), ends.get(0, 0)
-    if not pos or not neg:
-        return {}, np.zeros(0), 30.0 if pos else -30.0
-    r = F.log((F.col("pos") + 1) / F.lit(pos + 2)) - F.log((F.col("neg") + 1) / F.lit(neg + 2))
-    z = F.abs(r) / F.sqrt(1 / (F.col("pos") + 1) + 1 / (F.col("neg") + 1))
-    kept = _counted(sample).filter(F.col("pos") + F.col("neg") >= LEAST_TEXTS).select("gram", r.alias("r"), z.alias("z"))
-    top = kept.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "gram").limit(max_features).collect()
-    index = {x.gram: i for i, x in enumerate(top)}
-    if not index:
-        return {}, np.zeros(0), float(np.log(pos / neg))
+    # At most max_rows pairs of numbers: a proven bound. Each id counts once, however often rows repeat it.
+    found = texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id")
+    sample = durable(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
 
-    def make() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
-        features = Features(index)
-        return lambda source: ((toxic, sorted(features(text))) for text, toxic in source)
+    def of_words() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
+        def rows(source: Iterator[tuple]) -> Iterator[tuple]:
+            seen: set[str] = set()
+            for (text,) in source:
+                new = words(text) - seen
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen |= new
+                yield from ((w, np.sort(np.array(grams(w), "<i4")).tobytes()) for w in new)
+
+        return rows
+
+    def of_texts() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
+        return lambda source: ((toxic, "\n".join(sorted(words(text)))) for toxic, text in source)
 
     # Sorted, so that the sums, and with them the model, don't depend on the order of tasks.
-    found = sorted((x.toxic, list(x.at)) for x in map_rows(sample, make, "toxic int, at array<int>").collect())
-    w, b = fit_logistic([x[1] for x in found], np.array([x[0] for x in found], float), np.array([x.r for x in top]))
-    return index, w, b
+    cut = sorted((r.word, bytes(r.at)) for r in map_rows(sample.select("text"), of_words, "word string, at binary").dropDuplicates(["word"]).collect())
+    at = {w: i for i, (w, _) in enumerate(cut)}
+    rows = sorted(tuple(r) for r in map_rows(sample.select("toxic", "text"), of_texts, "toxic int, words string").collect())
+    y = np.array([r[0] for r in rows], float)
+    if not 0 < y.sum() < len(y):
+        return np.zeros(PLACES, np.float32), 30.0 if y.sum() else -30.0
+    return fit([np.array([at[w] for w in r[1].split("\n") if w], np.int64) for r in rows], y, [np.frombuffer(c, "<i4").astype(np.int64) for _, c in cut])
 
 
-def score(docs: DataFrame, model: tuple[dict[str, int], np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
-    index, w, b = model
     key = f"toxicity {uuid.uuid4()}"
 
     def make() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
-        features, weight = once(key, lambda: Features(index)), w.tolist()
+        odds = once(key, lambda: Scorer(model))
 
         def rows(source: Iterator[tuple]) -> Iterator[tuple]:
             for doc_id, out, text in source:
-                z = b + sum(weight[i] for i in sorted(features(text)))
-                p = float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
+                p = 1 / (1 + math.exp(-min(30.0, max(-30.0, odds(text)))))
                 yield doc_id, out, p, int(p >= 0.5)
 
         return rows
@@ -170,7 +169,7 @@ def score(docs: DataFrame, model: tuple[dict[str, int], np.ndarray, float], id_c
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` scored under 0.5, with all their columns; one pass, no join."""
-    index, w, b = train(docs, labels, id_col=id_col, text_col=text_col)
+    model = train(docs, labels, id_col=quoted(id_col), text_col=quoted(text_col))
     ship(docs.sparkSession)
     key = f"toxicity {uuid.uuid4()}"
 
@@ -178,7 +177,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def scored(text):
         import pandas as pd
 
-        features = once(key, lambda: Features(index))
-        return pd.Series([b + sum(w[i] for i in sorted(features(t or ""))) for t in text], dtype="float64")
+        odds = once(key, lambda: Scorer(model))
+        return pd.Series([odds(t or "") for t in text], dtype="float64")
 
-    return docs.filter(scored(F.col(text_col)) < 0)
+    return docs.filter(scored(F.col(quoted(text_col))) < 0)
