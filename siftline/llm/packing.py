@@ -2,10 +2,12 @@
 
 A task reads its documents in order. Windows that are partly filled are counted by fill level in
 one array N; a piece of s tokens goes to the level h, empty windows included, that makes the sum
-of N[h]**2 smallest afterwards. A document longer than a window fills whole windows first and
-places its rest. When a task ends, or its open windows hold too many tokens, the emptiest
-open windows are emptied into the gaps of the fullest, cutting pieces where a gap ends, so that at
-most one window stays padded.
+of N[h]**2 smallest afterwards; of equal sums the lowest level, and in a level the window filled last. A
+document longer than a window, however long, fills whole windows first and places its rest. At most OPEN
+windows are open: when one more is, the emptiest is emptied into the gaps of the fullest, cutting
+pieces where a gap ends (in practice some 300 are open, however many documents a task has). When a task
+ends, open windows that are 15/16 full stay as they are; the others, which there is nothing left to fill,
+are emptied into each other in the same way, so that one of them at most stays padded.
 
 Tasks are independent: nothing is shuffled, and a task that is run again gives the same pieces.
 A null or empty text is the end id alone, a piece of one token. Repeated rows are packed each for
@@ -28,8 +30,8 @@ from .runtime import map_rows, once, texts
 
 CAPACITY = 4096
 END_ID = 2
-#: Tokens in open windows at which a task closes them all (4 bytes each).
-OPEN_TOKENS = 16_000_000
+#: Open windows of a task (16 KB each); fill from which an open window is left as it is at a task's end.
+OPEN, LEFT = 1024, 15 / 16
 #: Pre-tokens that a Python worker remembers (some 200 bytes each); the table is emptied when it is full.
 REMEMBERED = 1_000_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -96,7 +98,7 @@ class Levels:
         self.capacity = capacity
         self.count = np.zeros(capacity + 1, np.int64)
         self.windows: dict[int, list[list]] = defaultdict(list)  # level: windows, each a list of pieces
-        self.tokens = 0
+        self.open = 0
 
     def place(self, size: int, piece: tuple) -> list | None:
         """Put a piece of fewer tokens than a window; the window, if that fills it."""
@@ -108,21 +110,48 @@ class Levels:
             change[-1] = 1 - 2 * here[-1]
         change[0] = 2 * count[size] + 1
         level = int(change.argmin())
-        window = self.windows[level].pop() if level else []
+        window = self._pop(level) if level else []
         window.append(piece)
-        if level:
-            count[level] -= 1
         if level + size == cap:
-            self.tokens -= level
             return window
-        count[level + size] += 1
-        self.windows[level + size].append(window)
-        self.tokens += size
+        self._put(level + size, window)
         return None
 
+    def _pop(self, level: int) -> list:
+        self.count[level] -= 1
+        self.open -= 1
+        return self.windows[level].pop()
+
+    def _put(self, level: int, window: list) -> None:
+        self.count[level] += 1
+        self.open += 1
+        self.windows[level].append(window)
+
+    def relieve(self) -> Iterator[list]:
+        """The windows that are full once the emptiest one is emptied into the fullest."""
+        levels = np.flatnonzero(self.count).tolist()
+        room = levels[0]
+        donor, targets = self._pop(levels[0]), []
+        while room > 0 and self.open:
+            level = int(np.flatnonzero(self.count)[-1])
+            targets.append(self._pop(level))
+            room -= self.capacity - level
+        for window in self._poured([*targets, donor]):
+            size = sum(len(p[2]) // 4 for p in window)
+            if size == self.capacity:
+                yield window
+            else:
+                self._put(size, window)
+
     def drain(self) -> Iterator[list]:
-        """All open windows, the emptiest cut up to fill the fullest."""
-        full_first = [w for level in sorted(self.windows, reverse=True) for w in self.windows[level]]
+        """All open windows at the end; those less than LEFT full, the emptiest cut up to fill the fullest."""
+        full_first = [(level, w) for level in sorted(self.windows, reverse=True) for w in self.windows[level]]
+        yield from (w for level, w in full_first if level >= LEFT * self.capacity)
+        yield from self._poured([w for level, w in full_first if level < LEFT * self.capacity])
+        self.__init__(self.capacity)
+
+    def _poured(self, full_first: list[list]) -> Iterator[list]:
+        """Windows, the last of them cut up to fill the first; all but one full."""
         front, back = 0, len(full_first) - 1
         room = lambda w: self.capacity - sum(len(p[2]) // 4 for p in w)
         gap = room(full_first[0]) if full_first else 0
@@ -144,7 +173,6 @@ class Levels:
             gap -= take
         if full_first and full_first[front]:
             yield full_first[front]
-        self.__init__(self.capacity)
 
 
 def pack_rows(source: Iterable[tuple], encode: Callable[[str], bytes], capacity: int, end_id: int, first_id: int) -> Iterator[tuple]:
@@ -170,8 +198,8 @@ def pack_rows(source: Iterable[tuple], encode: Callable[[str], bytes], capacity:
             done = levels.place(total - whole, (doc, whole, ids[4 * whole :], total))
             if done:
                 yield from written(done)
-        if levels.tokens >= OPEN_TOKENS:
-            for window in levels.drain():
+        while levels.open > OPEN:
+            for window in levels.relieve():
                 yield from written(window)
     for window in levels.drain():
         yield from written(window)
