@@ -7,10 +7,11 @@ found by Karp-Rabin hashes of running length, are marked, until none has four to
 leaked if its tiles cover at least half of its tokens, in whatever order they come.
 
 The benchmark is a stated query set and is taken in blocks of bounded size, each broadcast and
-held against every row; hashes find candidates, tokens decide. Items of under four tokens can't
-be told from chance and match nothing. Null counts as empty; empty texts match nothing. Repeated
-rows are reported each; null ids stay null. Empty tables give an empty result; other columns are
-ignored by ``leaks`` and kept by ``drop_leaks``.
+held against every row; hashes find candidates, tokens decide. An item of under four tokens has no seed: it
+leaked where all its tokens follow each other. Null counts as empty; texts and items without tokens match
+nothing. Very long texts are compared whole. Of equally long matches, ties, the first in the document is
+marked, then the first in the item. Repeated rows and items are reported each; null ids stay null. Empty
+tables give an empty result; other columns are ignored by ``leaks`` and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_rows, once, ship, texts
+from .runtime import map_rows, once, quoted, ship, texts
 
 LEAST, COVERAGE = 4, 0.5
 #: Tokens of benchmark items in one block.
@@ -115,10 +116,13 @@ class Items:
         self.least, self.coverage = least, coverage
         self.ids: dict[str, int] = {}
         self.items = []
+        self.few: dict[tuple, list[int]] = {}  # items without a seed, by their tokens
         hashes, owners, places = [], [], []
         for item_id, text in block:
             own = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in tokens(text)], np.int64)
             if len(own) < least:
+                if len(own):
+                    self.few.setdefault(tuple(own.tolist()), []).append(item_id)
                 continue
             h = _short(own, least)
             hashes.append(h)
@@ -132,8 +136,13 @@ class Items:
         self.place = np.concatenate(places)[order] if places else flat
 
     def leaks(self, text: str) -> Iterator[tuple]:
+        """item_id, its tokens, tiled tokens, tiles, coverage of each item that leaked."""
         n = self.least
         ids = np.fromiter(map(self.ids.get, tokens(text), repeat(0)), np.int64)
+        for size in {len(t) for t in self.few}:
+            known = ids.tolist()
+            for run in self.few.keys() & set(zip(*(known[i:] for i in range(size)), strict=False)):
+                yield from ((item_id, size, size, 1, 1.0) for item_id in self.few[run])
         if len(ids) < n or not len(self.hash):
             return
         known = np.concatenate([[0], np.cumsum(ids > 0)])
@@ -188,10 +197,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
     rows = texts(docs, id_col, text_col)
     out = spark.createDataFrame([], SCHEMA)
     for block in blocks(benchmark, block_tokens):
-        sent = spark.sparkContext.broadcast(block)
+        sent, key = spark.sparkContext.broadcast(block), f"items {uuid.uuid4()}"
 
-        def make(sent=sent) -> Callable[[Iterator[tuple]], Iterable[tuple]]:
-            items = Items(sent.value, least, coverage)
+        def make(sent=sent, key=key) -> Callable[[Iterator[tuple]], Iterable[tuple]]:
+            items = once(key, lambda: Items(sent.value, least, coverage))
             return lambda source: ((doc_id, *leak) for doc_id, text in source for leak in items.leaks(text))
 
         out = out.unionByName(map_rows(rows, make, SCHEMA))
@@ -216,5 +225,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, covera
     ship(spark)
     for block in blocks(benchmark, block_tokens):
         sent = spark.sparkContext.broadcast(block)
-        docs = docs.filter(~_leaked(sent, least, coverage)(F.col(text_col)))
+        docs = docs.filter(~_leaked(sent, least, coverage)(F.col(quoted(text_col))))
     return docs

@@ -5,17 +5,17 @@ characters. Languages that don't write the word's script aren't candidates for i
 penalty for each switch labels spans of the text; the text's language is the one whose spans hold
 most letters, and the score is their share of all letters.
 
-Most texts are in one language, and that is proven without Viterbi: if no stretch of words gains
-more than the penalty by leaving the best single language, no path with a switch can win. The
-others are decoded in numpy batches, word by word across texts.
+Most texts are in one language, and that is proven without Viterbi: if no words, or no stretch of them,
+gain more than the penalty by leaving the best single language, no path with a switch can win. The
+others are decoded; ``identify`` returns their spans too.
 
-Training is bounded: at most ``max_rows`` documents, dealt out evenly over languages by the hash of
-doc_id, and 65,536 hashed n-grams for each language. Counting runs on the executors.
+Training is bounded: at most ``max_rows`` different documents, dealt out evenly over languages by a hash of
+doc_id and text, and 65,536 hashed n-grams for each language. Counting runs on the executors.
 
 A null text, or one without a letter, is ``und`` with score 0. Letters of scripts that no learned
 language writes give the language with most training rows, as ties do. Repeated rows are labelled
 alike, null ids stay null and count as not held out; an empty table gives an empty result; without
-training rows every text is ``und``. Other columns are ignored.
+training rows every text is ``und``. Very long texts are labelled whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import durable, map_rows, once, texts
@@ -87,14 +87,33 @@ class Model:
         return out - out.max(1, keepdims=True)
 
 
+def _sample(rows: DataFrame, max_rows: int) -> DataFrame:
+    """lang, text of at most ``max_rows`` different rows, each language its even share; durable.
+
+    A row's place is a hash between 0 and 1; of a language with n rows those below its share / n are taken.
+    Neither a language nor an id that many rows have meets in one task.
+    """
+    spark = rows.sparkSession
+    keys = durable(rows.select("lang", "doc_id", F.xxhash64("text").alias("t")).distinct())
+    # A language without one of the max_rows largest counts gets no row: a proven bound.
+    sizes = keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows).collect()
+    low, high = 0.0, float(max_rows)
+    for _ in range(60):  # the share that uses max_rows up
+        share = (low + high) / 2
+        low, high = (share, high) if sum(min(share, r.n) for r in sizes) <= max_rows else (low, share)
+    least = spark.createDataFrame([(r.lang, min(1.0, 1.05 * low / r.n)) for r in sizes], "lang string, least double")
+    place = F.pmod(F.xxhash64("doc_id", "t"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    taken = keys.join(F.broadcast(least), "lang").withColumn("place", place / F.col("least")).filter("place <= 1")
+    taken = taken.orderBy("place", "lang", "doc_id", "t").limit(max_rows).select("lang", "doc_id", "t")
+    # At most max_rows keys: a proven bound.
+    found = rows.withColumn("t", F.xxhash64("text")).join(F.broadcast(taken), ["lang", "doc_id", "t"])
+    return durable(found.groupBy("lang", "doc_id", "t").agg(F.min("text").alias("text")).select("lang", "text"))
+
+
 def train(docs: DataFrame, max_rows: int = MAX_ROWS, folds: int = 3, fold: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).withColumn("turn", turn).filter(F.col("turn") <= max_rows)
-    ids = ids.orderBy("turn", "lang").limit(max_rows).select("doc_id", "lang").distinct()
-    # At most max_rows ids: a proven bound.
-    sample = durable(rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text"))
+    sample = _sample(rows, max_rows)
 
     def make() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
         def counted(source: Iterator[tuple]) -> Iterator[tuple]:
@@ -199,7 +218,7 @@ def spans(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> li
 
 
 class Labeller:
-    """Words met before are looked up; a row of the table is a word's scores."""
+    """Words met before are looked up; a row of the tables is a word's scores, and what it gains by leaving each language."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -208,42 +227,87 @@ class Labeller:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
+        self.gains = np.zeros_like(self.scores)
         self.letters = np.zeros(1024, np.int64)
 
     def rows_of(self, words: list[str]) -> list[int]:
-        new = list(set(words).difference(self.known))
-        if new and len(self.known) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(set(words))
-        if new:
-            at = len(self.known)
-            while at + len(new) > len(self.letters):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-            # Signs that only count as numbers, such as superscripts, aren't letters.
-            self.letters[at : at + len(new)] = [sum(map(str.isalpha, w)) for w in new]
-            self.scores[at : at + len(new)] = self.model.score(new)
-            self.known.update(zip(new, range(at, at + len(new)), strict=True))
-        return list(map(self.known.__getitem__, words))
-
-    def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
+        rows = list(map(self.known.get, words))
+        if None in rows:
+            new = list({w for w, r in zip(words, rows, strict=True) if r is None})
+            if len(self.known) + len(new) > REMEMBERED:
+                self.clear()
+                new = list(set(words))
+            self._learn(new)
+            rows = list(map(self.known.__getitem__, words))
+        return rows
+
+    def _learn(self, new: list[str]) -> None:
+        at = len(self.known)
+        while at + len(new) > len(self.letters):
+            self.scores, self.gains, self.letters = (np.concatenate([x, np.zeros_like(x)]) for x in (self.scores, self.gains, self.letters))
+        scores = self.model.score(new).astype(np.float32)
+        # Signs that only count as numbers, such as superscripts, aren't letters.
+        self.letters[at : at + len(new)] = [sum(map(str.isalpha, w)) for w in new]
+        self.scores[at : at + len(new)] = scores
+        for k in range(scores.shape[1]):
+            others = np.delete(scores, k, axis=1)
+            self.gains[at : at + len(new), k] = others.max(1) - scores[:, k] if others.shape[1] else 0.0
+        self.known.update(zip(new, range(at, at + len(new)), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[tuple[str, float, str]]:
+        """The language of each text, its share of the letters, and the text's spans as ``language:start:end``.
+
+        A span starts with its first word (the first one with the text) and ends where the next one starts.
+        """
         languages = self.model.languages
         if not languages:
-            return [(UNKNOWN, 0.0)] * len(texts)
+            return [(UNKNOWN, 0.0, "")] * len(texts)
         found = [_WORD.findall(t.lower()) for t in texts]
         at = np.array(self.rows_of([w for f in found for w in f]), np.int64)
         of = np.repeat(np.arange(len(texts)), [len(f) for f in found])
         keep = self.letters[at] > 0
         at, of = at[keep], of[keep]
+        letters = self.letters[at]
+        total = np.bincount(of, letters, len(texts))
+        out: list[tuple[str, float, str]] = [(UNKNOWN, 0.0, "")] * len(texts)
+        if not len(at):
+            return out
         lengths = np.bincount(of, minlength=len(texts))
-        path = label(self.scores[at].astype(np.float64), lengths)
-        share = np.bincount(of * len(languages) + path, self.letters[at], len(texts) * len(languages)).reshape(len(texts), -1)
-        total, best = share.sum(1), share.argmax(1)
-        return [(languages[b], float(s[b] / n)) if n else (UNKNOWN, 0.0) for b, s, n in zip(best.tolist(), share, total, strict=True)]
+        full = np.flatnonzero(lengths)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])[full]
+        mine = np.add.reduceat(self.scores[at], starts, dtype=np.float64).argmax(1)
+        # No path with a switch can win where all that words gain by leaving the best language is no more than the penalty.
+        gain = np.maximum(self.gains[at, np.repeat(mine, lengths[full])], 0)
+        mixed = np.add.reduceat(gain, starts, dtype=np.float64) > SWITCH - 1e-3
+        for i, k in zip(full[~mixed].tolist(), mine[~mixed].tolist(), strict=True):
+            out[i] = (languages[k], 1.0, f"{languages[k]}:0:{len(texts[i])}")
+        for i, k, a in zip(full[mixed].tolist(), mine[mixed].tolist(), starts[mixed].tolist(), strict=True):
+            own = slice(a, a + int(lengths[i]))
+            path = label(self.scores[at[own]].astype(np.float64), lengths[i : i + 1])
+            share = np.bincount(path, letters[own], len(languages))
+            best = int(share.argmax())
+            cuts = np.flatnonzero(np.diff(path)) + 1
+            if not len(cuts):
+                out[i] = (languages[k], 1.0, f"{languages[k]}:0:{len(texts[i])}")
+                continue
+            first = self._places(texts[i])
+            ends = [0, *(first[c] for c in cuts.tolist()), len(texts[i])]
+            parts = zip(path[[0, *cuts]].tolist(), ends, ends[1:], strict=False)
+            out[i] = (languages[best], float(share[best] / total[i]), ",".join(f"{languages[x]}:{b}:{e}" for x, b, e in parts))
+        return out
+
+    def _places(self, text: str) -> list[int]:
+        """Where the words with letters start, in the text itself."""
+        low = text.lower()
+        if len(low) == len(text):
+            return [m.start() for m in _WORD.finditer(low) if self.letters[self.known[m[0]]] > 0]
+        # Some letters are longer in lower case: each is counted back.
+        back = [i for i, c in enumerate(text) for _ in c.lower()]
+        return [back[m.start()] for m in _WORD.finditer(low) if self.letters[self.known[m[0]]] > 0]
 
 
 def identify(docs: DataFrame, model: Model, folds: int = 3, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row."""
+    """doc_id, held_out, lang_pred, score, lang_spans for every row."""
     key = f"language {uuid.uuid4()}"
 
     def make() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
@@ -255,7 +319,7 @@ def identify(docs: DataFrame, model: Model, folds: int = 3, fold: int = 1, id_co
             for row in source:
                 batch.append(row)
                 held += len(row[2])
-                if held >= 1_000_000:
+                if held >= 500_000:
                     yield from ((i, out, *found) for (i, out, _), found in zip(batch, labeller([t for *_, t in batch]), strict=True))
                     batch, held = [], 0
             if batch:
@@ -264,4 +328,4 @@ def identify(docs: DataFrame, model: Model, folds: int = 3, fold: int = 1, id_co
         return rows
 
     rows = texts(docs, id_col, text_col).select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "text")
-    return map_rows(rows, make, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return map_rows(rows, make, "doc_id bigint, held_out boolean, lang_pred string, score double, lang_spans string")

@@ -62,6 +62,11 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return folder
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    system, path = _path(spark, folder)
+    return system.exists(path)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     system, path = _path(spark, folder)
     system.delete(path, True)

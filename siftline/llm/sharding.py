@@ -1,15 +1,20 @@
 """Sharding by fixed virtual slots.
 
 A row's slot is a hash of its id and text, one of 4,096, and never changes. Bytes and rows are
-added up by slot, and a slot-to-shard map says where each slot lies. Maps have versions: the first
-deals slots out in turn; ``rebalanced`` edits a map into the next version by moving single slots
-from the heaviest to the lightest shard while that brings them closer. An edit that adds shards
-moves slots into the new ones only. Only the map is edited;
-rows of slots that don't move stay where they are. Law: ``bytes``, sizes near equal.
-
-Null texts count as empty (size 1), null ids hash like a value of their own. Rows that repeat both
-id and text share a slot and are numbered in turn. An empty table gives an empty result; other
-columns are ignored.
+added up by slot, and a slot-to-shard map says where each slot lies. Maps have versions, each a stored
+table: the first deals slots out in turn; ``rebalanced`` edits a map into the next version by moving single
+slots from the heaviest to the lightest shard while that brings them closer. An edit that adds shards
+moves slots into the new ones only. Only the map is edited; rows of slots that don't move stay where
+they are. ``assign`` reads the last version of a folder, stores the next one there and follows it.
+
+Law: ``bytes``, sizes near equal. Equal texts form no unit: copies under different ids are spread over slots
+like any other rows, as a group that holds a third of all bytes couldn't stay together under this law.
+Rows that repeat both id and text would share a slot: each of them but the first of its repeats is put by a
+number that it gets when the rows are written, so that they are spread too.
+
+Null texts count as empty (size 1), null ids hash like a value of their own; very long texts are one row of
+their size. Of equally heavy shards, ties, the first gives and takes; of equally good slots the first moves.
+An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import durable, texts
+from .runtime import durable, exists, new_folder, texts
 
 SLOTS, SHARDS = 4096, 8
 
@@ -39,6 +44,8 @@ class SlotMap:
         count = shards or self.shards
         if count < self.shards:
             raise ValueError("a map can't lose shards: move their slots first")
+        if max(slot_bytes, default=0) >= len(self.shard_of):
+            raise ValueError("the map has fewer slots")
         of, load = list(self.shard_of), [0] * count
         held: list[dict[int, int]] = [{} for _ in range(count)]
         for slot, size in slot_bytes.items():
@@ -72,9 +79,17 @@ class SlotMap:
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot: durable, without texts."""
+    """doc_id, size, text_crc32, row, virtual_slot: durable, without texts."""
     rows = texts(docs, id_col, text_col).select("doc_id", (F.octet_length("text").cast("long") + 1).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    return durable(rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int")))
+    rows = durable(rows.withColumn("row", F.monotonically_increasing_id()))
+    again = rows.groupBy(F.col("doc_id").alias("id"), F.col("text_crc32").alias("crc"), F.col("size").alias("s")).agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = durable(again.drop("n"))
+    rows = rows.withColumn("salt", F.lit(0).cast("long"))
+    if not again.isEmpty():
+        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_crc32") == F.col("crc")) & (F.col("size") == F.col("s"))
+        rows = rows.join(again, same, "left").withColumn("salt", F.when(F.col("row") > F.col("first"), F.col("row")).otherwise(0).cast("long"))
+    h = F.when(F.col("salt") == 0, F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("doc_id", "text_crc32", "salt"))
+    return durable(rows.select("doc_id", "size", "text_crc32", "row", F.pmod(h, F.lit(slots)).cast("int").alias("virtual_slot")))
 
 
 def slot_sizes(rows: DataFrame) -> dict[int, tuple[int, int]]:
@@ -82,21 +97,31 @@ def slot_sizes(rows: DataFrame) -> dict[int, tuple[int, int]]:
     return {r[0]: (r[1], r[2]) for r in rows.groupBy("virtual_slot").agg(F.sum("size"), F.count("*")).collect()}
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: SlotMap | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (place in the shard), grown_shard, virtual_slot, map_version.
 
-    ``slot_map``: the map to follow; without one, the first map rebalanced to the rows at hand.
+    ``folder``: where the versions of the map are stored; without one they go to a new folder of the shared one.
+    The last version there (or the first map) is rebalanced to the rows at hand and, if that moves a slot
+    or adds shards, stored as the next version.
     """
+    spark = docs.sparkSession
     rows = slotted(docs, slots, id_col, text_col)
     sizes = slot_sizes(rows)
-    slot_map = slot_map or SlotMap.first(shards, slots).rebalanced({s: b for s, (b, _) in sizes.items()})
+    folder = folder or new_folder(spark, "slots")
+    if not exists(spark, folder):
+        SlotMap.first(shards, slots).save(spark, folder)
+    old = SlotMap.load(spark, folder)
+    new = old.rebalanced({s: b for s, (b, _) in sizes.items()}, shards)
+    if (new.shards, new.shard_of) != (old.shards, old.shard_of):
+        new.save(spark, folder)
+    slot_map = SlotMap.load(spark, folder)
     base, filled = [], [0] * slot_map.shards
     for slot in range(slots):
         base.append((slot, slot_map.shard_of[slot], filled[slot_map.shard_of[slot]]))
         filled[slot_map.shard_of[slot]] += sizes.get(slot, (0, 0))[1]
     # One row for each slot: a proven bound.
-    places = F.broadcast(docs.sparkSession.createDataFrame(base, "virtual_slot int, shard int, base long"))
-    turn = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
+    places = F.broadcast(spark.createDataFrame(base, "virtual_slot int, shard int, base long"))
+    turn = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "row"))
     return rows.withColumn("turn", turn).join(places, "virtual_slot").select(
         "doc_id",
         "size",

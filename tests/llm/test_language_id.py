@@ -72,3 +72,50 @@ def test_no_letters_and_no_training_rows(spark, odd, none, model):
     got = {r.doc_id: r.lang_pred for r in op.identify(rows, model).collect()}
     assert got[1] == "und" and got[2] in model.languages
     assert {r.lang_pred for r in op.identify(odd, op.train(none)).collect()} == {"und"}
+
+
+def test_spans_and_scores_as_plain_viterbi(spark, docs, model):
+    """The query's rows against the paths of viterbi() alone, and spans that cover the text."""
+    mixed = [(1, "the and that with was then this for of to is are in it " * 3 + "İ der die und das nicht mit sich auf den von ein eine ist zu " * 3), (2, "12 -")]
+    rows = [tuple(r) for r in docs.select("doc_id", "text").limit(300).collect()] + mixed
+    got = op.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    labeller, many = op.Labeller(model), 0
+    for (_, text), r in zip(rows, got, strict=True):
+        words = [w for w in op._WORD.findall((text or "").lower()) if any(c.isalpha() for c in w)]
+        if not words:
+            assert (r.lang_pred, r.score, r.lang_spans) == ("und", 0.0, "")
+            continue
+        at = labeller.rows_of(words)
+        path = op.viterbi(labeller.scores[at].astype(float), np.array([len(words)]), op.SWITCH)
+        letters = [sum(map(str.isalpha, w)) for w in words]
+        share = np.bincount(path, letters, len(model.languages))
+        assert r.lang_pred == model.languages[share.argmax()] and r.score == pytest.approx(share.max() / sum(letters))
+        spans = [x.split(":") for x in r.lang_spans.split(",")]
+        assert [x[0] for x in spans] == [model.languages[path[0]], *(model.languages[b] for a, b in zip(path, path[1:]) if a != b)]
+        assert spans[0][1] == "0" and int(spans[-1][2]) == len(text) and all(a[2] == b[1] for a, b in zip(spans, spans[1:]))
+        many += len(spans) > 1
+    assert many >= 1
+    one = next(r for r in got if r.doc_id == 1 and r.lang_spans.count(":") > 2)
+    start = int(one.lang_spans.split(",")[1].split(":")[1])
+    assert mixed[0][1][start - 1] == " " and abs(start - mixed[0][1].index("İ")) < 20
+
+
+def test_training_by_hand(spark):
+    """Weights against plain counts; a hot language, id and copies take no more than their share."""
+    rows = [(i, f"hello w{i}", "en") for i in range(400)] + [(5000, "again", "en")] * 500 + [(1000 + i, f"hallo v{i}", "de") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = op.train(docs, max_rows=10_000)
+    import zlib
+
+    for k, lang in enumerate(model.languages):
+        own = {(i, t) for i, t, x in rows if x == lang and zlib.crc32(str(i).encode()) % 3 != 1}
+        count = np.zeros(op.BUCKETS)
+        for _, t in own:
+            for w in op._WORD.findall(t):
+                for n in op.GRAMS:
+                    for a in range(len(w) + 3 - n):
+                        count[zlib.crc32(f" {w} "[a : a + n].encode("utf-32-le")) % op.BUCKETS] += 1
+        assert np.allclose(model.weights[:, k], np.log(count + op.SMOOTH) - np.log(count.sum() + op.SMOOTH * op.BUCKETS))
+    kept = op._sample(docs, 60).collect()
+    n = sum(r.lang == "de" for r in kept)
+    assert len(kept) <= 60 and 24 <= n <= 30 and len(kept) - n >= 20

@@ -53,3 +53,29 @@ def test_versions_are_stored(spark, tmp_path):
     a.save(spark, str(tmp_path))
     b.save(spark, str(tmp_path))
     assert op.SlotMap.load(spark, str(tmp_path)) == b and op.SlotMap.load(spark, str(tmp_path), 1) == a
+
+
+def test_the_query_edits_the_stored_map(spark, sf_dir, tmp_path):
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), str(tmp_path / "slots")
+    before = op.assign(docs.limit(100), folder=folder).collect()
+    rows = op.assign(docs, folder=folder).collect()
+    grown = op.assign(docs, shards=9, folder=folder).collect()
+    versions = [op.SlotMap.load(spark, folder, v) for v in range(1, grown[0].map_version + 1)]
+    assert versions[0] == op.SlotMap.first() and before[0].map_version < rows[0].map_version < grown[0].map_version
+    for got in (before, rows, grown):
+        of = versions[got[0].map_version - 1].shard_of
+        assert all(r.shard == of[r.virtual_slot] for r in got)
+    slot = {(r.doc_id, r.text_crc32): r.virtual_slot for r in rows}
+    assert all(slot[r.doc_id, r.text_crc32] == r.virtual_slot for r in grown)
+    assert all(a == b or b == 8 for a, b in zip(versions[-2].shard_of, versions[-1].shard_of))
+
+
+def test_rows_that_repeat_id_and_text_are_spread(spark):
+    rows = [(7, "same text")] * 3000 + [(None, None)] * 3000 + [(i, f"t{i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = op.assign(docs).collect()
+    check(got, rows)
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert max(load.values()) - min(load.values()) < 0.03 * max(load.values())
