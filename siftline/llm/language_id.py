@@ -150,32 +150,34 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, folds: int = 3, fold: int =
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
-    """The best path of each text, by word. scores: the words of all texts, a column a language."""
-    n, k = scores.shape
-    out = np.zeros(n, np.int16)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    full = np.flatnonzero(lengths > 0)
-    order = full[np.argsort(-lengths[full], kind="stable")]
-    while len(order):
-        steps = int(lengths[order[0]])
-        group, order = np.split(order, [max(1, 4_000_000 // (steps * k))])
-        back = np.zeros((steps, len(group), k), np.int16)
-        own, size = starts[group], lengths[group]
-        best = scores[own].copy()
-        stay = np.arange(k)
-        for t in range(1, steps):
-            live = int(np.searchsorted(-size, -t, "left"))  # texts with more than t words
-            now = best[:live]
-            top = now.argmax(1)
-            jump = now[np.arange(live), top] - switch
-            moved = jump[:, None] > now
-            back[t, :live] = np.where(moved, top[:, None], stay)
-            best[:live] = np.where(moved, jump[:, None], now) + scores[own[:live] + t]
-        state = best.argmax(1)
-        for t in range(steps - 1, -1, -1):
-            live = int(np.searchsorted(-size, -t, "left"))
-            out[own[:live] + t] = state[:live]
-            state[:live] = back[t, np.arange(live), state[:live]]
+    """The best path of each text, by word. scores: the words of all texts, a column a language.
+
+    A step needs few languages' sums only, for which plain numbers are faster than arrays.
+    """
+    out, start = np.zeros(len(scores), np.int16), 0
+    for n in lengths.tolist():
+        if not n:
+            continue
+        rows = scores[start : start + n].tolist()
+        best, back = rows[0], []
+        for row in rows[1:]:
+            top = max(best)
+            jump = top - switch
+            if min(best) < jump:
+                back.append((best.index(top), [x < jump for x in best]))
+                best = [(x if x >= jump else jump) + y for x, y in zip(best, row, strict=True)]
+            else:
+                back.append(None)
+                best = [x + y for x, y in zip(best, row, strict=True)]
+        state = best.index(max(best))
+        path = [state] * n
+        for t in range(n - 2, -1, -1):
+            step = back[t]
+            if step is not None and step[1][state]:
+                state = step[0]
+            path[t] = state
+        out[start : start + n] = path
+        start += n
     return out
 
 
@@ -278,17 +280,20 @@ class Labeller:
         mine = np.add.reduceat(self.scores[at], starts, dtype=np.float64).argmax(1)
         # No path with a switch can win where all that words gain by leaving the best language is no more than the penalty.
         gain = np.maximum(self.gains[at, np.repeat(mine, lengths[full])], 0)
-        mixed = np.add.reduceat(gain, starts, dtype=np.float64) > SWITCH - 1e-3
-        for i, k in zip(full[~mixed].tolist(), mine[~mixed].tolist(), strict=True):
+        mixed = np.flatnonzero(np.add.reduceat(gain, starts, dtype=np.float64) > SWITCH - 1e-3)
+        for i, k in zip(full.tolist(), mine.tolist(), strict=True):
             out[i] = (languages[k], 1.0, f"{languages[k]}:0:{len(texts[i])}")
-        for i, k, a in zip(full[mixed].tolist(), mine[mixed].tolist(), starts[mixed].tolist(), strict=True):
+        taken = np.isin(np.repeat(np.arange(len(full)), lengths[full]), mixed)
+        paths = label(self.scores[at[taken]].astype(np.float64), lengths[full[mixed]])
+        done = 0
+        for i, a in zip(full[mixed].tolist(), starts[mixed].tolist(), strict=True):
             own = slice(a, a + int(lengths[i]))
-            path = label(self.scores[at[own]].astype(np.float64), lengths[i : i + 1])
+            path = paths[done : done + int(lengths[i])]
+            done += len(path)
             share = np.bincount(path, letters[own], len(languages))
             best = int(share.argmax())
             cuts = np.flatnonzero(np.diff(path)) + 1
             if not len(cuts):
-                out[i] = (languages[k], 1.0, f"{languages[k]}:0:{len(texts[i])}")
                 continue
             first = self._places(texts[i])
             ends = [0, *(first[c] for c in cuts.tolist()), len(texts[i])]

@@ -54,7 +54,9 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    words = secret_scan.vocabulary_words(_tokenizer("word_bpe_49k.json")), secret_scan.learned_words(docs)
+    return secret_scan.scan(docs, words)
 
 
 def personal(spark: SparkSession, sf_dir: str) -> DataFrame:

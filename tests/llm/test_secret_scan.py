@@ -31,7 +31,8 @@ def segments(v):
             n = j - i
             if n == 1:
                 yield i, j, math.log10(op._charset(v[i]))
-            rank, folded = op._RANK.get(low[i:j]), op._RANK.get(plain[i:j])
+            ranks = op.guess_cost.rank
+            rank, folded = ranks.get(low[i:j]), ranks.get(plain[i:j])
             if rank or folded:
                 yield i, j, (math.log10(rank) if rank else math.log10(folded) + 0.6) + 0.3 * (v[i:j] != low[i:j])
             m = op._DATE.match(v, i)
@@ -40,14 +41,16 @@ def segments(v):
             starts = i == 0 or low[i] != low[i - 1]
             if n >= 3 and len(set(low[i:j])) == 1 and starts:
                 yield i, j, math.log10(op._charset(v[j - 1])) + math.log10(n)
-            walks = i == 0 or low[i - 1 : i + 1] not in op._NEXT
-            if n >= 3 and walks and all(low[k : k + 2] in op._NEXT for k in range(i, j - 1)):
-                yield i, j, math.log10(4 * len(op.KEYBOARD)) + math.log10(2 * n)
+            keys = low.translate(op.SHIFTED)
+            walks = i == 0 or keys[i - 1 : i + 1] not in op._NEXT
+            moves = [op._NEXT.get(keys[k : k + 2]) for k in range(i, j - 1)]
+            if n >= 3 and walks and all(moves):
+                yield i, j, math.log10(36 * n) + sum(a != b for a, b in zip(moves, moves[1:])) * math.log10(4)
 
 
 def test_guess_cost_is_the_least_over_all_segmentations():
     rng = random.Random(2)
-    parts = ["password", "P@ssw0rd", "qwer", "asdf", "aaaa", "1111", "1999", "2020-01-02", "x", "Z", "$", "é", "love", "12"]
+    parts = ["password", "P@ssw0rd", "qwer", "asdf", "aaaa", "1111", "1999", "2020-01-02", "x", "Z", "$", "é", "love", "12", "1qaz", "!@#", "zaq!"]
     for _ in range(600):
         v = "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
         cost = [0.0] + [math.inf] * len(v)
@@ -75,3 +78,28 @@ def test_rows(odd, odd_rows, none, spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(op.joined(base).encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for *_, k in base) for x in op.BASE]
         assert set(op.joined(base).split(",")) <= set(r.spans.split(","))
+
+
+def test_prose_behind_a_credential_word_is_no_secret(spark):
+    import public_tokenizers
+
+    english = op.vocabulary_words(public_tokenizers.path("word_bpe_49k.json"))
+    guess = op.Guesser([op.WORDS, english])
+    spans = lambda t: [t[a:b] for a, b, _ in op.guessed_spans(t, guess)]
+    prose = "token: tomorrow auth: required Secret: friendship password: banana secret: everyone token: sequence "
+    prose += "the secret: nobody knows. Auth: disabled, api key: optional password = required token=true credentials: missing"
+    assert spans(prose) == []
+    secrets = ["xK9#mQ2$vL7p", "q7GhT2pLx9Zw", "zmtrwqkvhx", "9f8e7d6c5b4a", "Tr0ub4dor&3xyz!"]
+    for v in secrets:
+        assert spans(f"password: {v}") == [v], v
+    for v in ["1qaz2wsx", "qwertyuiop", "!@#$%^&*()", "zaq12wsx", "aaaaaaaaaaaa", "2020-01-02", "Password1999"]:
+        assert spans(f"password: {v}") == [], v
+
+
+def test_words_are_learned_from_all_texts_but_not_from_values(spark):
+    rows = [(i, f"Zorblat wimple token: qhzkvxwpmt {'gribbet ' * (i % 3)}") for i in range(60)] + [(99, None), (100, "rare " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert op.learned_words(docs) == ["gribbet", "wimple", "zorblat"]
+    assert op.learned_words(docs, most=2) == [] and op.learned_words(docs.limit(0)) == []
+    guess = op.Guesser([op.WORDS, op.learned_words(docs)])
+    assert op.guessed_spans("secret: zorblat", guess) == [] and len(op.guessed_spans("secret: qhzkvxwpmt", guess)) == 1
