@@ -25,6 +25,7 @@ import math
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -84,31 +85,31 @@ def log_count_ratios(pos: np.ndarray, neg: np.ndarray, toxic: int, other: int, s
     return up - down
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, cut: list[np.ndarray], ridge: float = RIDGE, steps: int = STEPS) -> Model:
+def fit(rows: list[np.ndarray], y: np.ndarray, sizes: np.ndarray, grams: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> Model:
     """Weights of all places, and the intercept, by Adam on the whole (bounded) sample from zero: deterministic.
 
-    rows: the words of each text, as places in ``cut``; cut: the places of each word's n-grams.
+    rows: the words of each text, as numbers; sizes, grams: how many places each word's n-grams have, and these.
     """
-    n, v = len(rows), len(cut)
-    of, word = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    owner, gram = np.repeat(np.arange(v), [len(c) for c in cut]), np.concatenate(cut) if v else np.zeros(0, np.int64)
-    used, gram = np.unique(gram, return_inverse=True)
-    k = len(used)
-    count, ends = np.zeros((2, k)), np.cumsum([len(c) for c in cut]).tolist()
-    parts = [gram[b - len(c) : b] for b, c in zip(ends, cut, strict=True)]
+    n, v = len(rows), len(sizes)
+    of, word = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate([np.zeros(0, np.int64), *rows])
+    used, gram = np.unique(grams, return_inverse=True)
+    k, ends = len(used), np.cumsum(sizes)
+    starts = ends - sizes
+    count = np.zeros((2, k))
     for own, toxic in zip(rows, y.astype(int).tolist(), strict=True):
         if len(own):
-            count[toxic, np.unique(np.concatenate([parts[i] for i in own.tolist()]))] += 1
+            count[toxic, np.unique(np.concatenate([gram[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]))] += 1
     r = log_count_ratios(count[1], count[0], int(y.sum()), int(n - y.sum()))
     rg, w = r[gram], np.zeros(k + 1)
     m, s = np.zeros(k + 1), np.zeros(k + 1)
     w[k] = np.log((y.sum() + 1) / (n - y.sum() + 1))
     for t in range(1, steps + 1):
-        worth = np.bincount(owner, w[gram] * rg, v)
+        worth = np.add.reduceat(w[gram] * rg, starts) if v else np.zeros(0)
         z = np.bincount(of, worth[word], n) + w[k]
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        pull = np.bincount(word, error[of], v)
-        g = np.append(np.bincount(gram, pull[owner] * rg, k) + ridge * w[:k], error.sum())
+        pull = np.repeat(np.bincount(word, error[of], v), sizes)
+        pull *= rg
+        g = np.append(np.bincount(gram, pull, k) + ridge * w[:k], error.sum())
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
     out = np.zeros(PLACES, np.float32)
@@ -132,21 +133,42 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
                 if len(seen) > 500_000:
                     seen.clear()
                 seen |= new
-                yield from ((w, np.sort(np.array(grams(w), "<i4")).tobytes()) for w in new)
+                yield from ((_key(w), np.sort(np.array(grams(w), "<i4")).tobytes()) for w in new)
+
+        return rows
+
+    def together() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
+        """Many words in one row, so that the driver gets few."""
+
+        def rows(source: Iterator[tuple]) -> Iterator[tuple]:
+            while part := list(islice(source, 10_000)):
+                yield np.array([k for k, _ in part], "<i8").tobytes(), np.array([len(x) // 4 for _, x in part], "<i4").tobytes(), b"".join(x for _, x in part)
 
         return rows
 
     def of_texts() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
-        return lambda source: ((toxic, "\n".join(sorted(words(text)))) for toxic, text in source)
+        return lambda source: ((toxic, np.sort(np.array([_key(w) for w in words(text)], "<i8")).tobytes()) for toxic, text in source)
 
+    known = map_rows(sample.select("text"), of_words, "key bigint, at binary").dropDuplicates(["key"])
+    parts = map_rows(known, together, "keys binary, sizes binary, at binary").collect()
+    join = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in parts)])
+    keys, sizes, places = join("keys", "<i8"), join("sizes", "<i4").astype(np.int64), join("at", "<i4")
     # Sorted, so that the sums, and with them the model, don't depend on the order of tasks.
-    cut = sorted((r.word, bytes(r.at)) for r in map_rows(sample.select("text"), of_words, "word string, at binary").dropDuplicates(["word"]).collect())
-    at = {w: i for i, (w, _) in enumerate(cut)}
-    rows = sorted(tuple(r) for r in map_rows(sample.select("toxic", "text"), of_texts, "toxic int, words string").collect())
+    order = np.argsort(keys)
+    first = (np.cumsum(sizes) - sizes)[order]
+    keys, sizes = keys[order], sizes[order]
+    places = places[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))] if len(keys) else places
+    rows = sorted((r.toxic, bytes(r.words)) for r in map_rows(sample.select("toxic", "text"), of_texts, "toxic int, words binary").collect())
     y = np.array([r[0] for r in rows], float)
     if not 0 < y.sum() < len(y):
         return np.zeros(PLACES, np.float32), 30.0 if y.sum() else -30.0
-    return fit([np.array([at[w] for w in r[1].split("\n") if w], np.int64) for r in rows], y, [np.frombuffer(c, "<i4").astype(np.int64) for _, c in cut])
+    return fit([np.searchsorted(keys, np.frombuffer(x, "<i8")) for _, x in rows], y, sizes, places)
+
+
+def _key(word: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
