@@ -37,6 +37,8 @@ from .runtime import durable, map_rows, once, quoted, ship, texts
 SIZES, PLACES = (4, 5, 6), 1 << 20
 MAX_ROWS = 8000
 SMOOTH, RIDGE, STEPS = 1.0, 3e-3, 60
+#: Words whose n-grams are gone through at a time in training.
+BLOCK = 20_000
 #: Words whose worth a Python worker remembers; the table is emptied when it is full.
 REMEMBERED = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -91,8 +93,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray, sizes: np.ndarray, grams: np.ndar
     rows: the words of each text, as numbers; sizes, grams: how many places each word's n-grams have, and these.
     """
     n, v = len(rows), len(sizes)
-    of, word = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate([np.zeros(0, np.int64), *rows])
-    used, gram = np.unique(grams, return_inverse=True)
+    of, word = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows]), np.concatenate([np.zeros(0, np.int32), *rows])
+    seen = np.zeros(PLACES, bool)
+    seen[grams] = True
+    used = np.flatnonzero(seen)
+    gram = (np.cumsum(seen, dtype=np.int32) - 1)[grams]
     k, ends = len(used), np.cumsum(sizes)
     starts = ends - sizes
     count = np.zeros((2, k))
@@ -100,16 +105,23 @@ def fit(rows: list[np.ndarray], y: np.ndarray, sizes: np.ndarray, grams: np.ndar
         if len(own):
             count[toxic, np.unique(np.concatenate([gram[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]))] += 1
     r = log_count_ratios(count[1], count[0], int(y.sum()), int(n - y.sum()))
-    rg, w = r[gram], np.zeros(k + 1)
-    m, s = np.zeros(k + 1), np.zeros(k + 1)
+    w, m, s = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     w[k] = np.log((y.sum() + 1) / (n - y.sum() + 1))
+    # So many words at a time that what is worked out for their n-grams stays small.
+    blocks = [(i, min(i + BLOCK, v)) for i in range(0, v, BLOCK)]
+    worth, g = np.zeros(v), np.zeros(k + 1)
     for t in range(1, steps + 1):
-        worth = np.add.reduceat(w[gram] * rg, starts) if v else np.zeros(0)
+        scaled = w[:k] * r
+        for i, j in blocks:
+            worth[i:j] = np.add.reduceat(scaled[gram[starts[i] : ends[j - 1]]], starts[i:j] - starts[i])
         z = np.bincount(of, worth[word], n) + w[k]
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        pull = np.repeat(np.bincount(word, error[of], v), sizes)
-        pull *= rg
-        g = np.append(np.bincount(gram, pull, k) + ridge * w[:k], error.sum())
+        pull = np.bincount(word, error[of], v)
+        g[:] = 0.0
+        for i, j in blocks:
+            g[:k] += np.bincount(gram[starts[i] : ends[j - 1]], np.repeat(pull[i:j], sizes[i:j]), k)
+        g[:k] = g[:k] * r + ridge * w[:k]
+        g[k] = error.sum()
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
     out = np.zeros(PLACES, np.float32)
@@ -152,17 +164,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
     known = map_rows(sample.select("text"), of_words, "key bigint, at binary").dropDuplicates(["key"])
     parts = map_rows(known, together, "keys binary, sizes binary, at binary").collect()
     join = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in parts)])
-    keys, sizes, places = join("keys", "<i8"), join("sizes", "<i4").astype(np.int64), join("at", "<i4")
+    keys, sizes, found = join("keys", "<i8"), join("sizes", "<i4").astype(np.int64), join("at", "<i4")
+    del parts
     # Sorted, so that the sums, and with them the model, don't depend on the order of tasks.
-    order = np.argsort(keys)
-    first = (np.cumsum(sizes) - sizes)[order]
-    keys, sizes = keys[order], sizes[order]
-    places = places[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))] if len(keys) else places
+    order, first = np.argsort(keys), np.cumsum(sizes) - sizes
+    keys, sizes, first = keys[order], sizes[order], first[order]
+    places, done = np.zeros_like(found), 0
+    for a, n in zip(first.tolist(), sizes.tolist(), strict=True):
+        places[done : done + n] = found[a : a + n]
+        done += n
+    del found
     rows = sorted((r.toxic, bytes(r.words)) for r in map_rows(sample.select("toxic", "text"), of_texts, "toxic int, words binary").collect())
     y = np.array([r[0] for r in rows], float)
     if not 0 < y.sum() < len(y):
         return np.zeros(PLACES, np.float32), 30.0 if y.sum() else -30.0
-    return fit([np.searchsorted(keys, np.frombuffer(x, "<i8")) for _, x in rows], y, sizes, places)
+    return fit([np.searchsorted(keys, np.frombuffer(x, "<i8")).astype(np.int32) for _, x in rows], y, sizes, places)
 
 
 def _key(word: str) -> int:
