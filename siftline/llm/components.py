@@ -16,21 +16,21 @@ from .runtime import durable
 ROUNDS = 60
 #: Links for each task: rounds over few links don't need many tasks and files.
 TASK_LINKS = 50_000
-#: A node with over a HUBS-th of all links is a hub: its links aren't brought to one task.
+#: A node with over about a HUBS-th of all links is a hub: its links aren't brought to one task.
 HUBS = 1000
 
 
-def _star(links: DataFrame, large: bool, tasks: int, hub: int) -> DataFrame:
-    """links: u, v with u > v, each once. ``hub``: links from which on a node's smallest one is broadcast."""
+def _star(links: DataFrame, large: bool, tasks: int, hub: int | None) -> DataFrame:
+    """links: u, v with u > v, each once. ``hub``: links above which a node's smallest one is broadcast; None: all are."""
     ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
     least = ends.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
     rows = ends.filter("v > u") if large else ends
-    # All nodes together have 2 * HUBS * hub links at most, so there are 2 * HUBS hubs at most: a proven bound.
-    hubs = F.broadcast(least.filter(F.col("n") > hub).select("u", F.col("m").alias("h")))
-    rows = rows.join(hubs, "u", "left")
-    done = rows.filter("h IS NOT NULL").select(F.col("v").alias("a"), F.col("h").alias("b"))
-    out = rows.filter("h IS NULL").select("u", "v").join(least.filter(F.col("n") <= hub), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    out = out.unionByName(done)
+    if hub is None:
+        out = rows.join(F.broadcast(least.drop("n")), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    else:
+        rows = rows.join(F.broadcast(least.filter(F.col("n") > hub).select("u", F.col("m").alias("h"))), "u", "left")
+        done = rows.filter("h IS NOT NULL").select(F.col("v").alias("a"), F.col("h").alias("b"))
+        out = rows.filter("h IS NULL").select("u", "v").join(least.filter(F.col("n") <= hub), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(done)
     if not large:
         out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     out = out.filter("a != b").coalesce(tasks)
@@ -43,7 +43,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(links)
     for _ in range(ROUNDS if before[0] else 0):
-        tasks, hub = before[0] // TASK_LINKS + 1, before[0] // HUBS + 1
+        tasks = before[0] // TASK_LINKS + 1
+        # Links are few, or else each hub has over a HUBS-th of them (of all, rounded up to a power of two):
+        # in both cases what is broadcast has a proven bound, 2 * TASK_LINKS or 4 * HUBS rows.
+        hub = None if before[0] <= TASK_LINKS else (1 << before[0].bit_length()) // (2 * HUBS)
         links = durable(_star(_star(links.coalesce(tasks), True, tasks, hub), False, tasks, hub))
         now = mark(links)
         if now == before:
