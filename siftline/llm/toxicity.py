@@ -38,7 +38,7 @@ SIZES, PLACES = (4, 5, 6), 1 << 20
 MAX_ROWS = 8000
 SMOOTH, RIDGE, STEPS = 1.0, 3e-3, 60
 #: Words whose n-grams are gone through at a time in training.
-BLOCK = 20_000
+BLOCK = 10_000
 #: Words whose worth a Python worker remembers; the table is emptied when it is full.
 REMEMBERED = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -87,17 +87,14 @@ def log_count_ratios(pos: np.ndarray, neg: np.ndarray, toxic: int, other: int, s
     return up - down
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, sizes: np.ndarray, grams: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> Model:
+def fit(rows: list[np.ndarray], y: np.ndarray, sizes: np.ndarray, used: np.ndarray, gram: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> Model:
     """Weights of all places, and the intercept, by Adam on the whole (bounded) sample from zero: deterministic.
 
-    rows: the words of each text, as numbers; sizes, grams: how many places each word's n-grams have, and these.
+    rows: the words of each text, as numbers; sizes, gram: how many places each word's n-grams have, and these,
+    as numbers of ``used`` ones.
     """
     n, v = len(rows), len(sizes)
     of, word = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows]), np.concatenate([np.zeros(0, np.int32), *rows])
-    seen = np.zeros(PLACES, bool)
-    seen[grams] = True
-    used = np.flatnonzero(seen)
-    gram = (np.cumsum(seen, dtype=np.int32) - 1)[grams]
     k, ends = len(used), np.cumsum(sizes)
     starts = ends - sizes
     count = np.zeros((2, k))
@@ -169,16 +166,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
     # Sorted, so that the sums, and with them the model, don't depend on the order of tasks.
     order, first = np.argsort(keys), np.cumsum(sizes) - sizes
     keys, sizes, first = keys[order], sizes[order], first[order]
-    places, done = np.zeros_like(found), 0
+    seen = np.zeros(PLACES, bool)
+    seen[found] = True
+    used, number = np.flatnonzero(seen), np.cumsum(seen, dtype=np.int32) - 1
+    gram, done = np.zeros(len(found), np.int32), 0
     for a, n in zip(first.tolist(), sizes.tolist(), strict=True):
-        places[done : done + n] = found[a : a + n]
+        gram[done : done + n] = number[found[a : a + n]]
         done += n
-    del found
+    del found, first, order, number, seen
     rows = sorted((r.toxic, bytes(r.words)) for r in map_rows(sample.select("toxic", "text"), of_texts, "toxic int, words binary").collect())
     y = np.array([r[0] for r in rows], float)
     if not 0 < y.sum() < len(y):
         return np.zeros(PLACES, np.float32), 30.0 if y.sum() else -30.0
-    return fit([np.searchsorted(keys, np.frombuffer(x, "<i8")).astype(np.int32) for _, x in rows], y, sizes, places)
+    return fit([np.searchsorted(keys, np.frombuffer(x, "<i8")).astype(np.int32) for _, x in rows], y, sizes, used, gram)
 
 
 def _key(word: str) -> int:
