@@ -22,16 +22,33 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     return bound(mid - half), bound(mid + half)
 
 
+def two_sided(b: int, c: int) -> float:
+    """min(1, 2 P(X <= min(b, c))) for a fair binomial of b + c.
+
+    The tail is summed from its largest term down, each term from the one before, until terms no longer count:
+    some multiples of the square root of the number of pairs.
+    """
+    import numpy as np
+
+    n, k = b + c, min(b, c)
+    if n == 0 or 2 * k >= n:
+        return 1.0
+    largest = math.comb(n, k) / 2**n if n <= 1000 else math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+    total, last = 1.0, 1.0
+    for at in range(0, k, 65_536):
+        m = np.arange(at + 1, min(at + 65_536, k) + 1, dtype=float)
+        terms = last * np.cumprod((k - m + 1) / (n - k + m))
+        total, last = total + float(terms.sum()), float(terms[-1])
+        if last < 1e-18 * total:
+            break
+    return min(1.0, 2 * largest * total)
+
+
 def mcnemar(b: Column, c: Column) -> Column:
     """Exact two-sided p of discordant counts; 1 for none."""
 
     def run(b: pd.Series, c: pd.Series) -> pd.Series:
-        def p(b: int, c: int) -> float:
-            n = b + c
-            tail = sum(math.comb(n, i) for i in range(min(b, c) + 1))
-            return min(1.0, 2 * tail / 2**n)
-
-        return pd.Series([p(int(x), int(y)) for x, y in zip(b, c, strict=True)], dtype="float64")
+        return pd.Series([two_sided(int(x), int(y)) for x, y in zip(b, c, strict=True)], dtype="float64")
 
     return F.pandas_udf(run, "double")(b, c)
 

@@ -16,7 +16,7 @@ CHUNKS = "chunk_index int, text string, n_tokens long, char_start int, char_end
 
 
 def word_count(c: Column) -> Column:
-    return F.size(unicode_tokens(c))
+    return F.regexp_count(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"))
 
 
 def hard_pieces(text: Column, room: Column) -> Column:
@@ -56,13 +56,16 @@ def pack(docs: DataFrame, doc: str, title: str, body: str, budget: int) -> DataF
     rows = _articles(docs, doc, title, body)
     rows = rows.withColumn("head_n", word_count(F.col("title"))).withColumn("room", F.lit(budget) - F.col("head_n")).filter("room > 0")
 
+    # Each sentence is counted once.
+    counted = lambda s: F.struct(s["text"].alias("text"), s["starts_paragraph"].alias("p"), word_count(s["text"]).alias("n"), F.lit(False).alias("hard"))
+    rows = rows.withColumn("whole", F.transform(sentences(F.col("body")), counted))
+
     def cut(s: Column) -> Column:
         """The sentence, or its pieces of ``room`` words."""
-        whole = F.struct(s["text"].alias("text"), s["starts_paragraph"].alias("p"), word_count(s["text"]).alias("n"), F.lit(False).alias("hard"))
         pieces = F.transform(hard_pieces(s["text"], F.col("room")), lambda x: F.struct(x.alias("text"), F.lit(False).alias("p"), word_count(x).alias("n"), F.lit(True).alias("hard")))
-        return F.when(word_count(s["text"]) > F.col("room"), pieces).otherwise(F.array(whole))
+        return F.when(s["n"] > F.col("room"), pieces).otherwise(F.array(s))
 
-    rows = rows.withColumn("units", F.flatten(F.transform(sentences(F.col("body")), cut)))
+    rows = rows.withColumn("units", F.flatten(F.transform("whole", cut)))
     rows = rows.withColumn("units", F.transform("units", lambda s, i: s.withField("i", i)))
     empty = F.struct(F.lit(0).alias("used"), F.lit(True).alias("closed"), F.array().cast("array<int>").alias("starts"))
 

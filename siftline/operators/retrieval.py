@@ -16,23 +16,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
-    """doc, term, tf."""
-    return docs.select(F.col(doc).alias("doc"), F.explode(tokens).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, doc: str, tokens: Column, terms: DataFrame | None = None) -> DataFrame:
+    """doc, term, tf, dl (the document's tokens). ``terms``: only postings of these, filtered before they are counted."""
+    cut = docs.select(F.col(doc).alias("doc"), tokens.alias("ts"))
+    rows = cut.select("doc", F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms, "term", "left_semi")
+    return rows.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def index(docs: DataFrame, doc: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
+def index(docs: DataFrame, doc: str, tokens: Column, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Weighted postings (doc, term, tf, dl, idf, avgdl) and the one-row corpus table (n, avgdl).
 
-    Documents without tokens count in n and avgdl.
+    Documents without tokens count in n and avgdl. With ``terms`` (a column term, those of the queries) other
+    postings are never made; without them the corpus's tokens are added up from the postings.
     """
-    post = postings(docs, doc, tokens)
-    sizes = docs.select(F.col(doc).alias("doc"), F.size(tokens).cast("long").alias("dl"))
-    corpus = sizes.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    terms = post.groupBy("term").agg(F.count("*").alias("df"))
+    post = postings(docs, doc, tokens, terms)
+    total = post.agg(F.sum("tf").alias("all")) if terms is None else docs.agg(F.sum(F.size(tokens)).alias("all"))
+    average = F.when(F.col("n") > 0, F.coalesce("all", F.lit(0)) / F.col("n")).otherwise(0.0)
+    corpus = docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("n", average.cast("double").alias("avgdl"))  # one row each
+    often = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = terms.crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "avgdl")  # one row
-    return post.join(sizes, "doc").join(terms, "term"), corpus
+    weighted = often.crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "avgdl")  # one row
+    return post.join(weighted, "term").select("term", "doc", "tf", "dl", "idf", "avgdl"), corpus
+
+
+def asked_terms(queries: DataFrame, tokens: Column) -> DataFrame:
+    return queries.select(F.explode(tokens).alias("term")).distinct()
 
 
 def bm25(weighted: DataFrame, queries: DataFrame, qid: str, tokens: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -121,6 +131,7 @@ def _products(vectors: DataFrame, queries: DataFrame, k: int | None, least: floa
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = sent.value
+            top_docs, top_scores = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
             for rows in batches:
                 if not len(rows):
                     continue
@@ -130,8 +141,13 @@ def _products(vectors: DataFrame, queries: DataFrame, k: int | None, least: floa
                     a, b = np.nonzero(scores >= least)
                     yield pd.DataFrame({"qid": ids[a], "doc": docs[b], "score": scores[a, b]})
                     continue
-                best = np.lexsort((np.broadcast_to(docs, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(ids, best.shape[1]), "doc": docs[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
+                # The best so far meet the batch's: one list for the whole partition.
+                docs = np.concatenate([top_docs, np.broadcast_to(docs, scores.shape)], axis=1)
+                scores = np.concatenate([top_scores, scores], axis=1)
+                best = np.lexsort((docs, -np.round(scores, 9)), axis=1)[:, :k]
+                top_docs, top_scores = np.take_along_axis(docs, best, 1), np.take_along_axis(scores, best, 1)
+            if k is not None:
+                yield pd.DataFrame({"qid": np.repeat(ids, top_docs.shape[1]), "doc": top_docs.ravel(), "score": top_scores.ravel()})
 
         return table.mapInPandas(run, "qid long, doc long, score double")
 

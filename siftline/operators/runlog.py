@@ -31,38 +31,63 @@ def disagreeing(log: DataFrame, current: DataFrame, key: str, value: str) -> Dat
     return log.join(now, key).filter(~F.col(value).eqNullSafe(F.col("_now"))).drop("_now")
 
 
+#: Cells that an order is cut into for ranking.
+CELLS = 1000
+
+
+def _cells(rows: DataFrame, by: str, cells: int = CELLS) -> Column:
+    """A number's cell: cells follow the order of numbers and hold about equally many rows each. Null comes first."""
+    cuts = rows.agg(F.percentile_approx(F.col(by).cast("double"), [i / cells for i in range(1, cells)], 10 * cells)).first()[0] or []
+    marks = F.lit([float(x) for x in sorted(set(cuts))]).cast("array<double>")
+    return F.coalesce(F.size(F.filter(marks, lambda m: m < F.col(by).cast("double"))), F.lit(0))
+
+
+def ranked(rows: DataFrame, strata: list[str], by: list[str], cells: list[str]) -> DataFrame:
+    """Adds _p, the row's place in its stratum from 0, and _n, the stratum's rows.
+
+    Rows are ranked inside cells (columns that follow the order) and cells are added up: no task gets a whole stratum.
+    """
+    key = [*strata, *cells]
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_k"))
+    of = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))  # a row for each cell
+    before = of.orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_b", F.coalesce(F.sum("_k").over(before), F.lit(0))).withColumn("_n", F.sum("_k").over(of))
+    names = {k: f"_{i}_key" for i, k in enumerate(key)}
+    sizes = sizes.select(*(F.col(k).alias(n) for k, n in names.items()), "_b", "_n")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*by)) - 1
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    joined = rows.withColumn("_i", place).join(sizes, same).withColumn("_p", F.col("_b") + F.col("_i"))
+    return joined.drop("_i", "_b", *names.values())
+
+
+def _every(at: DataFrame, want: Column, columns: list[str]) -> DataFrame:
+    step = F.greatest(F.floor(F.col("_n") / want), F.lit(1))
+    return at.filter((F.col("_p") % step == 0) & (F.floor(F.col("_p") / step) < want)).select(*columns)
+
+
 def systematic(rows: DataFrame, want: int, strata: list[str], order: str) -> DataFrame:
-    """Every step-th row of each stratum, ``want`` at most."""
-    by = Window.partitionBy(*strata)
-    n = F.count("*").over(by)
-    step = F.greatest(F.floor(n / want), F.lit(1))
-    rows = rows.withColumn("_p", F.row_number().over(by.orderBy(order)) - 1).withColumn("_s", step)
-    return rows.filter((F.col("_p") % F.col("_s") == 0) & (F.floor(F.col("_p") / F.col("_s")) < want)).drop("_p", "_s")
+    """Every step-th row of each stratum, ``want`` at most. ``order``: a number."""
+    at = ranked(rows.withColumn("_c", _cells(rows, order)), strata, [order], ["_c"])
+    return _every(at, F.lit(want), rows.columns)
 
 
 def proportional(rows: DataFrame, want: int, stratum: str, order: str) -> DataFrame:
-    """About ``want`` rows, each stratum's share of them, one at least, evenly spaced; the first ``want`` in order."""
-    sizes = rows.groupBy(stratum).agg(F.count("*").alias("_n"))  # a row for each stratum
-    total = rows.agg(F.count("*").alias("_all"))
+    """About ``want`` rows, each stratum's share of them, one at least, evenly spaced; the first ``want`` in order (a number)."""
+    at = ranked(rows.withColumn("_c", _cells(rows, order)), [stratum], [order], ["_c"])
+    total = rows.agg(F.count("*").alias("_all"))  # one row
     share = F.greatest(F.bround(want * F.col("_n") / F.col("_all")), F.lit(1)).cast("long")
-    sizes = sizes.crossJoin(F.broadcast(total)).withColumn("_w", share).withColumn("_s", F.greatest(F.floor(F.col("_n") / F.col("_w")), F.lit(1)))
-    at = rows.withColumn("_p", F.row_number().over(Window.partitionBy(stratum).orderBy(order)) - 1).join(sizes, stratum)
-    taken = at.filter((F.col("_p") % F.col("_s") == 0) & (F.floor(F.col("_p") / F.col("_s")) < F.col("_w")))
-    return taken.select(*rows.columns).orderBy(order).limit(want)
+    return _every(at.crossJoin(F.broadcast(total)), share, rows.columns).orderBy(order).limit(want)
 
 
 def strided(rows: DataFrame, score: str, order: str, want: int, cells: int = 10_000) -> DataFrame:
-    """Every step-th row in the order of a score between 0 and 1, ``want`` at most.
+    """Every step-th row in the order of a score between 0 and 1, ``want`` at most; ties go by ``order`` (a number).
 
-    Rows are ranked inside cells of the score and cells are added up, so that no task ranks all rows.
+    A cell of the score whose rows all tie is cut into cells of ``order``.
     """
-    own = rows.withColumn("_c", F.least(F.floor(F.col(score) * cells), F.lit(cells - 1)))
-    before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
-    sizes = own.groupBy("_c").agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    at = own.withColumn("_i", F.row_number().over(Window.partitionBy("_c").orderBy(score, order)) - 1).join(sizes, "_c")
-    at = at.withColumn("_p", F.col("_b") + F.col("_i")).withColumn("_s", F.greatest(F.floor(F.col("_all") / want), F.lit(1)))
-    return at.filter((F.col("_p") % F.col("_s") == 0) & (F.floor(F.col("_p") / F.col("_s")) < want)).select(*rows.columns)
+    own = rows.withColumn("_c", F.coalesce(F.least(F.floor(F.col(score) * cells), F.lit(cells - 1)), F.lit(-1)))
+    tied = own.groupBy(F.col("_c").alias("_t")).agg((F.min(score) == F.max(score)).alias("_one"))  # a row for each cell
+    own = own.join(tied, F.col("_c") == F.col("_t")).withColumn("_d", F.when(F.col("_one"), _cells(rows, order)).otherwise(0))
+    return _every(ranked(own, [], [score, order], ["_c", "_d"]), F.lit(want), rows.columns)
 
 
 def fates(base_abstained: Column, abstained: Column, contained: Column) -> list[Column]:

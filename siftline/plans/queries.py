@@ -333,8 +333,9 @@ def _with(*parts: str, **values) -> str:
 
 
 def _ranked(t, tokens=tx.latin_tokens, k1: float = 1.2, k: int = 50) -> DataFrame:
-    weighted, _corpus = retrieval.index(t("documents"), "doc_id", tokens(F.col("text")))
-    return retrieval.top(retrieval.bm25(weighted, t("benchmark"), "item_id", tokens(F.col("text")), k1), k)
+    asked, own = t("benchmark"), tokens(F.col("text"))
+    weighted, _corpus = retrieval.index(t("documents"), "doc_id", own, retrieval.asked_terms(asked, own))
+    return retrieval.top(retrieval.bm25(weighted, asked, "item_id", own, k1), k)
 
 
 @query("r1_index_build", _with(_DOCS, **_LATIN) + " SELECT doc, term, tf, len(ts) AS dl, round(idf, 9) AS idf FROM post JOIN terms USING (term) JOIN toks USING (doc)")
@@ -352,10 +353,9 @@ def _(t):
     return _ranked(t, tx.unicode_tokens, 1.5, 10).withColumn("score", F.round("score", 6))
 
 
-@query("r7_unit_vectors", "SELECT vec_id, round(list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding]) / pow(sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding])) + 1e-12, 2), 6) AS norm2 FROM embeddings")
+@query("r7_unit_vectors", "WITH n AS (SELECT vec_id, sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding])) + 1e-12 AS norm, embedding FROM embeddings) SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS place, round(unnest([CAST(x AS DOUBLE) / norm FOR x IN embedding]), 9) AS x FROM n")
 def _(t):
-    u = retrieval.unit(F.col("embedding"))
-    return t("embeddings").select("vec_id", F.round(F.aggregate(u, F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
+    return t("embeddings").select("vec_id", F.posexplode(retrieval.unit(F.col("embedding"))).alias("place", "x")).select("vec_id", (F.col("place") + 1).cast("long").alias("place"), F.round("x", 9).alias("x"))
 
 
 @query("r8_vector_top10", "WITH s AS (SELECT q.vec_id AS qid, d.vec_id AS doc, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS rank FROM s) SELECT qid, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
@@ -364,12 +364,16 @@ def _(t):
     return retrieval.nearest(v, v.filter("vec_id % 20 = 0"), 10).withColumn("score", F.round("score", 6))
 
 
-_FUSED = _with(_DOCS, _SCORED, ", lex AS (SELECT * FROM ranked WHERE rank <= 50)", **_LATIN) + ", " + _with(_DOCS, _SCORED, **_WORD)[5:].replace("toks", "toks2").replace("post", "post2").replace("corpus", "corpus2").replace("terms", "terms2").replace("qt ", "qt2 ").replace("scored", "scored2").replace("ranked", "ranked2") + ", fused AS (SELECT qid, doc, sum(1.0 / (60 + rank)) AS score FROM (SELECT qid, doc, rank FROM lex UNION ALL SELECT qid, doc, rank FROM ranked2 WHERE rank <= 50) GROUP BY qid, doc), fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS rank FROM fused)"
+_DENSE = ", dense AS (SELECT * FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS rank FROM (SELECT q.vec_id AS qid, d.vec_id AS doc, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN (SELECT DISTINCT item_id FROM benchmark) ON item_id = q.vec_id, embeddings d)) WHERE rank <= 50)"
+_FUSED = _with(_DOCS, _SCORED, ", lex AS (SELECT * FROM ranked WHERE rank <= 50)", _DENSE, ", fused AS (SELECT qid, doc, sum(1.0 / (60 + rank)) AS score FROM (SELECT qid, doc, rank FROM lex UNION ALL SELECT qid, doc, rank FROM dense) GROUP BY qid, doc), fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS rank FROM fused)", **_LATIN)
 
 
 def _arms(t) -> dict[str, DataFrame]:
-    lex, lang = _ranked(t), _ranked(t, tx.unicode_tokens, 1.5)
-    return {"latin": lex, "language": lang, "fused": retrieval.top(retrieval.fuse(lex, lang), 50)}
+    """Lexical and dense lists of the items (an item's vector is the one of its id) and their fusion; each list is made once."""
+    vectors = t("embeddings")
+    asked = vectors.join(t("benchmark").select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    lex, dense = _ranked(t).persist(), retrieval.nearest(vectors, asked, 50).persist()
+    return {"bm25": lex, "dense": dense, "fused": retrieval.top(retrieval.fuse(lex, dense), 50)}
 
 
 @query("r9_rank_fusion", _FUSED + " SELECT qid, doc, round(score, 6) AS score, rank FROM fr WHERE rank <= 10")
@@ -643,9 +647,9 @@ def _(t):
     return t("orders").filter("o_orderkey % 5 >= 3").select("o_orderkey").join(near, "o_orderkey", "left").select("o_orderkey", F.coalesce("hit", F.lit(False)).alias("similar"))
 
 
-@query("u8_mini_evaluation", _FUSED + ", gold AS (SELECT item_id AS qid, doc_id AS doc FROM benchmark b, documents d WHERE contains(d.text, b.text)), arms AS (SELECT 'fused' AS arm, qid, doc, rank FROM fr UNION ALL SELECT 'language', qid, doc, rank FROM ranked2 WHERE rank <= 50 UNION ALL SELECT 'latin', qid, doc, rank FROM lex), names AS (SELECT DISTINCT arm FROM arms), per AS (SELECT n.arm, g.qid, coalesce(min(a.rank) = 1, false) AS hits1, count(a.rank) = count(*) AS strict FROM gold g CROSS JOIN names n LEFT JOIN (SELECT * FROM arms WHERE rank <= 10) a ON a.arm = n.arm AND a.qid = g.qid AND a.doc = g.doc GROUP BY n.arm, g.qid) SELECT arm, count(*) AS n, round(100.0 * avg(CAST(hits1 AS INT)), 2) AS hits1, round(100.0 * avg(CAST(strict AS INT)), 2) AS strict FROM per GROUP BY arm")
+@query("u8_mini_evaluation", _FUSED + ", gold AS (SELECT item_id AS qid, doc_id AS doc FROM benchmark b, documents d WHERE contains(d.text, b.text)), arms AS (SELECT 'fused' AS arm, qid, doc, rank FROM fr UNION ALL SELECT 'dense', qid, doc, rank FROM dense UNION ALL SELECT 'bm25', qid, doc, rank FROM lex), names AS (SELECT DISTINCT arm FROM arms), per AS (SELECT n.arm, g.qid, coalesce(min(a.rank) = 1, false) AS hits1, count(a.rank) = count(*) AS strict FROM gold g CROSS JOIN names n LEFT JOIN (SELECT * FROM arms WHERE rank <= 10) a ON a.arm = n.arm AND a.qid = g.qid AND a.doc = g.doc GROUP BY n.arm, g.qid) SELECT arm, count(*) AS n, round(100.0 * avg(CAST(hits1 AS INT)), 2) AS hits1, round(100.0 * avg(CAST(strict AS INT)), 2) AS strict FROM per GROUP BY arm")
 def _(t):
-    gold, asked, out = _gold(t), t("benchmark").select(F.col("item_id").alias("qid")), None
+    gold, asked, out = _gold(t).persist(), t("benchmark").select(F.col("item_id").alias("qid")), None
     pct = lambda c: F.round(100 * F.avg(F.col(c).cast("int")), 2).alias(c)
     for arm, ranked in _arms(t).items():
         row = retrieval.metrics(asked, gold, ranked, 10).agg(F.count("*").alias("n"), pct("hits1"), pct("strict")).select(F.lit(arm).alias("arm"), "*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,11 @@ def manifest(docs: DataFrame, text: str) -> DataFrame:
 
 
 def html_report(rows: DataFrame, title: str, most: int = 1000) -> str:
-    """A page with a (small) result table."""
+    """A page with a small result table, its rows inlined as JSON too; a table of more than ``most`` rows is refused, not cut."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows: a report shows a whole table")
     head = "".join(f"<th>{html.escape(c)}</th>" for c in rows.columns)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows.limit(most).collect())
-    return f"<!doctype html><title>{html.escape(title)}</title><table><tr>{head}</tr>{body}</table>"
+    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in found)
+    data = json.dumps([r.asDict(recursive=True) for r in found], default=str, ensure_ascii=False).replace("<", "\\u003c")
+    return f'<!doctype html><title>{html.escape(title)}</title><table><tr>{head}</tr>{body}</table><script type="application/json" id="rows">{data}</script>'

@@ -145,3 +145,36 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 3
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_exact_mcnemar_of_many_pairs():
+    """Against exact sums; large counts take no longer than a few terms."""
+    import math
+    import time
+
+    from siftline.functions import stats
+
+    for b, c in [(0, 0), (3, 3), (0, 9), (12, 5), (400, 431), (1200, 1100), (30, 2500)]:
+        n, k = b + c, min(b, c)
+        want = min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
+        assert math.isclose(stats.two_sided(b, c), want, rel_tol=1e-9), (b, c)
+    began = time.time()
+    assert 0.3 < stats.two_sided(50_000_000, 50_010_000) < 0.4 and stats.two_sided(10, 10**9) < 1e-300
+    assert time.time() - began < 2
+
+
+def test_samples_of_ties_and_hot_strata(spark):
+    """As one sorted list would give them, with a stratum of nearly all rows, nulls and one tied score."""
+    from siftline.operators import runlog
+
+    rows = [(i, "hot" if i % 50 else None, 0.5 if i % 3 else i / 5000) for i in range(5000)]
+    table = spark.createDataFrame(rows, "id long, s string, x double").repartition(7)
+
+    def every(own, want):
+        step = max(len(own) // want, 1)
+        return {r[0] for p, r in enumerate(own) if p % step == 0 and p // step < want}
+
+    want = every([r for r in rows if r[1]], 40) | every([r for r in rows if not r[1]], 40)
+    assert {r.id for r in runlog.systematic(table, 40, ["s"], "id").collect()} == want
+    assert {r.id for r in runlog.strided(table, "x", "id", 60).collect()} == every(sorted(rows, key=lambda r: (r[2], r[0])), 60)
+    assert runlog.systematic(table.limit(0), 40, ["s"], "id").count() == 0
