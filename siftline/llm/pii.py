@@ -5,8 +5,8 @@ field adds what patterns miss, where it doesn't touch a base span: ``crf_phone``
 plus sign), ``crf_id`` (national ids) and ``crf_name`` (names behind a title or cue).
 
 The field's features are the word shapes of a token and of two neighbours on each side, and its
-transitions. It is trained from the small labelled table of ``training_table`` by gradient ascent on
-the likelihood, once, in numpy. Texts are decoded by Viterbi in numpy batches. Tokens are first
+transitions. It is trained from a small labelled table (sentences of ``pii_table``, and templates of short
+contexts), by gradient ascent on the likelihood, once, in numpy. Texts are decoded by Viterbi in numpy batches. Tokens are first
 bounded: where no stretch around a token can gain by leaving label O, whatever its labels and
 transitions, the best path has O there, so only the other stretches are decoded.
 
@@ -19,12 +19,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .pii_table import SENTENCES
 from .runtime import map_rows, once, texts
 
 BASE = ("email", "ip", "card", "phone")
@@ -87,37 +89,53 @@ TEMPLATES = {
     "crf_phone": ["call {000-000-0000} today", "phone : {(000) 000-0000}", "tel . {000 000 0000} or", "tel : {0000 000000} .", "mobile {000.000.0000} ,", "fax : {000-0000}", "my number is {000-000-0000} .", "reach me at {(000) 000-0000} now", "telefon : {0000/0000000}", "phone {000-000-0000} fax {000-000-0000}", "ring {00 00 00 00 00} please", "call us ( {000-000-0000} )"],
     "crf_id": ["ssn {000-00-0000} on file", "ssn : {000-00-0000}", "social security number {000-00-0000} .", "her id {000-00-0000} was", "tax id : {00-0000000}", "the number {000-00-0000} and"],
     "crf_name": ["Mr . {N N} said", "Mrs . {N} came", "dear Ms . {N N} ,", "Dr . {N N} of", "name : {N N}", "name : {N N} , age 00", "my name is {N N} .", "signed , Mr {N}", "contact : {N N} or"],
-    "": ["in 0000 there were 000 of 0000 cases", "from 0000-00-00 to 0000-00-00", "version 0.00.000 and 0.0", "page 00-00 of 000", "it costs $ 00.00 or 00,000", "The Big Red and Old", "At 00:00 on 00/00/0000", "ip 00.000.00.0 port 0000", "card 0000000000000000 and 0000000000", "token = 0a00b0c00d", "The N . And the N was . Of N is", "N and N are here . The N", "a b c of the d in e", "phone and name of the id", "N . N . N", "call the N of N", "is 000 000 and 000 | 0000 | 00", "### 0000000000000000 $$$ 000", "the 000-000 or 00-0000 part", "( 000 ) of 0000", "number of 00 is 000", "N , N ; N : N", "ISBN 000-0-00-000000-0", "0000 0000 0000 0000 0000", "the ABC N N N version 0", "under the N N N .", "by N N N", "x : N N x", "N : N x", "N . A , A . N", "x , A x", ", A N x", "N - A , x", "N N . N N . N N . N N .", "N N . N N .", "x . N N x", ". N N of x", "N N", "N N N N"],
+    "": ["in 0000 there were 000 of 0000 cases", "from 0000-00-00 to 0000-00-00", "version 0.00.000 and 0.0", "page 00-00 of 000", "it costs $ 00.00 or 00,000", "The Big Red and Old", "At 00:00 on 00/00/0000", "ip 00.000.00.0 port 0000", "card 0000000000000000 and 0000000000", "token = 0a00b0c00d", "The N . And the N was . Of N is", "N and N are here . The N", "a b c of the d in e", "phone and name of the id", "N . N . N", "call the N of N", "is 000 000 and 000 | 0000 | 00", "### 0000000000000000 $$$ 000", "the 000-000 or 00-0000 part", "( 000 ) of 0000", "number of 00 is 000", "N , N ; N : N", "ISBN 000-0-00-000000-0", "0000 0000 0000 0000 0000", "the ABC N N N version 0", "under the N N N .", "by N N N", "x : N N x", "N : N x", "N . A , A . N", "x , A x", ", A N x", "N - A , x", "N N . N N . N N . N N .", "N N . N N .", "x . N N x", ". N N of x", "N N", "N N N N", "x x . % % % N x x . & & & N x", "x * * * x . # # # N x x", "x $ $ $ N x", "x | x | N x | x", "| N | x |", "A A ! ! A A . ! ! A A A", "A A A A A A", "A A , A ! !", "| 0 | 0000 | 00", "N - N x", "# N x . N x", "Licensed under the N License , Version 0.0", "under the N N N License , version 0 .", "x N x . N x x , N x", "the 0000000000 x 00", "x 000000 x 0000000000 x", "! ! 0000 ! ! 00", "0a0b x 00c0", "under the ABC N N License , version 0 .", "N N N N N N N N x .", "x N N N N N N N x x"],
 }
-COPIES = 12
+#: How often each sentence of the table, and each template, is learned, with new digits and names.
+TABLE_COPIES, COPIES = 4, 12
+
+
+def marked(sentence: str) -> tuple[list[str], list[str]]:
+    """(tokens, labels) of a sentence of the table."""
+    tokens, labels, at = [], [], 0
+    for m in re.finditer(r"\[(phone|id|name) ([^\]]+)\]", sentence):
+        for part, kind in ((sentence[at : m.start()], ""), (m[2], m[1])):
+            own = _TOKEN.findall(part)
+            tokens += own
+            labels += ([f"B-crf_{kind}"] + [f"I-crf_{kind}"] * (len(own) - 1))[: len(own)] if kind else ["O"] * len(own)
+        at = m.end()
+    rest = _TOKEN.findall(sentence[at:])
+    return tokens + rest, labels + ["O"] * len(rest)
 
 
 def training_table(seed: int = 7) -> list[tuple[list[str], list[str]]]:
-    """(tokens, labels) of each sentence, with the templates' digits and names filled in."""
+    """(tokens, labels) of each sentence of the labelled table and of the templates, copies with other digits and names."""
     rng = random.Random(seed)
     name = lambda: rng.choice("BCDFGKLMNPRST") + "".join(rng.choice("aeiou") + rng.choice("bdlmnrst") for _ in range(rng.randint(1, 3)))
     word = lambda: "".join(rng.choice("aeiou") + rng.choice("bdlmnrst") for _ in range(rng.randint(1, 3)))
     rows = []
+    for sentence in SENTENCES * TABLE_COPIES:
+        rows.append(marked(re.sub("[0-9]", lambda _: rng.choice("0123456789"), sentence)))
     for entity, sentences in TEMPLATES.items():
         for sentence in sentences * COPIES:
             text = re.sub("0", lambda _: rng.choice("0123456789"), re.sub(r"\bN\b", lambda _: name(), sentence))
-            text = " ".join(word() for _ in range(rng.randint(0, 3))) + " " + text + " " + " ".join(word() for _ in range(rng.randint(0, 3)))
-            tokens, labels, inside = [], [], ""
-            for t in _TOKEN.findall(text):
-                if t == "{":
-                    inside = "B"
-                elif t == "}":
-                    inside = ""
-                else:
-                    tokens.append(t)
-                    labels.append(f"{inside}-{entity}" if inside else "O")
-                    inside = "I" if inside else ""
-            rows.append((tokens, labels))
+            text = re.sub(r"\{(.*?)\}", rf"[{entity.removeprefix('crf_')} \1]", text)
+            rows.append(marked(" ".join([*(word() for _ in range(rng.randint(0, 3))), text, *(word() for _ in range(rng.randint(0, 3)))])))
     return rows
 
 
-#: The cue words among the table's words.
-CUES = {w.lower() for s in (x for e, rows in TEMPLATES.items() if e for x in rows) for w in re.findall(r"[A-Za-z]{2,}", re.sub(r"\{.*?\}", " ", s))} - {"or", "on", "is", "at", "my", "me", "us", "her", "of", "and", "was", "the", "said", "came", "today", "now", "please", "file", "age"}
+def _cues() -> set[str]:
+    """The table's words in lower case that stand before an entity at least twice, but for the most common words."""
+    plain = set("or on is at my me us her his of and was the said came today now please file age in to for a an le la el de y et und ist un une der die das am i am this we".split())
+    before: Counter = Counter()
+    for sentence in [*SENTENCES, *(x for e, rows in TEMPLATES.items() if e for x in rows)]:
+        tokens, labels = marked(sentence) if "[" in sentence else (_TOKEN.findall(re.sub(r"\{.*?\}", "0", sentence)), None)
+        at = [i for i, x in enumerate(labels) if x[0] == "B"] if labels else [i for i, t in enumerate(tokens) if t == "0"]
+        before.update({t.lower() for i in at for t in tokens[max(0, i - REACH) : i] if t.isalpha() and len(t) > 1})
+    return {w for w, n in before.items() if n > 1} - plain
+
+
+CUES = _cues()
 
 
 def shape(token: str) -> str:
