@@ -25,7 +25,6 @@ import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -61,9 +60,25 @@ def script(letter: str) -> str:
     return next((name for low, high, name in SCRIPTS if low <= x <= high), "other")
 
 
-def _buckets(word: str) -> list[int]:
-    w = f" {word} ".encode("utf-32-le", "surrogatepass")
-    return [crc32(w[4 * i : 4 * (i + n)]) % BUCKETS for n in GRAMS for i in range(len(w) // 4 - n + 1)]
+#: Fixed values of the n-gram hash: odd multipliers of 64 bits.
+_STEP, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size: the buckets of the n-grams of all words in a row, where they are whole, and each word's start.
+
+    A word has a blank at each end. An n-gram that runs on into the next word isn't whole.
+    """
+    lengths = np.array([len(w) + 2 for w in words])
+    ends = np.cumsum(lengths)
+    x = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    left = np.repeat(ends, lengths) - np.arange(len(x))  # letters from here to the word's end
+    h = np.zeros(len(x), np.uint64)
+    for n in range(1, max(GRAMS) + 1):
+        h = h[: len(x) - n + 1] * _STEP + x[n - 1 :]
+        if n in GRAMS:
+            mixed = (h ^ (h >> np.uint64(29))) * _LAST
+            yield ((mixed >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int64), left[: len(h)] >= n, ends - lengths
 
 
 @dataclass
@@ -74,10 +89,11 @@ class Model:
 
     def score(self, words: list[str]) -> np.ndarray:
         """A row for each word: log-likelihoods by language; equal ones for unknown scripts."""
-        parts = [_buckets(w) for w in words]
-        lengths = np.array([len(p) for p in parts])
-        flat = self.weights[np.fromiter((b for p in parts for b in p), np.int64, int(lengths.sum()))]
-        out = np.add.reduceat(flat, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+        out = np.zeros((len(words), self.weights.shape[1]))
+        for bucket, whole, starts in _grams(words):
+            # Only whole n-grams count; the last ones of all words may be missing behind the end.
+            part = self.weights[bucket] * whole[:, None]
+            out += np.add.reduceat(np.concatenate([part, np.zeros((max(GRAMS), part.shape[1]))]), starts)
         for i, w in enumerate(words):
             allowed = self.scripts.get(script(w[0]))
             if allowed is None:
@@ -123,9 +139,11 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, folds: int = 3, fold: int =
                 docs[lang] += 1
                 words[lang].update(w for w in _WORD.findall(text.lower()))
             for lang, count in words.items():
-                grams, scripts = np.zeros(BUCKETS, np.int64), Counter()
+                grams, scripts, own = np.zeros(BUCKETS, np.int64), Counter(), list(count)
+                times = np.repeat(np.fromiter(count.values(), np.int64), [len(w) + 2 for w in own])
+                for bucket, whole, _ in _grams(own):
+                    np.add.at(grams, bucket[whole], times[: len(whole)][whole])
                 for w, n in count.items():
-                    np.add.at(grams, _buckets(w), n)
                     scripts[script(w[0])] += n * len(w)
                 yield from ((lang, "gram", str(b), int(grams[b])) for b in np.flatnonzero(grams).tolist())
                 yield from ((lang, "script", s, n) for s, n in scripts.items())

@@ -114,7 +114,10 @@ def test_training_by_hand(spark):
             for w in op._WORD.findall(t):
                 for n in op.GRAMS:
                     for a in range(len(w) + 3 - n):
-                        count[zlib.crc32(f" {w} "[a : a + n].encode("utf-32-le")) % op.BUCKETS] += 1
+                        h = 0
+                        for c in f" {w} "[a : a + n]:
+                            h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) % 2**64
+                        count[((h ^ h >> 29) * 0xC2B2AE3D27D4EB4F % 2**64 >> 32) % op.BUCKETS] += 1
         assert np.allclose(model.weights[:, k], np.log(count + op.SMOOTH) - np.log(count.sum() + op.SMOOTH * op.BUCKETS))
     kept = op._sample(docs, 60).collect()
     n = sum(r.lang == "de" for r in kept)
