@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, occurrences, sentences, unicode_tokens
+from ..functions.text import clean, occurrences, sentences
+from .retrieval import spread
 
 #: Share of the room from which a paragraph's start closes a chunk.
 LATE = 0.85
@@ -36,7 +37,7 @@ def offsets(body: Column, first: Column, last: Column) -> tuple[Column, Column]:
 def _articles(docs: DataFrame, doc: str, title: str, body: str) -> DataFrame:
     """doc, title, body, cleaned; articles without a body are none."""
     text = lambda c: clean(F.coalesce(F.col(c), F.lit("")))
-    return docs.select(F.col(doc).alias("doc"), text(title).alias("title"), text(body).alias("body")).filter("body != ''")
+    return spread(docs).select(F.col(doc).alias("doc"), text(title).alias("title"), text(body).alias("body")).filter("body != ''")
 
 
 def _head(title: Column) -> Column:

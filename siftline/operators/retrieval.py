@@ -16,9 +16,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes, as the optimiser estimates them, under which a table is dealt out to all cores.
+SMALL = 1 << 28
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """A small table often lies in one row group, which one task reads: its rows are dealt out before costly work on texts.
+
+    Tables of a larger estimated size have many row groups and are read where they lie, without a shuffle.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size < SMALL else docs
+
+
 def postings(docs: DataFrame, doc: str, tokens: Column, terms: DataFrame | None = None) -> DataFrame:
     """doc, term, tf, dl (the document's tokens). ``terms``: only postings of these, filtered before they are counted."""
-    cut = docs.select(F.col(doc).alias("doc"), tokens.alias("ts"))
+    cut = spread(docs).select(F.col(doc).alias("doc"), tokens.alias("ts"))
     rows = cut.select("doc", F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term"))
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")
@@ -32,7 +45,7 @@ def index(docs: DataFrame, doc: str, tokens: Column, terms: DataFrame | None = N
     postings are never made; without them the corpus's tokens are added up from the postings.
     """
     post = postings(docs, doc, tokens, terms)
-    total = post.agg(F.sum("tf").alias("all")) if terms is None else docs.agg(F.sum(F.size(tokens)).alias("all"))
+    total = post.agg(F.sum("tf").alias("all")) if terms is None else spread(docs).agg(F.sum(F.size(tokens)).alias("all"))
     average = F.when(F.col("n") > 0, F.coalesce("all", F.lit(0)) / F.col("n")).otherwise(0.0)
     corpus = docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("n", average.cast("double").alias("avgdl"))  # one row each
     often = post.groupBy("term").agg(F.count("*").alias("df"))
@@ -198,6 +211,7 @@ def containing(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str
     """
     own = items.select(F.col(item).alias("qid"), F.col(part).alias("part"), tokens(F.col(part)).alias("t")).filter(F.length("part") > 0)
     short, own = own.filter(F.size("t") < 3).select("qid", "part"), own.filter(F.size("t") > 2)
+    docs = spread(docs.select(doc, text))
     inner = F.expr("slice(t, 2, size(t) - 2)")
     longest = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
     own = own.select("qid", "part", longest.alias("term"))
