@@ -88,6 +88,71 @@ def bootstrap(df: DataFrame, group: str, diff: str, draws: int = 10_000, seed: i
     return rows.groupBy("g").applyInPandas(run, "g string, n long, mean double, low double, high double, p double").withColumnRenamed("g", group)
 
 
+#: Multiplier, increment and modulus of the linear congruential generator.
+LCG = (1_103_515_245, 12_345, 2**31)
+#: Draws that a row of work makes, and places drawn at a time.
+DRAWS, PLACES = 250, 4096
+
+
+def bootstrap_lcg(df: DataFrame, group: str, diff: str, draws: int = 10_000, seed: int = 0, scale: float = 1.0) -> DataFrame:
+    """As ``bootstrap``, by place: each draw steps a generator once for each difference and takes the one there.
+
+    Draw d starts at the first 28 bits of md5(seed:d); a step's place is floor(state * n / modulus) in the order of
+    differences, so that any engine gets the same resamples. Work grows with draws times differences: for sets of
+    queries, spread over tasks by groups of draws. Null differences are left out; a group's distinct values travel as one array.
+    """
+    a, c, m = LCG
+
+    def means(first: pd.Series, n: pd.Series, values: pd.Series, counts: pd.Series) -> pd.Series:
+        import hashlib
+
+        import numpy as np
+
+        out = []
+        for f, size, v, k in zip(first, n, values, counts, strict=True):
+            v, edge = np.asarray(v, float), np.cumsum(np.asarray(k, np.int64))
+            at = range(f, min(f + DRAWS, draws))
+            start = np.array([int(hashlib.md5(f"{seed}:{d}".encode()).hexdigest()[:7], 16) for d in at], np.int64)
+            mul, add = np.empty(PLACES, np.int64), np.empty(PLACES, np.int64)
+            x, y = 1, 0
+            for i in range(PLACES):
+                x, y = x * a % m, (y * a + c) % m
+                mul[i], add[i] = x, y
+            total = np.zeros(len(start))
+            for done in range(0, size, PLACES):
+                width = min(PLACES, size - done)
+                state = (start[:, None] * mul[None, :width] + add[None, :width]) % m
+                total += v[np.searchsorted(edge, state * size // m, side="right")].sum(axis=1)
+                start = state[:, -1]
+            out.append((total / size).tolist())
+        return pd.Series(out)
+
+    resample = F.pandas_udf(means, "array<double>")
+    rows = df.select(F.col(group).cast("string").alias("g"), F.col(diff).cast("double").alias("d")).groupBy("g", "d").agg(F.count("d").alias("k"))
+    some = F.col("d").isNotNull()
+    held = F.array_sort(F.collect_list(F.when(some, F.struct("d", "k"))))
+    sizes = rows.groupBy("g").agg(held.alias("v"), F.sum("k").alias("n"), F.try_divide(F.sum(F.col("d") * F.col("k")), F.sum("k")).alias("mean"))
+    work = sizes.filter("n > 0").select("g", "n", "v", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(DRAWS))).alias("first"))
+    work = work.repartition("g", "first")
+    got = work.select("g", F.explode(resample("first", "n", F.col("v.d"), F.col("v.k"))).alias("x"))
+    part = lambda c: F.count_if(c) / F.lit(draws)
+    tests = got.groupBy("g").agg(F.sort_array(F.collect_list("x")).alias("xs"), F.greatest(F.least(2 * F.least(part(F.col("x") >= 0), part(F.col("x") <= 0)), F.lit(1.0)), F.lit(1.0 / draws)).alias("p"))
+    cut = lambda q: F.coalesce(scale * F.get("xs", int(q * draws)), F.lit(0.0))
+    out = sizes.join(tests, "g", "left")
+    return out.select(F.col("g").alias(group), "n", F.coalesce(scale * F.col("mean"), F.lit(0.0)).alias("mean"), cut(0.025).alias("low"), cut(0.975).alias("high"), F.coalesce("p", F.lit(1.0)).alias("p"))
+
+
+def contrast_family(outcomes: DataFrame, contrasts: list[tuple[str, str, str]], metric: str) -> DataFrame:
+    """family, diff: a row for each query, arm and (name, config, other config): one configuration against another.
+
+    outcomes: as for ``delta_family``. Queries that lack a configuration are left out of its contrasts.
+    """
+    sides = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(of).alias("of"), F.lit(sign).alias("sign")) for name, a, b in contrasts for of, sign in ((a, 1), (b, -1))))
+    rows = outcomes.select("config", "qid", "type", "arm", F.col(metric).cast("double").alias("v"), F.explode(sides).alias("s")).filter("config = s.of")
+    both = rows.groupBy("s.name", "qid", "type", "arm").agg(F.sum(F.col("s.sign") * F.col("v")).alias("diff"), F.count_distinct("s.sign").alias("sides")).filter("sides = 2")
+    return both.select(F.concat_ws("/", "name", "arm", F.lit(metric)).alias("family"), "diff")
+
+
 def delta_family(outcomes: DataFrame, pairs: list[tuple[str, str]], metrics: list[str]) -> DataFrame:
     """family, diff: a row for each query, pair of arms and metric, overall and by type.
 

@@ -157,6 +157,25 @@ class FileCounter:
         return [self.model.decode(ids[i : i + room]) for i in range(0, len(ids), room)]
 
 
+def token_counts(docs: DataFrame, doc: str, text: str, counter: Callable[[], object], canary: tuple[str, int] | None = None) -> DataFrame:
+    """doc, n_tokens of every whole text (null: empty), by a counter made in each task. A canary that counts differently fails the task."""
+    rows = spread(docs).select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = _checked(counter(), canary)
+        for batch in batches:
+            yield pd.DataFrame({"doc": batch["doc"], "n_tokens": [tokens.count(t) for t in batch["text"]]})
+
+    return rows.mapInPandas(run, f"doc {rows.schema['doc'].dataType.simpleString()}, n_tokens long")
+
+
+def _checked(tokens, canary: tuple[str, int] | None):
+    """The counter, if it counts the canary as it should."""
+    if canary and tokens.count(canary[0]) != canary[1]:
+        raise ValueError(f"tokenizer counts {tokens.count(canary[0])} tokens in the canary, not {canary[1]}")
+    return tokens
+
+
 def pack_counted(docs: DataFrame, doc: str, title: str, body: str, budget: int, counter: Callable[[], object], canary: tuple[str, int] | None = None) -> DataFrame:
     """As ``pack``, for counters whose counts don't add up (``counter()`` makes one in each task).
 
@@ -168,9 +187,7 @@ def pack_counted(docs: DataFrame, doc: str, title: str, body: str, budget: int,
     rows = rows.select("doc", "body", _head(F.col("title")).alias("head"), F.col("s.text").alias("texts"), F.col("s.starts_paragraph").alias("firsts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = counter()
-        if canary and tokens.count(canary[0]) != canary[1]:
-            raise ValueError(f"tokenizer counts {tokens.count(canary[0])} tokens in the canary, not {canary[1]}")
+        tokens = _checked(counter(), canary)
         for batch in batches:
             for row in batch.itertuples(index=False):
                 found = list(_fold(tokens, budget, row.head, row.body, list(row.texts), list(row.firsts)))

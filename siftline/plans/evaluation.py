@@ -215,23 +215,26 @@ def _(t):
     return base.join(now, "qi").agg(*runlog.fates(F.col("base"), F.col("now"), F.col("contained")))
 
 
-# A family of deltas: arms are link status, configurations are return flags, outcomes are order-wise.
+# A family of deltas: arms are return flags, configurations are lines by number, outcomes are order-wise.
+# Four configurations, three pairs of arms, two metrics, all and three types; and three contrasts of configurations in each arm.
 
-_FAM = "o AS (SELECT l_shipmode_ AS config, l_orderkey AS qid, CASE WHEN l_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS type, arm, CAST(max(l_quantity) > 25 AS INT) AS large, CAST(max(l_discount) > 0.05 AS INT) AS cheap FROM (SELECT *, 'F' || l_linenumber % 2 AS l_shipmode_, CASE l_returnflag WHEN 'A' THEN 'a' WHEN 'N' THEN 'n' ELSE 'r' END AS arm FROM lineitem) GROUP BY ALL)"
+_FAM = "o AS (SELECT l_shipmode_ AS config, l_orderkey AS qid, 't' || l_orderkey % 3 AS type, arm, CAST(max(l_quantity) > 25 AS INT) AS large, CAST(max(l_discount) > 0.05 AS INT) AS cheap FROM (SELECT *, 'F' || l_linenumber % 4 AS l_shipmode_, CASE l_returnflag WHEN 'A' THEN 'a' WHEN 'N' THEN 'n' ELSE 'r' END AS arm FROM lineitem) GROUP BY ALL)"
 _PAIR_ARMS = [("a", "n"), ("a", "r"), ("n", "r")]
 _FAM_ROWS = " UNION ALL ".join(
     f"SELECT x.config || '/' || s.stratum || '/{a}-{b}/{m}' AS family, x.{m} - y.{m} AS diff FROM o x JOIN o y USING (config, qid, type), LATERAL (SELECT unnest(['all', x.type]) AS stratum) s WHERE x.arm = '{a}' AND y.arm = '{b}'"
     for a, b in _PAIR_ARMS
     for m in ("large", "cheap")
 )
+_CONTRASTS = [("0-1", "F0", "F1"), ("2-3", "F2", "F3"), ("0-2", "F0", "F2")]
+_FAM_ROWS += "".join(f" UNION ALL SELECT '{name}/' || x.arm || '/large', x.large - y.large FROM o x JOIN o y USING (qid, type, arm) WHERE x.config = '{a}' AND y.config = '{b}'" for name, a, b in _CONTRASTS)
 
 
 def _family(t) -> DataFrame:
     arm = F.when(F.col("l_returnflag") == "A", "a").when(F.col("l_returnflag") == "N", "n").otherwise("r")
-    kind = F.when(F.col("l_orderkey") % 2 == 0, "even").otherwise("odd")
-    rows = t("lineitem").groupBy(F.concat(F.lit("F"), (F.col("l_linenumber") % 2).cast("string")).alias("config"), F.col("l_orderkey").alias("qid"), kind.alias("type"), arm.alias("arm"))
+    kind = F.concat(F.lit("t"), (F.col("l_orderkey") % 3).cast("string"))
+    rows = t("lineitem").groupBy(F.concat(F.lit("F"), (F.col("l_linenumber") % 4).cast("string")).alias("config"), F.col("l_orderkey").alias("qid"), kind.alias("type"), arm.alias("arm"))
     rows = rows.agg((F.max("l_quantity") > 25).cast("int").alias("large"), (F.max("l_discount") > 0.05).cast("int").alias("cheap"))
-    return st.delta_family(rows, _PAIR_ARMS, ["large", "cheap"])
+    return st.delta_family(rows, _PAIR_ARMS, ["large", "cheap"]).unionByName(st.contrast_family(rows, _CONTRASTS, "large"))
 
 
 @query("x6_delta_family", f"WITH {_FAM}, d AS ({_FAM_ROWS}) SELECT family, count(*) AS n, round(100.0 * avg(diff), 6) AS delta FROM d GROUP BY family")

@@ -130,10 +130,14 @@ _N1 = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9 ]+', ' ', 'g'),
 _N5 = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 
 
-@query("p7_containment", f"SELECT conv_id, turn, {_N1.format('role')} <> '' AND contains({_N1.format('text')}, {_N1.format('substr(role, 1, 2)')}) AS found FROM conversations")
+_SAID = "SELECT *, CASE WHEN turn % 2 = 0 THEN upper(role) || ': ' || text ELSE text END AS answer FROM conversations"
+
+
+@query("p7_containment", f"SELECT conv_id, turn, {_N1.format('role')} <> '' AND contains({_N1.format('answer')}, {_N1.format('role')}) AS found FROM ({_SAID})")
 def _(t):
-    gold = tx.latin(F.substring("role", 1, 2))
-    return t("conversations").select("conv_id", "turn", ((gold != "") & tx.latin(F.col("text")).contains(gold)).alias("found"))
+    answer = F.when(F.col("turn") % 2 == 0, F.concat(F.upper("role"), F.lit(": "), "text")).otherwise(F.col("text"))
+    gold = tx.latin(F.col("role"))
+    return t("conversations").select("conv_id", "turn", ((gold != "") & tx.latin(answer).contains(gold)).alias("found"))
 
 
 @query("p8_containment_any", f"SELECT doc_id, contains({_N5.format('text')}, 'der') OR contains({_N5.format('text')}, 'que') AS found FROM documents")

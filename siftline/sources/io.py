@@ -49,6 +49,13 @@ def manifest(docs: DataFrame, text: str) -> DataFrame:
     return docs.agg(F.count("*").alias("n_rows"), F.sum(F.length(text)).alias("n_chars"), F.sum(part).cast("string").alias("digest"))
 
 
+def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, n_bytes, file_sha256 (16 hex digits) of every file at the paths. A file is hashed in one row: 2 GB at most. Empty files give no row."""
+    files = spark.read.format("binaryFile").load(paths)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(name.alias("file"), F.col("length").alias("n_bytes"), F.substring(F.sha2("content", 256), 1, 16).alias("file_sha256"))
+
+
 def html_report(rows: DataFrame, title: str, most: int = 1000) -> str:
     """A page with a small result table, its rows inlined as JSON too; a table of more than ``most`` rows is refused, not cut."""
     found = rows.limit(most + 1).collect()
