@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, occurrences, sentences
@@ -141,6 +141,24 @@ class ByteCounter:
         return [*out, text[at:]] if text else out
 
 
+class WordCounter:
+    """Runs of letters, digits and underscores: what ``word_count`` and ``hard_pieces`` count and cut."""
+
+    WORD = r"[\p{L}\p{N}_]"
+
+    def __init__(self):
+        import regex
+
+        self.word = regex.compile(f"{self.WORD}+")
+        self.around = lambda room: regex.compile(f"(?:[^\\p{{L}}\\p{{N}}_]*+{self.WORD}++){{1,{room}}}[^\\p{{L}}\\p{{N}}_]*+")
+
+    def count(self, text: str) -> int:
+        return len(self.word.findall(text.lower()))
+
+    def pieces(self, text: str, room: int) -> list[str]:
+        return [p.strip(" ") for p in self.around(room).findall(text)]
+
+
 class FileCounter:
     """Counts tokens with a tokenizer file that every executor can read; no special tokens."""
 
@@ -197,6 +215,61 @@ def pack_counted(docs: DataFrame, doc: str, title: str, body: str, budget: int,
     return rows.mapInPandas(run, f"doc {rows.schema['doc'].dataType.simpleString()}, {CHUNKS}")
 
 
+def register_functions(spark: SparkSession, counter: Callable[[], object] = WordCounter) -> None:
+    """``pack_chunks(title, body, sentences, budget)`` for SQL's LATERAL: CHUNKS of one cleaned article.
+
+    sentences: array of structs (text, starts_paragraph) in order. Null or empty bodies give no chunks.
+    """
+
+    class PackChunks:
+        def __init__(self):
+            self.tokens = counter()
+
+        def eval(self, title: str, body: str, sentences: list, budget: int):
+            if body:
+                head = f"{title}\n\n" if title else ""
+                found = _fold(self.tokens, budget, head, body, [s["text"] for s in sentences], [s["starts_paragraph"] for s in sentences])
+                for i, chunk in enumerate(found):
+                    yield (i, *chunk)
+
+    spark.udtf.register("pack_chunks", F.udtf(PackChunks, returnType=CHUNKS))
+
+
+def pack_table(docs: DataFrame, doc: str, title: str, body: str, budget: int, counter: Callable[[], object] = WordCounter) -> DataFrame:
+    """As ``pack``, through the table function: doc and CHUNKS."""
+    register_functions(docs.sparkSession, counter)
+    rows = _articles(docs, doc, title, body).withColumn("s", sentences(F.col("body")))
+    fields = ", ".join("c." + f.split()[0] for f in CHUNKS.split(", "))
+    return docs.sparkSession.sql(f"SELECT doc, {fields} FROM {{rows}} r, LATERAL pack_chunks(r.title, r.body, r.s, {int(budget)}) c", rows=rows)
+
+
+def segments(docs: DataFrame, doc: str, text: str, segmenter: Callable[[], Callable[[str], list[str]]]) -> DataFrame:
+    """doc, tokens: every text's tokens by a segmenter made in each task; tokens without a letter or digit are dropped, a null text has none."""
+    rows = spread(docs).select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut = segmenter()
+        for batch in batches:
+            yield pd.DataFrame({"doc": batch["doc"], "tokens": [[w for w in cut(t) if any(c.isalnum() for c in w)] for t in batch["text"]]})
+
+    return rows.mapInPandas(run, f"doc {rows.schema['doc'].dataType.simpleString()}, tokens array<string>")
+
+
+class LongestMatch:
+    """Cuts a text at the longest words of a dictionary, from the left; what no word starts is a token of one character."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.longest = frozenset(words), max(map(len, words), default=1)
+
+    def __call__(self, text: str) -> list[str]:
+        out, at = [], 0
+        while at < len(text):
+            size = next((n for n in range(min(self.longest, len(text) - at), 1, -1) if text[at : at + n] in self.words), 1)
+            out.append(text[at : at + size])
+            at += size
+        return out
+
+
 def _fold(tokens, budget: int, head: str, body: str, texts: list[str], firsts: list[bool]) -> Iterator[tuple]:
     """text, n_tokens, char_start, char_end, hard_split of one document's chunks."""
     head_n = tokens.count(head) if head else 0

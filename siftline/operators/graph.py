@@ -17,14 +17,14 @@ def vertices(mentions: DataFrame) -> DataFrame:
     """name, type, chunks, mentions, descriptions from (chunk, seq, name, type, description).
 
     Names are normalised; the type is the most frequent one, of ties the first seen; descriptions
-    are the first five that aren't blank.
+    are the first five that aren't blank (at the same place the lesser first).
     """
     rows = normalised(mentions).withColumn("type", F.coalesce(F.expr("nullif(type, '')"), F.lit("OTHER")))
     base = rows.groupBy("name").agg(F.count_distinct("chunk").alias("chunks"), F.count("*").alias("mentions"))
     kinds = rows.groupBy("name", "type").agg(F.count("*").alias("n"), F.min(F.struct("chunk", "seq")).alias("seen"))
     best = kinds.withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "seen"))).filter("i = 1").select("name", "type")
     # Ranked and cut before they are gathered, so that a name holds five texts at most.
-    told = rows.filter("coalesce(description, '') != ''").withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy("chunk", "seq"))).filter("i <= 5")
+    told = rows.filter("coalesce(description, '') != ''").withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy("chunk", "seq", "description"))).filter("i <= 5")
     told = told.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "description"))), lambda x: x["description"]).alias("descriptions"))
     return base.join(best, "name").join(told, "name", "left").withColumn("descriptions", F.coalesce("descriptions", F.array().cast("array<string>")))
 
@@ -60,6 +60,13 @@ def stats(nodes: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def coverage(mentions: DataFrame, units: DataFrame) -> DataFrame:
+    """One row: total, excluded, covered chunks. units: chunk, ok (whether its extraction was read); blank names cover nothing."""
+    held = normalised(mentions).select("chunk").distinct()
+    covered = units.filter("ok").join(held, "chunk", "left_semi").agg(F.count("*").alias("covered"))
+    return units.agg(F.count("*").alias("total"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("excluded")).crossJoin(covered)  # one row each
+
+
 def expand(seeds: DataFrame, links: DataFrame, damping: float = 0.5) -> DataFrame:
     """qid, name, score: seeds (qid, name, rank) at 1/rank, neighbours at a share of it; the best counts."""
     start = seeds.select("qid", "name", (1 / F.col("rank").cast("double")).alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats as st
 from ..functions import text as tx
 from . import runlog
 
@@ -67,6 +68,70 @@ def constant_baseline(rows: DataFrame, golds: Column, fixed: list[tuple[str, str
     return every.groupBy("baseline", "answer").agg(F.count("*").alias("n"), F.sum(met).alias("contained"), (100 * F.avg(met)).alias("pct"))
 
 
+def mini_evaluation(rows: DataFrame, base: str, arm: str, ablated: str, golds: str, retrieved: str, phrase: str) -> DataFrame:
+    """metric, value: two arms' answers to the same questions, and the arm's answers to prompts without their way out.
+
+    rows: a question each, with the three answers, its golds (an array) and whether its gold was retrieved. An answer
+    that holds ``phrase`` abstains. Containment and its 95 % interval, abstentions, the paired difference with its exact
+    p, abstentions by retrieval, the commonest gold as a constant answer, and refusals that turn into answers without
+    the way out. Shares of nothing are null; no rows give no questions and nulls.
+    """
+    said = lambda c: tx.letters_only(F.lower(F.coalesce(F.col(c), F.lit(""))))
+    wanted = F.transform(F.coalesce(F.col(golds), F.array().cast("array<string>")), lambda g: tx.letters_only(F.lower(g)))
+    held = tx.letters_only(F.lower(F.lit(phrase)))
+    each = rows.select(
+        *(F.coalesce(tx.contains_any(said(c), wanted), F.lit(False)).alias(f"{k}_met") for k, c in (("base", base), ("arm", arm), ("ablated", ablated))),
+        *(said(c).contains(held).alias(f"{k}_abstained") for k, c in (("base", base), ("arm", arm), ("ablated", ablated))),
+        F.coalesce(F.col(retrieved), F.lit(False)).alias("found"),
+    )
+    hit = {
+        "base_met": "base_met",
+        "arm_met": "arm_met",
+        "ablated_met": "ablated_met",
+        "base_abstained": "base_abstained",
+        "arm_abstained": "arm_abstained",
+        "ablated_abstained": "ablated_abstained",
+        "b": "arm_met AND NOT base_met",
+        "c": "base_met AND NOT arm_met",
+        "found": "found",
+        "found_abstained": "found AND arm_abstained",
+        "missed_abstained": "NOT found AND arm_abstained",
+        "flips": "arm_abstained AND NOT ablated_abstained",
+        "flips_met": "arm_abstained AND NOT ablated_abstained AND ablated_met",
+    }
+    sums = each.agg(F.count("*").alias("n"), *(F.count_if(F.expr(cond)).alias(name) for name, cond in hit.items()))
+    constant = constant_baseline(rows, F.col(golds), []).select(F.col("pct").alias("constant_pct"))
+    one = sums.join(constant, F.lit(True), "left").withColumn("missed", F.col("n") - F.col("found"))  # one row each
+    pct = lambda a, b: F.try_divide(100.0 * F.col(a), F.col(b))
+    values = {"questions": F.col("n")}
+    for k in ("base", "arm"):
+        low, high = st.wilson(F.col(f"{k}_met"), F.col("n"))
+        values |= {f"{k}_containment": pct(f"{k}_met", "n"), f"{k}_low": low, f"{k}_high": high, f"{k}_abstained": pct(f"{k}_abstained", "n")}
+    values |= {
+        "delta_pp": F.try_divide(100.0 * (F.col("b") - F.col("c")), F.col("n")),
+        "mcnemar_p": st.mcnemar(F.col("b"), F.col("c")),
+        "abstained_when_retrieved": pct("found_abstained", "found"),
+        "abstained_when_missed": pct("missed_abstained", "missed"),
+        "constant_containment": F.col("constant_pct"),
+        "ablated_containment": pct("ablated_met", "n"),
+        "ablated_abstained": pct("ablated_abstained", "n"),
+        "refusals_that_answer": F.col("flips"),
+        "of_them_contained": F.col("flips_met"),
+    }
+    return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()))))
+
+
+def pair_table(deltas: DataFrame, pairs: list[str]) -> DataFrame:
+    """config, metric and for each pair its delta and whether it is significant: the family's rows over all types.
+
+    deltas: family (config/stratum/pair/metric), delta, significant. Rows of other families are left out.
+    """
+    part = F.split("family", "/")
+    rows = deltas.filter((F.size(part) == 4) & (part[1] == "all")).select(part[0].alias("config"), part[3].alias("metric"), part[2].alias("pair"), "delta", "significant")
+    wide = rows.groupBy("config", "metric").pivot("pair", pairs).agg(F.first("delta").alias("delta"), F.first("significant").alias("significant"))
+    return wide
+
+
 def traffic_mix(cells: DataFrame, mix: DataFrame) -> DataFrame:
     """preset, config, weighted, winner: sum(weight * value) / sum(weight) over types; 0 where all weights are.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats as st
-from ..operators import chunking, reporting
+from ..operators import chunking, graph, learning, reporting
 from ..sources import io
-from .queries import _N1, _SLIDE, _gold, query
+from .evaluation import _FAM, _FAM_ROWS, _PAIR_ARMS, _family
+from .queries import _EDGE, _MENT, _N1, _N5, _PACKED, _SLIDE, _edges, _gold, _mentions, query
 
 # Digests ----------------------------------------------------------------------------------------
 
@@ -184,3 +185,90 @@ def _(t):
     pct = F.round(100 * F.avg("quality"), 2) + F.when(F.col("g") == "de", 1).otherwise(0)
     stored = outcomes.groupBy("g").agg(pct.alias("pct")).join(st.bootstrap_lcg(_differences(t), "g", "d", 4_000, scale=100.0).select("g", "n", "low", "high"), "g")
     return reporting.claims(outcomes, stored, "g", "quality")
+
+
+@query("x9_gate_rules", _bootstrap_sql(_DIFFS, 4_000, 100.0) + ", b AS (SELECT max(mean) FILTER (g = 'en') > 0 AND max(p) FILTER (g = 'en') < 0.05 AS better_on_similar, max(low) FILTER (g = 'de') > -3 AS not_worse_on_novel, max(mean) FILTER (g = 'fr') > 0 AND max(p) FILTER (g = 'fr') < 0.05 AS beats_popularity, max(p) FILTER (g = 'es') <= 0.05 AS not_structural FROM boot) SELECT *, better_on_similar AND not_worse_on_novel AND beats_popularity AND not_structural AS permitted FROM b")
+def _(t):
+    """Languages stand for the four comparisons."""
+    cases = {"en": ("similar", "base"), "de": ("novel", "base"), "fr": ("similar", "popularity"), "es": ("similar", "shuffled")}
+    at = lambda i: F.coalesce(*(F.when(F.col("g") == g, case[i]) for g, case in cases.items()))
+    deltas = st.bootstrap_lcg(_differences(t), "g", "d", 4_000, scale=100.0)
+    return learning.gates(deltas.select(at(0).alias("split"), F.lit("learned").alias("a"), at(1).alias("b"), "mean", "low", "p"))
+
+
+# Tables of pairs, the mini evaluation -----------------------------------------------------------
+
+#: p of counts b and c by the logarithm of the gamma function.
+_EXACT = "least(1, 2 * list_sum([exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)) FOR i IN range(least(b, c) + 1)]))"
+_PAIRED = [f"{a}-{b}" for a, b in _PAIR_ARMS]
+
+
+@query("a16_pair_table", f"WITH {_FAM}, d AS ({_FAM_ROWS}), f AS (SELECT family, round(100.0 * avg(diff), 6) AS delta, count(*) FILTER (diff > 0) AS b, count(*) FILTER (diff < 0) AS c FROM d GROUP BY family), p AS (SELECT family, delta, CASE WHEN b + c = 0 THEN 1 ELSE {_EXACT} END AS p FROM f), s AS (SELECT *, row_number() OVER (ORDER BY p, family) AS i, count(*) OVER () AS m FROM p), h AS (SELECT string_split(family, '/') AS x, delta, bool_and(p <= 0.05 / (m - i + 1)) OVER (ORDER BY i) AS ok FROM s) SELECT x[1] AS config, x[4] AS metric, " + ", ".join(f"max(delta) FILTER (x[3] = '{p}') AS \"{p}_delta\", bool_or(ok) FILTER (x[3] = '{p}') AS \"{p}_significant\"" for p in _PAIRED) + " FROM h WHERE len(x) = 4 AND x[2] = 'all' GROUP BY x[1], x[4]")
+def _(t):
+    deltas = _family(t).groupBy("family").agg(F.round(100.0 * F.avg("diff"), 6).alias("delta"), F.count_if(F.col("diff") > 0).alias("b"), F.count_if(F.col("diff") < 0).alias("c"))
+    deltas = st.holm(deltas.withColumn("p", st.mcnemar(F.col("b"), F.col("c"))), "p", order="family")
+    return reporting.pair_table(deltas, _PAIRED)
+
+
+_REFUSAL = "Insufficient information."
+_TALK = f"t AS (SELECT [lang, source] AS golds, quality = 1 AS found, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE 'none' END AS closed, CASE WHEN toxic = 1 OR doc_id % 7 = 0 THEN '{_REFUSAL}' ELSE source || ' it is' END AS rag, CASE WHEN doc_id % 14 = 0 THEN '{_REFUSAL}' WHEN doc_id % 2 = 0 THEN lang ELSE 'unsure' END AS ablated FROM labels JOIN documents USING (doc_id))"
+_HELD = lambda c: f"len(list_filter(golds, lambda g: {_N5.format('g')} <> '' AND contains({_N5.format(c)}, {_N5.format('g')}))) > 0"
+_TALK_SQL = f"""WITH {_TALK}, top AS (SELECT golds[1] AS answer FROM t GROUP BY golds[1] ORDER BY count(*) DESC, golds[1] LIMIT 1),
+e AS (SELECT found, {_HELD('closed')} AS m0, {_HELD('rag')} AS m1, {_HELD('ablated')} AS m2, closed = '{_REFUSAL}' AS a0, rag = '{_REFUSAL}' AS a1, ablated = '{_REFUSAL}' AS a2, len(list_filter(golds, lambda g: {_N1.format('g')} <> '' AND contains({_N1.format('answer')}, {_N1.format('g')}))) > 0 AS k FROM t, top),
+s AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (m0) AS m0, count(*) FILTER (m1) AS m1, count(*) FILTER (m2) AS m2, count(*) FILTER (a0) AS a0, count(*) FILTER (a1) AS a1, count(*) FILTER (a2) AS a2, count(*) FILTER (m1 AND NOT m0) AS b, count(*) FILTER (m0 AND NOT m1) AS c, count(*) FILTER (found) AS f, count(*) FILTER (found AND a1) AS fa, count(*) FILTER (NOT found AND a1) AS ma, count(*) FILTER (a1 AND NOT a2) AS flips, count(*) FILTER (a1 AND NOT a2 AND m2) AS fm, count(*) FILTER (k) AS k, 1.959963984540054 AS z FROM e),
+w AS (SELECT *, m0 / n AS p0, m1 / n AS p1, 1 + z * z / n AS d FROM s),
+o AS (SELECT unnest([struct_pack(metric := 'questions', value := n), struct_pack(metric := 'base_containment', value := 100.0 * m0 / n), struct_pack(metric := 'base_low', value := round(100 * ((p0 + z*z/(2*n)) / d - z / d * sqrt(p0*(1-p0)/n + z*z/(4*n*n))), 2)), struct_pack(metric := 'base_high', value := round(100 * ((p0 + z*z/(2*n)) / d + z / d * sqrt(p0*(1-p0)/n + z*z/(4*n*n))), 2)), struct_pack(metric := 'base_abstained', value := 100.0 * a0 / n),
+struct_pack(metric := 'arm_containment', value := 100.0 * m1 / n), struct_pack(metric := 'arm_low', value := round(100 * ((p1 + z*z/(2*n)) / d - z / d * sqrt(p1*(1-p1)/n + z*z/(4*n*n))), 2)), struct_pack(metric := 'arm_high', value := round(100 * ((p1 + z*z/(2*n)) / d + z / d * sqrt(p1*(1-p1)/n + z*z/(4*n*n))), 2)), struct_pack(metric := 'arm_abstained', value := 100.0 * a1 / n),
+struct_pack(metric := 'delta_pp', value := 100.0 * (b - c) / n), struct_pack(metric := 'mcnemar_p', value := {_EXACT}), struct_pack(metric := 'abstained_when_retrieved', value := 100.0 * fa / nullif(f, 0)), struct_pack(metric := 'abstained_when_missed', value := 100.0 * ma / nullif(n - f, 0)), struct_pack(metric := 'constant_containment', value := 100.0 * k / n),
+struct_pack(metric := 'ablated_containment', value := 100.0 * m2 / n), struct_pack(metric := 'ablated_abstained', value := 100.0 * a2 / n), struct_pack(metric := 'refusals_that_answer', value := CAST(flips AS DOUBLE)), struct_pack(metric := 'of_them_contained', value := CAST(fm AS DOUBLE))]) AS x FROM w)
+SELECT x.metric AS metric, round(x.value, 6) AS value FROM o"""
+
+
+@query("u8_evaluation_report", _TALK_SQL)
+def _(t):
+    """Answers by rule stand for the models'."""
+    d = t("labels").join(t("documents").select("doc_id", "lang", "source"), "doc_id")
+    i = F.col("doc_id")
+    rows = d.select(
+        F.array("lang", "source").alias("golds"),
+        (F.col("quality") == 1).alias("found"),
+        F.when(i % 3 == 0, F.upper("lang")).otherwise("none").alias("closed"),
+        F.when((F.col("toxic") == 1) | (i % 7 == 0), _REFUSAL).otherwise(F.concat("source", F.lit(" it is"))).alias("rag"),
+        F.when(i % 14 == 0, _REFUSAL).when(i % 2 == 0, F.col("lang")).otherwise("unsure").alias("ablated"),
+    )
+    out = reporting.mini_evaluation(rows, "closed", "rag", "ablated", "golds", "found", "insufficient information")
+    return out.withColumn("value", F.round("value", 6))
+
+
+# Graph figures, table functions, segmenters -----------------------------------------------------
+
+
+@query("a12_descriptions", f"WITH {_MENT} SELECT name, string_agg(description, '|' ORDER BY chunk, seq, description) AS descriptions FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY chunk, seq, description) AS i FROM m WHERE coalesce(description, '') <> '') WHERE i <= 5 GROUP BY name")
+def _(t):
+    return graph.vertices(_mentions(t)).select("name", F.array_join("descriptions", "|").alias("descriptions")).filter("descriptions != ''")
+
+
+@query("a14_phantom_edges", f"WITH {_MENT}{_EDGE}, v AS (SELECT DISTINCT name FROM m WHERE type <> 'SMALL' AND name NOT LIKE 'red%'), k AS (SELECT * FROM e WHERE a IN (SELECT name FROM v) AND b IN (SELECT name FROM v)), d AS (SELECT x, count(*) AS d FROM (SELECT a AS x FROM k UNION ALL SELECT b FROM k) GROUP BY x) SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM k) AS edges, (SELECT count(*) FROM e) - (SELECT count(*) FROM k) AS phantom, (SELECT coalesce(round(avg(d), 6), 0) FROM d) AS degree_mean, (SELECT coalesce(median(d), 0) FROM d) AS degree_median, (SELECT count(*) FROM v) - (SELECT count(*) FROM d) AS isolated")
+def _(t):
+    known = _mentions(t).filter("type != 'SMALL' AND name NOT LIKE 'red%'")
+    return graph.stats(graph.vertices(known), _edges(t))
+
+
+@query("a14_chunk_coverage", "SELECT (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'O') AS excluded, (SELECT count(DISTINCT l_orderkey) FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' AND p_type = 'SMALL') AS covered")
+def _(t):
+    units = t("orders").select(F.col("o_orderkey").alias("chunk"), (F.col("o_orderstatus") == "O").alias("ok"))
+    return graph.coverage(_mentions(t).filter("type = 'SMALL'"), units)
+
+
+@query("u6_pack_table", f"{_PACKED} SELECT * FROM packed")
+def _(t):
+    return chunking.pack_table(t("documents"), "doc_id", "source", "text", 120).withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
+#: Words of the dictionary in the query: the commonest pairs and triples of letters stand for a language's words.
+_PARTS = ["the", "and", "tion", "ing", "est", "eau", "oue", "lle", "sch", "ung", "ein", "los", "que", "ent"]
+
+
+@query("t4_dictionary_segments", "SELECT doc_id AS doc, len(list_filter(regexp_extract_all(text, '" + "|".join(sorted(_PARTS, key=len, reverse=True)) + "|[\\s\\S]'), lambda w: regexp_matches(w, '[\\p{L}\\p{N}]'))) AS n FROM documents")
+def _(t):
+    return chunking.segments(t("documents"), "doc_id", "text", lambda: chunking.LongestMatch(_PARTS)).select("doc", F.size("tokens").cast("long").alias("n"))

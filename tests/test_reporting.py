@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import stats
-from siftline.operators import chunking, reporting
+from siftline.operators import chunking, graph, reporting
 from siftline.sources import io
 
 
@@ -161,3 +161,43 @@ def test_subword_packing_keeps_every_sentence(spark):
     joined = " ".join(r["text"].removeprefix("Title\n\n") for r in soft)
     assert [f"Sentence number {i} is here." in joined for i in range(200)] == [True] * 200
     assert any(r["hard_split"] for r in got)
+
+
+def test_mini_evaluation(spark):
+    rows = [(["Ja!"], True, "nein", "Insufficient information", "ja"), (["x"], False, "x", "INSUFFICIENT-information.", "no"), (["Ja!"], True, "", "Ja, ja", "ja"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "golds array<string>, found boolean, closed string, rag string, ablated string")
+    got = {r["metric"]: r["value"] for r in reporting.mini_evaluation(df, "closed", "rag", "ablated", "golds", "found", "insufficient information").collect()}
+    assert (got["questions"], got["base_containment"], got["arm_containment"], got["arm_abstained"]) == (4, 25, 25, 50)
+    assert (got["delta_pp"], got["mcnemar_p"]) == (0, 1)
+    assert (got["abstained_when_retrieved"], got["abstained_when_missed"]) == (50, 50)
+    assert (got["refusals_that_answer"], got["of_them_contained"], got["constant_containment"]) == (2, 1, 50)
+    none = {r["metric"]: r["value"] for r in reporting.mini_evaluation(df.limit(0), "closed", "rag", "ablated", "golds", "found", "x").collect()}
+    assert none["questions"] == 0 and none["delta_pp"] is None
+
+
+def test_pair_table(spark):
+    rows = [("c1/all/x-y/s", 2.0, True), ("c1/all/x-z/s", 1.0, False), ("c1/t0/x-y/s", 9.0, True), ("0-1/x/s", 5.0, True)]
+    got = reporting.pair_table(spark.createDataFrame(rows, "family string, delta double, significant boolean"), ["x-y", "x-z"]).collect()
+    assert [r.asDict() for r in got] == [{"config": "c1", "metric": "s", "x-y_delta": 2.0, "x-y_significant": True, "x-z_delta": 1.0, "x-z_significant": False}]
+
+
+def test_table_function_in_sql(spark):
+    docs = spark.createDataFrame([(1, "T", "One two. Three four five. Six."), (2, "", ""), (3, None, "a " * 30)], "i long, t string, b string")
+    by_function = chunking.pack_table(docs, "i", "t", "b", 5).collect()
+    by_fold = chunking.pack(docs, "i", "t", "b", 5).collect()
+    assert sorted(map(tuple, by_function)) == sorted(map(tuple, by_fold)) and len(by_fold) > 4
+    assert spark.sql("SELECT * FROM pack_chunks('', null, array(named_struct('text', 'a', 'starts_paragraph', true)), 5)").count() == 0
+
+
+def test_longest_match(spark):
+    cut = chunking.LongestMatch(["ab", "abc", "cd"])
+    assert cut("abcd abx") == ["abc", "d", " ", "ab", "x"] and cut("") == [] and chunking.LongestMatch([])("ab") == ["a", "b"]
+    docs = spark.createDataFrame([(1, "abcd, ab"), (2, None), (3, "")], "i long, t string")
+    got = {r["doc"]: r["tokens"] for r in chunking.segments(docs, "i", "t", lambda: chunking.LongestMatch(["ab", "abc"])).collect()}
+    assert got == {1: ["abc", "d", "ab"], 2: [], 3: []}
+
+
+def test_chunk_coverage(spark):
+    units = spark.createDataFrame([(1, True), (2, True), (3, False), (4, None)], "chunk int, ok boolean")
+    mentions = spark.createDataFrame([(1, "A"), (1, "B"), (2, " "), (3, "C"), (9, "D")], "chunk int, name string")
+    assert tuple(graph.coverage(mentions, units).first()) == (4, 2, 1)
