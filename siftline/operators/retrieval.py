@@ -20,19 +20,42 @@ from pyspark.sql import functions as F
 SMALL = 1 << 28
 
 
-def spread(docs: DataFrame) -> DataFrame:
+def spread(docs: DataFrame, *by: str) -> DataFrame:
     """A small table often lies in one row group, which one task reads: its rows are dealt out before costly work on texts.
 
-    Tables of a larger estimated size have many row groups and are read where they lie, without a shuffle.
+    Dealt out ``by`` an id, what is then counted for each id needs no other shuffle. Tables of a larger estimated
+    size have many row groups and are read where they lie, without a shuffle.
     """
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size < SMALL else docs
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism, *by) if size < SMALL else docs
+
+
+#: Rows of ids or words up to which a counted table is broadcast.
+FEW = 1_000_000
+
+
+def are_few(rows: DataFrame) -> bool:
+    return rows.limit(FEW + 1).count() <= FEW
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """The rows, marked for a broadcast if a count (of FEW + 1 at most) finds that they are few; others are shuffled."""
+    return F.broadcast(rows) if are_few(rows) else rows
+
+
+def unfolded(rows: DataFrame, tokens: Column, *keep: str | Column) -> DataFrame:
+    """``keep`` and term, a row for each token.
+
+    A plain explode would have the optimiser test the tokens' number too, in the scan's own task: texts would be
+    cut three times, twice before they are dealt out.
+    """
+    return rows.select(*keep, F.explode_outer(tokens).alias("term")).filter("term IS NOT NULL")
 
 
 def postings(docs: DataFrame, doc: str, tokens: Column, terms: DataFrame | None = None) -> DataFrame:
     """doc, term, tf, dl (the document's tokens). ``terms``: only postings of these, filtered before they are counted."""
-    cut = spread(docs).select(F.col(doc).alias("doc"), tokens.alias("ts"))
-    rows = cut.select("doc", F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term"))
+    cut = spread(docs, doc).select(F.col(doc).alias("doc"), tokens.alias("ts"))
+    rows = unfolded(cut, F.col("ts"), "doc", F.size("ts").cast("long").alias("dl"))
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")
     return rows.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
@@ -44,13 +67,16 @@ def index(docs: DataFrame, doc: str, tokens: Column, terms: DataFrame | None = N
     Documents without tokens count in n and avgdl. With ``terms`` (a column term, those of the queries) other
     postings are never made; without them the corpus's tokens are added up from the postings.
     """
-    post = postings(docs, doc, tokens, terms)
+    bounded = terms is not None and are_few(terms)
+    post = postings(docs, doc, tokens, F.broadcast(terms) if bounded else terms)
     total = post.agg(F.sum("tf").alias("all")) if terms is None else spread(docs).agg(F.sum(F.size(tokens)).alias("all"))
     average = F.when(F.col("n") > 0, F.coalesce("all", F.lit(0)) / F.col("n")).otherwise(0.0)
     corpus = docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("n", average.cast("double").alias("avgdl"))  # one row each
-    often = post.groupBy("term").agg(F.count("*").alias("df"))
+    # Counts look at tf, as the sum of all does, so that the postings' exchange is the same for all three uses.
+    often = post.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = often.crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "avgdl")  # one row
+    weighted = F.broadcast(weighted) if bounded else weighted  # no more rows than terms
     return post.join(weighted, "term").select("term", "doc", "tf", "dl", "idf", "avgdl"), corpus
 
 
@@ -63,7 +89,7 @@ def bm25(weighted: DataFrame, queries: DataFrame, qid: str, tokens: Column, k1:
     asked = queries.select(F.col(qid).alias("qid"), F.explode(tokens).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     f = F.col("tf").cast("double")
     part = F.col("qtf") * F.col("idf") * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return weighted.join(asked, "term").groupBy("qid", "doc").agg(F.sum(part).alias("score"))
+    return weighted.join(few(asked), "term").groupBy("qid", "doc").agg(F.sum(part).alias("score"))
 
 
 def direct(docs: DataFrame, doc: str, tokens: Column, queries: DataFrame, qid: str, idf: DataFrame, corpus: DataFrame, k1: float = 1.2, b: float = 0.75, block: int = 1024) -> DataFrame:
@@ -216,7 +242,7 @@ def containing(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str
     longest = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
     own = own.select("qid", "part", longest.alias("term"))
     wanted = own.select("term").distinct()
-    seen = docs.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).join(wanted, "term")
+    seen = unfolded(docs, F.array_distinct(tokens(F.col(text))), F.col(doc).alias("doc")).join(few(wanted), "term")
     pairs = seen.join(own, "term").select("qid", "doc", "part")
     texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     found = pairs.join(texts, "doc").filter(F.col("text").contains(F.col("part"))).select("qid", "doc")
