@@ -538,16 +538,24 @@ def _(t):
     return t("documents").select("doc_id", tx.occurrences(F.col("text"), F.lit("the ")).alias("n"))
 
 
-@query("a20_chunk_integrity")
+_HEADED = "CASE WHEN title = '' THEN '' ELSE title || chr(10) || chr(10) END"
+_TIMES = "(length({0}) - length(replace({0}, x, ''))) // length(x)"
+_WHOLE = f"""{_PACKED}, joined AS (SELECT doc, string_agg(CASE WHEN starts_with(text, {_HEADED}) THEN substr(text, length({_HEADED}) + 1) ELSE text END, ' ' ORDER BY chunk_index) AS j, count(*) AS chunks, count(*) FILTER (n_tokens > 120) AS over_budget FROM packed JOIN r USING (doc) GROUP BY doc),
+ss AS (SELECT doc, list(s) AS ss FROM u0 GROUP BY doc)
+SELECT doc, CAST(len(ss) AS INT) AS sentences, CAST(len(list_filter(ss, lambda x: NOT contains(j, x))) AS INT) AS lost, CAST(len(list_filter(ss, lambda x: contains(j, x) AND {_TIMES.format('j')} > {_TIMES.format('body')})) AS INT) AS duplicated, chunks, over_budget FROM ss JOIN joined USING (doc) JOIN r USING (doc)"""
+
+
+@query("a20_chunk_integrity", _WHOLE)
 def _(t):
     packed = chunking.pack(t("documents"), "doc_id", "source", "text", 120)
     return chunking.integrity(t("documents"), packed, "doc_id", "source", "text", 120)
 
 
-@query("a17_packing_statistics")
+@query("a17_packing_statistics", f"{_PACKED} SELECT count(*) AS chunks, round(avg(n_tokens), 6) AS mean, median(n_tokens) AS median, min(n_tokens) AS least, max(n_tokens) AS most, round(avg(n_tokens) / 120, 6) AS fill_rate, count(*) FILTER (hard_split) AS hard_splits, count(*) FILTER (n_tokens > 120) AS over_budget, (SELECT round(sum(length(body)) / sum({_WORDS.format('body')}), 6) FROM d WHERE body <> '') AS chars_per_token FROM packed")
 def _(t):
     packed = chunking.pack(t("documents"), "doc_id", "source", "text", 120)
-    return chunking.statistics(packed, t("documents"), "doc_id", "source", "text", 120)
+    out = chunking.statistics(packed, t("documents"), "doc_id", "source", "text", 120)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "fill_rate", "chars_per_token")})
 
 
 @query("a23_volume", "SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean, median(n_chars) AS median, min(n_chars) AS least, max(n_chars) AS most, CAST(sum(n_chars) AS BIGINT) AS total, round(avg(n_chars) * count(*) / 3600, 6) AS hours FROM documents GROUP BY lang")
