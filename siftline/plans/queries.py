@@ -205,12 +205,15 @@ def _(t):
     return t("documents").select(F.explode(tx.unicode_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
 
 
-@query("t4_bigram_segmenter")
+_BIGRAMS = "CAST(coalesce(list_sum([greatest(length(w) - 1, 1) FOR w IN regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')]), 0) AS INT) AS n"
+
+
+@query("t4_bigram_segmenter", f"SELECT item_id, {_BIGRAMS} FROM benchmark")
 def _(t):
     return t("benchmark").select("item_id", F.size(tx.bigram_tokens(F.col("text"))).alias("n"))
 
 
-@query("t4_bigram_documents")
+@query("t4_bigram_documents", f"SELECT doc_id, {_BIGRAMS} FROM documents")
 def _(t):
     return t("documents").select("doc_id", F.size(tx.bigram_tokens(F.col("text"))).alias("n"))
 
