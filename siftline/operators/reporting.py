@@ -121,6 +121,27 @@ def mini_evaluation(rows: DataFrame, base: str, arm: str, ablated: str, golds: s
     return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()))))
 
 
+def extraction_gates(rows: DataFrame, by: str, valid: Column, seconds: Column, wanted: int, most_seconds: float, planned: Column) -> DataFrame:
+    """``by``, n, valid, valid_rate, the seconds' mean, median, least and most, hours, all_valid, in_time, passed.
+
+    hours: ``planned`` units at the mean. all_valid needs exactly ``wanted`` rows, all of them valid; in_time needs every
+    row under ``most_seconds``; a null validity or time fails its gate.
+    """
+    good, s = F.coalesce(valid, F.lit(False)), seconds.cast("double")
+    out = rows.groupBy(by).agg(
+        F.count("*").alias("n"),
+        F.count_if(good).alias("valid"),
+        F.avg(s).alias("mean"),
+        F.median(s).alias("median"),
+        F.min(s).alias("least"),
+        F.max(s).alias("most"),
+        (F.first(planned) * F.avg(s) / 3600).alias("hours"),
+        F.every(F.coalesce(s < most_seconds, F.lit(False))).alias("in_time"),
+    )
+    out = out.withColumn("valid_rate", F.col("valid") / F.col("n")).withColumn("all_valid", (F.col("n") == wanted) & (F.col("valid") == wanted))
+    return out.withColumn("passed", F.col("all_valid") & F.col("in_time"))
+
+
 def pair_table(deltas: DataFrame, pairs: list[str]) -> DataFrame:
     """config, metric and for each pair its delta and whether it is significant: the family's rows over all types.
 

@@ -138,6 +138,13 @@ def _(t):
     return reporting.repeats(rows, "key", "run", "item")
 
 
+@query("p16_extraction_gates", "SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus <> 'P') AS valid, round(avg(s), 6) AS mean, median(s) AS median, min(s) AS least, max(s) AS most, round(100.0 * avg(s) / 3600, 6) AS hours, max(s) < 90 AS in_time, round(count(*) FILTER (o_orderstatus <> 'P') / count(*), 6) AS valid_rate, count(*) = 10 AND count(*) FILTER (o_orderstatus <> 'P') = 10 AS all_valid, count(*) = 10 AND count(*) FILTER (o_orderstatus <> 'P') = 10 AND max(s) < 90 AS passed FROM (SELECT *, CAST(o_orderkey % 91 AS DOUBLE) AS s FROM orders) GROUP BY o_custkey")
+def _(t):
+    """Customers' orders stand for extractions."""
+    out = reporting.extraction_gates(t("orders"), "o_custkey", F.col("o_orderstatus") != "P", F.col("o_orderkey") % 91, 10, 90, F.lit(100))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "hours", "valid_rate")})
+
+
 # Repeatable bootstraps --------------------------------------------------------------------------
 
 

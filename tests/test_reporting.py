@@ -201,3 +201,11 @@ def test_chunk_coverage(spark):
     units = spark.createDataFrame([(1, True), (2, True), (3, False), (4, None)], "chunk int, ok boolean")
     mentions = spark.createDataFrame([(1, "A"), (1, "B"), (2, " "), (3, "C"), (9, "D")], "chunk int, name string")
     assert tuple(graph.coverage(mentions, units).first()) == (4, 2, 1)
+
+
+def test_extraction_gates(spark):
+    rows = [("a", True, 10.0), ("a", True, 89.9), ("b", True, 1.0), ("b", False, 2.0), ("c", True, 1.0), ("c", True, 90.0), ("d", True, 1.0), ("e", None, 1.0), ("e", True, None)]
+    df = spark.createDataFrame(rows, "g string, v boolean, s double")
+    got = by(reporting.extraction_gates(df, "g", F.col("v"), F.col("s"), 2, 90, F.lit(7200)), "g")
+    assert {k[0]: (v["all_valid"], v["in_time"], v["passed"]) for k, v in got.items()} == {"a": (True, True, True), "b": (False, True, False), "c": (True, False, False), "d": (False, True, False), "e": (False, False, False)}
+    assert got["b",]["hours"] == 3 and got["b",]["valid_rate"] == 0.5
