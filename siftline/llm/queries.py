@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, packing, pii, secret_scan, sharding, simhash, token_count, toxicity
+from . import decontaminate, dominance, exact_dedup, language_id, packing, pii, secret_scan, sharding, simhash, token_count, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents"))
 
 
+def above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominance.sales_above(_table(spark, sf_dir, "sales"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact,
     "op2_token_counts": tokens,
@@ -74,7 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": languages,
     "op9_secret_scan": secrets,
     "op10_pii": personal,
+    "op13_dominance": above,
 }
 
-#: Only exact dedup can be said in SQL; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE}
+#: The others can't be said in SQL; they are tested against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op13_dominance": dominance.ORACLE}
