@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, dominance, exact_dedup, language_id, packing, pii, secret_scan, sharding, simhash, token_count, toxicity
+from . import decontaminate, divergence, dominance, exact_dedup, graph_search, language_id, packing, pii, secret_scan, sharding, simhash, token_count, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,14 @@ def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents"))
 
 
+def divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def above(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.sales_above(_table(spark, sf_dir, "sales"))
 
@@ -78,8 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": languages,
     "op9_secret_scan": secrets,
     "op10_pii": personal,
+    "op11_divergence": divergences,
+    "op12_neighbours": neighbours,
     "op13_dominance": above,
 }
 
 #: The others can't be said in SQL; they are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op13_dominance": dominance.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op11_divergence": divergence.ORACLE, "op13_dominance": dominance.ORACLE}
