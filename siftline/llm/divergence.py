@@ -23,19 +23,23 @@ products are exact: shares are worked out as decimals, the rest fits 64 bits.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import durable, map_rows, quoted, ship
+from .runtime import durable, quoted, ship
 
 #: Documents of a language that a kept term is in, at least; ranks of part ``term``; the share of a whole.
 LEAST, RANKS, WHOLE = 3, 200, 1_000_000_000
 #: Counts that a task gathers before it hands them on; pairs of a vector's sources taken at a time.
-GATHERED, PAIRS = 200_000, 1 << 20
+GATHERED, PAIRS = 400_000, 1 << 20
+#: A task's occurrences of a term stay under 2**BITS between two shuffles, its documents under 2**(63 - BITS).
+BITS = 40
+ONE = 1 << BITS
 #: Cells that the sources of one language are dealt to where all of them meet.
 SALTS = 64
 #: Letters, and every byte of a character beyond ASCII.
@@ -48,31 +52,42 @@ def terms(text: str) -> list[bytes]:
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents that hold it): counts are added up in tasks before they are shuffled."""
-
-    def make() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
-        def rows(source: Iterator[tuple]) -> Iterator[tuple]:
-            held: dict[tuple, list[int]] = {}
-            for text, lang, name in source:
-                own: dict[bytes, int] = {}
-                for t in terms(text):
-                    own[t] = own.get(t, 0) + 1
-                for t, n in own.items():
-                    if (at := held.get((lang, name, t))) is None:
-                        held[lang, name, t] = [n, 1]
-                    else:
-                        at[0] += n
-                        at[1] += 1
-                if len(held) > GATHERED:
-                    yield from ((*k, *v) for k, v in held.items())
-                    held = {}
-            yield from ((*k, *v) for k, v in held.items())
-
-        return rows
-
-    table = docs.select(*(F.coalesce(F.col(quoted(c)), F.lit("")).alias(a) for c, a in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
-    found = map_rows(table, make, "lang string, source string, term binary, n bigint, docs bigint")
-    return found.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """lang, source, term, n (occurrences), docs (documents that hold it); all rows of a language's term lie in one partition.
+
+    Counts are added up in tasks, GATHERED at a time, before they are shuffled by language and term, once for all that follows.
+    """
+    ship(docs.sparkSession)
+    table = docs.select(*(F.coalesce(F.col(quoted(c)), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        room = GATHERED
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for lang, source, text in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                    own = held.setdefault((lang, source), {})
+                    before, get = len(own), own.get
+                    # One number holds both: documents above, occurrences in the lower BITS.
+                    for t, n in Counter(terms(text)).items():
+                        own[t] = get(t, 0) + n + ONE
+                    room -= len(own) - before
+                    if room < 0:
+                        yield from _columns(held)
+                        held, room = {}, GATHERED
+        yield from _columns(held)
+
+    found = table.mapInArrow(run, "lang string, source string, term binary, n bigint, docs bigint")
+    found = found.withColumn("term", F.col("term").cast("string")).repartition("lang", "term")
+    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _columns(held: dict[tuple[str, str], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    for (lang, source), own in held.items():
+        both, words = np.fromiter(own.values(), np.int64, len(own)), list(own)
+        for i in range(0, len(words), 1 << 15):
+            part, some = both[i : i + (1 << 15)], pa.array(words[i : i + (1 << 15)], pa.binary())
+            columns = [pa.repeat(lang, len(part)), pa.repeat(source, len(part)), some, pa.array(part & (ONE - 1)), pa.array(part >> BITS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
 
 def kept_terms(counts: DataFrame, least: int = LEAST) -> DataFrame:
