@@ -1,8 +1,8 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A feature is a character n-gram of 4 to 6 in the words of a text (lower case, a blank at each end of the
-word); its value is the number of different words that hold it. N-grams are hashed into 2**20 places, and
-none is left out. Over the training rows a place's log-count ratio r compares how many toxic and how many
+word); its value is the number of different words that hold it. A word of one letter has none. N-grams are hashed
+into 2**20 places, and none is left out. Over the training rows a place's log-count ratio r compares how many toxic and how many
 other texts have it, smoothed towards no difference; logistic regression with a ridge is fitted on the
 features scaled by r. A text's score is the regression's probability. It is a sum over the text's
 different words, so that each word is worth one number, worked out once.
@@ -41,7 +41,8 @@ SMOOTH, RIDGE, STEPS = 1.0, 3e-3, 60
 BLOCK = 10_000
 #: Words whose worth a Python worker remembers; the table is emptied when it is full.
 REMEMBERED = 250_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Two letters at least: with its two blanks a single one is shorter than an n-gram, and so has no feature.
+_WORD = re.compile(r"[^\W\d_]{2,}")
 Model = tuple[np.ndarray, float]
 
 
@@ -90,8 +91,8 @@ def log_count_ratios(pos: np.ndarray, neg: np.ndarray, toxic: int, other: int, s
 def fit(rows: list[np.ndarray], y: np.ndarray, sizes: np.ndarray, used: np.ndarray, gram: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> Model:
     """Weights of all places, and the intercept, by Adam on the whole (bounded) sample from zero: deterministic.
 
-    rows: the words of each text, as numbers; sizes, gram: how many places each word's n-grams have, and these,
-    as numbers of ``used`` ones.
+    rows: the words of each text, as numbers; sizes, gram: how many places each word's n-grams have (one at least),
+    and these, as numbers of ``used`` ones.
     """
     n, v = len(rows), len(sizes)
     of, word = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows]), np.concatenate([np.zeros(0, np.int32), *rows])

@@ -1,11 +1,11 @@
 import math
-import re
 import zlib
 
 import numpy as np
 import pytest
 
 from siftline.llm import toxicity as op
+from tests.llm import toxicity_by_hand as by_hand
 
 
 @pytest.fixture(scope="module")
@@ -55,34 +55,24 @@ def test_toxic_rows_go(spark):
     assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted([*(str(i) for i in range(200) if i % 4), "None"])
 
 
-def _places(text):
-    """By hand: place to the number of different words that hold an n-gram in it."""
-    out = {}
-    for w in set(re.findall(r"[^\W\d_]+", text.lower())):
-        own = {f" {w} "[i : i + k] for k in (4, 5, 6) for i in range(len(w) + 3 - k)}
-        for g in {zlib.crc32(g.encode("utf-32-le")) % op.PLACES for g in own}:
-            out[g] = out.get(g, 0) + 1
-    return out
-
-
-def test_training_and_scores_by_hand(spark):
-    """Against a dense design matrix and plain sums."""
-    texts = [f"you {'idiot' if i % 3 == 0 else 'friend'} w{'abc'[i % 3]}{'xyz'[i % 2]} and {'stupid' if i % 6 == 0 else 'kind'} Friend" for i in range(60)] + [""]
+@pytest.mark.parametrize("block", [op.BLOCK, 1, 3])
+def test_training_and_scores_by_hand(spark, monkeypatch, block):
+    """Against a dense design matrix and plain sums; words of one letter are no features, wherever a block of words ends."""
+    monkeypatch.setattr(op, "BLOCK", block)
+    texts = [f"a you {'idiot' if i % 3 == 0 else 'friend'} w{'abc'[i % 3]}{'xyz'[i % 2]} and {'stupid' if i % 6 == 0 else 'kind'} Friend I {'qrs'[i % 3]}" for i in range(60)] + [""]
     rows = [(i, t) for i, t in enumerate(texts)]
-    learned = [(i, t, int(i % 3 == 0)) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
     weights, intercept = op.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
-    names = sorted({g for _, t, _ in learned for g in _places(t)})
-    x, y = np.array([[_places(t).get(g, 0) for g in names] for _, t, _ in learned], float), np.array([c for *_, c in learned], float)
-    n, prior = len(y), y.mean()
-    ratio = lambda k: math.log(((x[y == 1, k] > 0).sum() + prior) / prior) - math.log(((x[y == 0, k] > 0).sum() + 1 - prior) / (1 - prior))
-    r = np.array([ratio(k) for k in range(len(names))])
-    w, m, s = np.append(np.zeros(len(names)), math.log((y.sum() + 1) / (n - y.sum() + 1))), 0.0, 0.0
-    for t in range(1, op.STEPS + 1):
-        p = 1 / (1 + np.exp(-(x * r @ w[:-1] + w[-1])))
-        g = np.append((x * r).T @ (p - y) / n + op.RIDGE * w[:-1], (p - y).mean())
-        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
-    assert intercept == pytest.approx(w[-1], abs=1e-6) and np.abs(weights[names] - w[:-1] * r).max() < 1e-4 and np.count_nonzero(weights) <= len(names)
+    names, want, at = by_hand.fit([(t, int(i % 3 == 0)) for i, t in rows if not by_hand.is_held_out(i)])
+    assert intercept == pytest.approx(at, abs=1e-6) and np.abs(weights[names] - want).max() < 1e-4 and np.count_nonzero(weights) <= len(names)
     for row in op.score(spark.createDataFrame(rows, "doc_id long, text string"), (weights, intercept)).collect():
-        z = intercept + sum(n * float(weights[g]) for g, n in _places(texts[row.doc_id]).items())
+        z = intercept + sum(n * float(weights[g]) for g, n in by_hand.places(texts[row.doc_id]).items())
         assert row.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+@pytest.mark.parametrize("texts", [("a", "b"), ("good day friend a", "bad rude person"), ("a b c", "bad"), ("x", ""), ("good day friend", "bad rude person")])
+def test_tiny_vocabularies(spark, texts):
+    ids = [i for i in range(40) if not by_hand.is_held_out(i)]
+    docs = spark.createDataFrame([(i, texts[i % 2]) for i in ids], "doc_id long, text string")
+    weights, intercept = op.train(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int"))
+    names, want, at = by_hand.fit([(texts[i % 2], i % 2) for i in ids])
+    assert intercept == pytest.approx(at, abs=1e-6) and np.allclose(weights[names], want, atol=1e-4)
