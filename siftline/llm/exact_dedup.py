@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import durable, fold_ascii, one_of_each, quoted, texts, whole
+from .runtime import HOT, durable, fold_ascii, one_of_each, quoted, texts, whole
 
 CHUNK = r"(?s).{63,4094}?[.!?\n](?=\s?[a-fA-F])|.{1,4095}"
 
@@ -70,8 +70,17 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """One row for each row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
     listed = recipes(docs, id_col, text_col, hash_bits).withColumn("key", F.xxhash64("recipe", "ords"))
-    groups = listed.groupBy("key", "recipe", "ords").agg(F.max(F.struct("doc_id", "row")).alias("stays"), F.count("*").alias("group_size"))
-    joined = listed.join(groups, ["key", "recipe", "ords"])
+    keys = ["key", "recipe", "ords"]
+    stays = F.max(F.struct("doc_id", "row")).alias("stays"), F.count("*").alias("group_size")
+    # Keys of over a HOT-th of all rows, fewer than HOT: their groups go to their rows, not all rows to one task.
+    hot = F.broadcast(listed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > listed.count() // HOT).select("key"))
+    if hot.isEmpty():
+        joined = listed.join(listed.groupBy(*keys).agg(*stays), keys)
+    else:
+        rest, many = listed.join(hot, "key", "left_anti"), listed.join(hot, "key", "left_semi")
+        # Lists that are equal have one digest, and it is short where a list may be long.
+        groups = many.groupBy(*keys).agg(*stays, F.min("text_sha256").alias("text_sha256")).drop("recipe", "ords")
+        joined = rest.join(rest.groupBy(*keys).agg(*stays), keys).unionByName(many.join(F.broadcast(groups), ["key", "text_sha256"]))
     return joined.select(
         "doc_id",
         F.col("stays.doc_id").alias("keep_id"),

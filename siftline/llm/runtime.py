@@ -182,6 +182,24 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+#: A group of over a HOT-th of all rows is joined by broadcast; there are fewer than HOT of them.
+HOT = 1000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined to ``groups`` (each ``key`` once, ``size``: its rows) without bringing a hot group to one task.
+
+    total: the rows there are. Groups of over a HOT-th of them are broadcast, of a proven number; others are shuffled.
+    Both sides are gone through twice and should be durable.
+    """
+    large = F.col(size) > total // HOT
+    hot = groups.filter(large)
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(~large), key)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def one_of_each(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """The documents of ``rows`` (doc, n, keys): where n is over 1, of each key's documents the one largest by text, then as JSON.
 

@@ -9,9 +9,11 @@ under itself and under its 32 neighbours that differ in one bit outside the key:
 bits always share such a place, all in one place are within two bits, and a place holds at
 most 33, so a link from each to the smallest one in its place keeps all groups whole.
 
-Null counts as empty; texts without words have fingerprint zero, linked like any other. Repeated
+Null counts as empty; texts without words have fingerprint zero, linked like any other. Very long texts are hashed
+whole, in steps of bounded memory. A bit that is set in exactly half of the hashes, a tie, is 0. Repeated
 rows get the same fingerprint and component. A null doc_id never names a component unless it holds
-no other id. An empty table gives an empty result; other columns are ignored.
+no other id. An empty table gives an empty result; other columns are ignored. A fingerprint or a component of a
+large share of all rows (empty texts, copies) is broadcast to its rows, not brought to one task.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import durable, map_rows, texts
+from .runtime import durable, map_rows, texts, with_groups
 
 SHINGLE, SEED, DISTANCE, BLOCK = 3, 42, 2, 16
 #: Fingerprints under one key above which they are not compared pair by pair.
@@ -85,10 +87,10 @@ def links(distinct: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (its smallest doc_id) for every row."""
     signed = durable(fingerprints(docs, id_col, text_col, shingle))
-    distinct = durable(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = durable(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp")), "a", "b")
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return signed.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
+    placed = durable(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = durable(with_groups(placed.drop("least"), durable(named), "root", "members", placed.count()).select("fp", "n", "component_id"))
+    rows = with_groups(signed, named, "fp", "n", signed.count())
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
