@@ -171,3 +171,120 @@ def delta_family(outcomes: DataFrame, pairs: list[tuple[str, str]], metrics: lis
 
 def geometric_mean(ratio: Column) -> Column:
     return F.exp(F.avg(F.ln(ratio)))
+
+
+# Tests and measures over orders ----------------------------------------------------------------
+
+
+def null_tail(doubled: list[int], total: int) -> float:
+    """min(1, 2 min(P(W <= total), P(W >= total))) where each of the doubled ranks has its sign by a fair coin.
+
+    Exact: the number of sign patterns for each sum, by dynamic programming.
+    """
+    ways = [1] + [0] * sum(doubled)
+    for r in doubled:
+        ways = [w + (ways[s - r] if s >= r else 0) for s, w in enumerate(ways)]
+    return min(1.0, 2 * min(sum(ways[: total + 1]), sum(ways[total:])) / 2 ** len(doubled))
+
+
+def signed_rank(df: DataFrame, group: str, diff: str, exact: int = 50) -> DataFrame:
+    """group, n, w_plus, w_minus, z, p: Wilcoxon's signed-rank test of paired differences.
+
+    Null and zero differences are left out; equal absolute differences share their average rank. Up to ``exact`` pairs p
+    comes from the null distribution given the ties, above from the normal one with the variance corrected for ties.
+    Groups without differences get p = 1. Ranks are running sums over counted values, so a group may have any size.
+    """
+    from ..operators.ordered import running
+
+    d = F.col(diff).cast("double")
+    counts = df.filter(d.isNotNull() & ~F.isnan(d) & (d != 0)).groupBy(group, F.abs(d).alias("a")).agg(F.count("*").alias("n"), F.count_if(d > 0).alias("up"))
+    ranked = running(counts, [group], "a", ["n"]).withColumn("r2", 2 * F.col("before_n") + F.col("n") + 1)
+    n, big = F.col("n").cast("double"), "decimal(38,0)"
+    # At most ``exact`` entries, for groups that are tested exactly.
+    few = F.collect_list(F.when(F.col("all_n") <= exact, F.struct("r2", "n")))
+    sums = ranked.groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.col("up").cast(big) * F.col("r2")).cast(big).alias("w2"), F.sum(n * n * n - n).alias("ties"), few.alias("ranks"))
+
+    def tail(n: pd.Series, w2: pd.Series, z: pd.Series, ranks: pd.Series) -> pd.Series:
+        exactly = lambda w, of: null_tail([int(r["r2"]) for r in of for _ in range(r["n"])], int(w))
+        return pd.Series([exactly(w, of) if m <= exact else math.erfc(abs(z) / math.sqrt(2)) for m, w, z, of in zip(n, w2, z, ranks, strict=True)], dtype="float64")
+
+    m = F.col("n").cast("double")
+    plus = F.col("w2").cast("double") / 2
+    z = (plus - m * (m + 1) / 4) / F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
+    tested = sums.withColumn("z", z).withColumn("p", F.pandas_udf(tail, "double")("n", F.col("w2").cast("string"), "z", "ranks"))
+    tested = tested.select(F.col(group).alias("_g"), "n", plus.alias("w_plus"), (m * (m + 1) / 2 - plus).alias("w_minus"), "z", "p")
+    out = df.select(group).distinct().join(tested, F.col(group).eqNullSafe(F.col("_g")), "left")
+    rest = {"n": 0, "w_plus": 0.0, "w_minus": 0.0, "z": 0.0, "p": 1.0}
+    return out.select(group, *(F.coalesce(c, F.lit(v)).alias(c) for c, v in rest.items()))
+
+
+def risk_coverage(df: DataFrame, keys: list[str], score: str, wrong: str) -> DataFrame:
+    """keys, score, taken, covered, errors, coverage, risk: answers are taken by falling score, those of one score together.
+
+    covered, errors: answers taken so far and the wrong ones among them; taken: those of this score. Rows without a score are never taken.
+    """
+    from ..operators.ordered import running
+
+    rows = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("n"), F.count_if(F.col(wrong)).alias("e"))
+    rows = running(rows, keys, score, ["n", "e"], falling=True)
+    covered, errors = F.col("before_n") + F.col("n"), F.col("before_e") + F.col("e")
+    return rows.select(*keys, score, F.col("n").alias("taken"), covered.alias("covered"), errors.alias("errors"), (covered / F.col("all_n")).alias("coverage"), (errors / covered).alias("risk"))
+
+
+def risk_area(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, risk, area, excess: the mean risk over all coverages, and how much it exceeds that of a perfect order.
+
+    A perfect order takes all right answers first; with a share r of errors its area tends to r + (1 - r) ln(1 - r).
+    """
+    n, r = F.sum("taken"), F.max_by("risk", "covered")
+    best = F.when(r >= 1, 1.0).otherwise(r + (1 - r) * F.ln(1 - r))
+    area = F.sum(F.col("risk") * F.col("taken")) / n
+    return curve.groupBy(*keys).agg(n.alias("n"), r.alias("risk"), area.alias("area"), (area - best).alias("excess"))
+
+
+def kendall(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """keys, n, concordant, discordant, tau_b of two numbers; null where either order has one value only. Rows that lack a number are left out."""
+    from ..operators.ordered import inversions
+
+    points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n"))
+    whole = lambda c: c.cast("decimal(20,0)")
+    pairs = lambda c: (whole(c) * (whole(c) - 1)).cast("decimal(38,0)")  # noqa: E731  twice the pairs
+    tied = lambda by, name: points.groupBy(*keys, *by).agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum(pairs(F.col("n"))).alias(name), *([F.sum("n").alias("n")] if name == "joint" else []))
+    on = lambda a, b: a.join(b, keys, "left") if keys else a.crossJoin(b)  # noqa: E731  one row each without keys
+    out = on(on(tied(["x", "y"], "joint"), tied(["x"], "tx")), tied(["y"], "ty"))
+    out = on(out, inversions(points, keys))
+    d, all2 = F.coalesce("inversions", F.lit(0)).cast("decimal(38,0)"), pairs(F.col("n"))
+    c2 = all2 - F.col("tx") - F.col("ty") + F.col("joint") - 2 * d
+    real = lambda c: c.cast("double")
+    tau = F.try_divide(real(c2 - 2 * d), F.sqrt(real(all2 - F.col("tx"))) * F.sqrt(real(all2 - F.col("ty"))))
+    return out.select(*keys, "n", F.floor(c2 / 2).cast("long").alias("concordant"), d.cast("long").alias("discordant"), tau.alias("tau_b"))
+
+
+def mid_p(b: Column, c: Column) -> Column:
+    """McNemar's mid-p of discordant counts: the exact p less the probability of the counts found; 1 for none."""
+
+    def run(b: pd.Series, c: pd.Series) -> pd.Series:
+        def one(b: int, c: int) -> float:
+            n, k = b + c, min(b, c)
+            if not n:
+                return 1.0
+            own = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+            return 1 - own if b == c else two_sided(b, c) - own
+
+        return pd.Series([one(int(x), int(y)) for x, y in zip(b, c, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(b, c)
+
+
+def equivalence(df: DataFrame, group: str, diff: str, margin: float, alpha: float = 0.05) -> DataFrame:
+    """group, n, mean, low, high, equivalent: two one-sided tests of paired differences against +-``margin``.
+
+    Both reject where the 1 - 2 alpha interval of the mean (normal) lies inside the margins. Under two differences nothing is shown.
+    """
+    from statistics import NormalDist
+
+    z = NormalDist().inv_cdf(1 - alpha)
+    rows = df.groupBy(group).agg(F.count(diff).alias("n"), F.avg(diff).alias("mean"), (z * F.stddev_samp(diff) / F.sqrt(F.count(diff))).alias("half"))
+    low, high = F.col("mean") - F.col("half"), F.col("mean") + F.col("half")
+    inside = F.coalesce((low > -margin) & (high < margin), F.lit(False))
+    return rows.select(group, "n", "mean", low.alias("low"), high.alias("high"), inside.alias("equivalent"))

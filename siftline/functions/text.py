@@ -100,3 +100,14 @@ def ablated(prompt: Column, sentence: str) -> Column:
     """The prompt without a sentence; a prompt that doesn't hold it fails the query."""
     gone = F.replace(prompt, F.lit(sentence), F.lit(""))
     return F.when(prompt.contains(sentence), gone).otherwise(F.raise_error(F.lit(f"not in the prompt: {sentence}")))
+
+
+def answer_scores(answer: Column, gold: Column) -> tuple[Column, Column, Column]:
+    """Exact match, token F1 (tokens with their counts) and set F1 (each token once) of normalised answers; 1 where both are empty."""
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    a, g = words(answer), words(gold)
+    times = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
+    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, w: n + F.least(times(a, w), times(g, w)))
+    kinds = F.size(F.array_distinct(a)) + F.size(F.array_distinct(g))
+    share = lambda part, whole: F.when(whole == 0, 1.0).otherwise(2 * part / whole)
+    return answer == gold, share(both, F.size(a) + F.size(g)), share(F.size(F.array_intersect(a, g)), kinds)

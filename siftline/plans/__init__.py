@@ -4,3 +4,5 @@ from . import queries as queries  # noqa: I001
 from . import evaluation as evaluation
 from . import relational as relational
 from . import reporting as reporting
+from . import orders as orders
+from . import search as search
