@@ -92,6 +92,69 @@ def bm25(weighted: DataFrame, queries: DataFrame, qid: str, tokens: Column, k1:
     return weighted.join(few(asked), "term").groupBy("qid", "doc").agg(F.sum(part).alias("score"))
 
 
+#: Pairs of query and term that a plan may hold; scores that a numpy step holds.
+ASKED, SCORES = 200_000, 1 << 22
+
+
+def bm25_top(docs: DataFrame, doc: str, tokens: Column, queries: DataFrame, qid: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """qid, doc, score, rank: the k best of ``bm25`` for each query, scored where the documents lie.
+
+    queries: a stated set. A document keeps its tokens that are asked for, is scored for all queries at once, and a
+    partition hands on its k best for each query: of the documents nothing else is shuffled. Counts of the asked terms
+    are collected first, in a pass of their own (a job when the plan is made). Over ASKED pairs of query and term, or
+    where ids are no whole numbers, postings are shuffled instead.
+    """
+    asked = queries.select(F.col(qid).alias("qid"), F.explode(tokens).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    pairs = asked.limit(ASKED + 1).collect()
+    if len(pairs) > ASKED or docs.schema[doc].dataType.simpleString() not in ("bigint", "int"):
+        return top(bm25(index(docs, doc, tokens, asked_terms(queries, tokens))[0], queries, qid, tokens, k1, b), k)
+    schema = f"qid {asked.schema['qid'].dataType.simpleString()}, doc {docs.schema[doc].dataType.simpleString()}, score double"
+    terms = sorted({r.term for r in pairs})
+    if not terms:
+        return top(docs.sparkSession.createDataFrame([], schema), k)
+    cut = spread(docs.select(doc, F.coalesce(tokens, F.array().cast("array<string>")).alias("ts")), doc)
+    rows = cut.select(F.col(doc).alias("doc"), F.size("ts").cast("long").alias("dl"), F.filter("ts", lambda w: w.isin(terms)).alias("own"))
+    # A document's row under '' (no term is empty) holds its length.
+    met = rows.select("dl", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("own"))).alias("term"))
+    df = {r.term: (r.n, r.dl) for r in met.groupBy("term").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).collect()}
+    n, total = df.get("", (0, 0))
+    known = [w for w in terms if w in df]
+    at = {w: i for i, w in enumerate(known)}
+    ids = sorted({r.qid for r in pairs if r.qid is not None})
+    place = {q: i for i, q in enumerate(ids)}
+    held = sorted((at[r.term], place[r.qid], r.qtf) for r in pairs if r.term in at and r.qid is not None)
+    idf = np.array([np.log(1 + (n - df[w][0] + 0.5) / (df[w][0] + 0.5)) for w in known])
+    of = np.array(held, np.int64).reshape(-1, 3)
+    starts = np.searchsorted(of[:, 0], np.arange(len(known) + 1))
+    sent = docs.sparkSession.sparkContext.broadcast((at, idf, of[:, 1], of[:, 2].astype(float), starts, ids, total / n if n else 0.0))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, idf, query, times, starts, ids, avgdl = sent.value
+        q = len(ids)
+        docs, scores = np.zeros((q, 0), np.int64), np.zeros((q, 0))
+        step = max(1, SCORES // max(1, q))
+        for batch in batches:
+            for i in range(0, len(batch), step):
+                part = batch.iloc[i : i + step]
+                size = part["own"].map(len).to_numpy()
+                words = np.fromiter((at[w] for own in part["own"] for w in own), np.int64, int(size.sum()))
+                cell, tf = np.unique(np.repeat(np.arange(len(part)), size) * len(idf) + words, return_counts=True)
+                row, word = cell // len(idf), cell % len(idf)
+                weight = idf[word] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * part["dl"].to_numpy()[row] / avgdl)) if avgdl else np.zeros(len(row))
+                many = starts[word + 1] - starts[word]
+                asks = np.repeat(starts[word] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                score = np.bincount(query[asks] * len(part) + np.repeat(row, many), times[asks] * np.repeat(weight, many), q * len(part)).reshape(q, -1)
+                # The best so far meet the batch's; 0 is no common term.
+                scores = np.concatenate([scores, score], axis=1)
+                docs = np.concatenate([docs, np.broadcast_to(part["doc"].to_numpy(), score.shape)], axis=1)
+                best = np.lexsort((docs, -np.round(scores, 9)), axis=1)[:, :k]
+                docs, scores = np.take_along_axis(docs, best, 1), np.take_along_axis(scores, best, 1)
+        a, c = np.nonzero(scores > 0)
+        yield pd.DataFrame({"qid": np.array(ids)[a], "doc": docs[a, c], "score": scores[a, c]})
+
+    return top(rows.filter("size(own) > 0").mapInPandas(run, schema), k)
+
+
 def direct(docs: DataFrame, doc: str, tokens: Column, queries: DataFrame, qid: str, idf: DataFrame, corpus: DataFrame, k1: float = 1.2, b: float = 0.75, block: int = 1024) -> DataFrame:
     """qid, doc, score as ``bm25``, but from each document's own tokens, without postings: for checks.
 

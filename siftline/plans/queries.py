@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as st
 from ..functions import text as tx
-from ..operators import chunking, graph, retrieval, runlog
+from ..operators import chunking, graph, ordered, retrieval, runlog
 from ..sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -341,8 +341,7 @@ def _with(*parts: str, **values) -> str:
 
 def _ranked(t, tokens=tx.latin_tokens, k1: float = 1.2, k: int = 50) -> DataFrame:
     asked, own = t("benchmark"), tokens(F.col("text"))
-    weighted, _corpus = retrieval.index(t("documents"), "doc_id", own, retrieval.asked_terms(asked, own))
-    return retrieval.top(retrieval.bm25(weighted, asked, "item_id", own, k1), k)
+    return retrieval.bm25_top(t("documents"), "doc_id", own, asked, "item_id", k, k1)
 
 
 @query("r1_index_build", _with(_DOCS, **_LATIN) + " SELECT doc, term, tf, len(ts) AS dl, round(idf, 9) AS idf FROM post JOIN terms USING (term) JOIN toks USING (doc)")
@@ -524,8 +523,9 @@ def _(t):
 
 @query("a17_chunk_statistics", f"SELECT count(*) AS n, round(avg(length(chunk)), 4) AS mean_chars, median(length(chunk)) AS median_chars, min(length(chunk)) AS least, max(length(chunk)) AS most FROM ({_SLIDE})")
 def _(t):
-    n = F.length("chunk")
-    return chunking.slide(t("documents"), "doc_id", "text", 512, 64).agg(F.count("*").alias("n"), F.round(F.avg(n), 4).alias("mean_chars"), F.median(n).alias("median_chars"), F.min(n).alias("least"), F.max(n).alias("most"))
+    n, chunks = F.length("chunk"), chunking.slide(t("documents"), "doc_id", "text", 512, 64)
+    middle = ordered.medians(chunks.select(n.alias("n")), [], "n").select(F.col("median").alias("median_chars"))
+    return middle.crossJoin(chunks.agg(F.count("*").alias("n"), F.round(F.avg(n), 4).alias("mean_chars"), F.min(n).alias("least"), F.max(n).alias("most")))
 
 
 @query("a18_severance", f"WITH c AS ({_SLIDE}), g AS (SELECT item_id, b.text, doc_id AS doc FROM benchmark b, documents d WHERE contains(d.text, b.text)), x AS (SELECT item_id, g.doc, coalesce(bool_or(contains(chunk, text)), false) AS whole FROM g LEFT JOIN c ON c.doc = g.doc GROUP BY ALL) SELECT count(*) AS spans, sum(CAST(NOT whole AS BIGINT))::BIGINT AS severed, round(CASE WHEN count(*) > 0 THEN 100.0 * sum(CAST(NOT whole AS BIGINT)) / count(*) END, 4) AS pct FROM x")
@@ -565,7 +565,7 @@ def _(t):
 def _(t):
     """Hours at a second for each character."""
     n = F.col("n_chars")
-    return t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean"), F.median(n).alias("median"), F.min(n).alias("least"), F.max(n).alias("most"), F.sum(n).alias("total"), F.round(F.avg(n) * F.count("*") / 3600, 6).alias("hours"))
+    return t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"), F.sum(n).alias("total"), F.round(F.avg(n) * F.count("*") / 3600, 6).alias("hours")).join(ordered.medians(t("documents").withColumnRenamed("lang", "of"), ["of"], "n_chars"), F.col("lang").eqNullSafe(F.col("of"))).drop("of")
 
 
 @query("a23_rolling_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 9) AS rolling FROM events")

@@ -87,8 +87,8 @@ def _(t):
 
 @query("j1_postings_of_queries", _with(_DOCS, _SCORED, **_LATIN) + " SELECT qid, count(*) AS n, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT DISTINCT qid, term FROM qt) JOIN post USING (term) GROUP BY qid")
 def _(t):
-    post = retrieval.postings(t("documents"), "doc_id", tx.latin_tokens(F.col("text")))
     asked = t("benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(tx.latin_tokens(F.col("text")))).alias("term"))
+    post = retrieval.postings(t("documents"), "doc_id", tx.latin_tokens(F.col("text")), retrieval.few(asked.select("term").distinct()))
     return post.join(asked, "term").groupBy("qid").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
 
 
@@ -115,14 +115,15 @@ def _(t):
 @query("r3_bm25_scores", _with(_DOCS, _SCORED, **_LATIN) + " SELECT qid, count(*) AS n, round(sum(score), 4) AS total, round(max(score), 6) AS best FROM scored GROUP BY qid")
 def _(t):
     tokens = tx.latin_tokens(F.col("text"))
-    scored = retrieval.bm25(retrieval.index(t("documents"), "doc_id", tokens)[0], t("benchmark"), "item_id", tokens)
+    asked = t("benchmark")
+    scored = retrieval.bm25(retrieval.index(t("documents"), "doc_id", tokens, retrieval.asked_terms(asked, tokens))[0], asked, "item_id", tokens)
     return scored.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"), F.round(F.max("score"), 6).alias("best"))
 
 
 def _verified(t, asked):
     """Scores of the asked items on all documents, by the index and by the text itself."""
     tokens = tx.latin_tokens(F.col("text"))
-    weighted, corpus = retrieval.index(t("documents"), "doc_id", tokens)
+    weighted, corpus = retrieval.index(t("documents"), "doc_id", tokens, retrieval.asked_terms(asked, tokens))
     scored = retrieval.bm25(weighted, asked, "item_id", tokens)
     wanted = asked.select(F.explode(F.array_distinct(tokens)).alias("term")).distinct()
     idf = wanted.join(weighted.groupBy("term").agg(F.max("idf").alias("idf")), "term")
