@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators import runlog
 
@@ -19,16 +20,14 @@ def run_tasks(spark: SparkSession, tasks: str, schema: str, log: str, checkpoint
     """Answer tasks that arrive as JSON lines, each key once; error rows are tried again.
 
     ``generate`` adds done_reason and whatever else the log holds. A batch that is run again
-    finds its rows in the log and adds none.
+    finds its rows in the log and adds none. Each batch reads the log's keys; ``answers.run_tasks`` keeps them as state.
     """
+    known = StructType([f for f in StructType.fromDDL(schema) if f.name in keys]).add("done_reason", "string")
+    there = spark._jvm.org.apache.hadoop.fs.Path(log)
 
     def batch(rows: DataFrame, number: int) -> None:
-        try:
-            done = spark.read.json(log)
-            rows = runlog.to_do(rows, done, keys) if "done_reason" in done.columns else rows
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+            rows = runlog.to_do(rows, spark.read.schema(known).json(log), keys)
         generate(rows.dropDuplicates(keys)).withColumn("batch", F.lit(number)).write.mode("append").json(log)
 
     source = spark.readStream.schema(schema).json(tasks)
