@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, occurrences, sentences
+from .ordered import medians
 from .retrieval import spread
 
 #: Share of the room from which a paragraph's start closes a chunk.
@@ -116,8 +119,8 @@ def integrity(docs: DataFrame, chunks: DataFrame, doc: str, title: str, body: st
 def statistics(chunks: DataFrame, docs: DataFrame, doc: str, title: str, body: str, budget: int) -> DataFrame:
     """One row: chunks, tokens a chunk, fill rate, characters a token of the bodies, hard splits, over budget."""
     n = F.col("n_tokens")
-    of = chunks.agg(F.count("*").alias("chunks"), F.avg(n).alias("mean"), F.median(n).alias("median"), F.min(n).alias("least"), F.max(n).alias("most"), (F.avg(n) / budget).alias("fill_rate"), F.count_if("hard_split").alias("hard_splits"), F.count_if(n > budget).alias("over_budget"))
-    return of.crossJoin(_articles(docs, doc, title, body).agg(F.try_divide(F.sum(F.length("body")), F.sum(word_count(F.col("body")))).alias("chars_per_token")))
+    of = chunks.agg(F.count("*").alias("chunks"), F.avg(n).alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"), (F.avg(n) / budget).alias("fill_rate"), F.count_if("hard_split").alias("hard_splits"), F.count_if(n > budget).alias("over_budget"))
+    return of.crossJoin(medians(chunks, [], "n_tokens")).crossJoin(_articles(docs, doc, title, body).agg(F.try_divide(F.sum(F.length("body")), F.sum(word_count(F.col("body")))).alias("chars_per_token")))
 
 
 class ByteCounter:
@@ -171,8 +174,16 @@ class FileCounter:
         return len(self.model.encode(text, add_special_tokens=False).ids)
 
     def pieces(self, text: str, room: int) -> list[str]:
-        ids = self.model.encode(text, add_special_tokens=False).ids
-        return [self.model.decode(ids[i : i + room]) for i in range(0, len(ids), room)]
+        """The text itself, cut between characters behind every ``room``-th token or a little before."""
+        at = self.model.encode(text, add_special_tokens=False).offsets
+        # Tokens may share a character: a cut lies where one ends that the next doesn't go on with.
+        clean = [0, *(j for j in range(1, len(at)) if at[j][0] >= at[j - 1][1]), len(at)]
+        cuts, first = [0], 0
+        while first < len(at):
+            k = bisect_right(clean, first + room) - 1
+            first = clean[k] if clean[k] > first else clean[bisect_right(clean, first)]
+            cuts.append(at[first][0] if first < len(at) else len(text))
+        return [text[a:b] for a, b in itertools.pairwise(cuts) if b > a]
 
 
 def token_counts(docs: DataFrame, doc: str, text: str, counter: Callable[[], object], canary: tuple[str, int] | None = None) -> DataFrame:
@@ -207,10 +218,8 @@ def pack_counted(docs: DataFrame, doc: str, title: str, body: str, budget: int,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = _checked(counter(), canary)
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                found = list(_fold(tokens, budget, row.head, row.body, list(row.texts), list(row.firsts)))
-                if found:
-                    yield pd.DataFrame([(row.doc, i, *c) for i, c in enumerate(found)], columns=["doc", *(f.split()[0] for f in CHUNKS.split(", "))])
+            found = [(row.doc, i, *c) for row in batch.itertuples(index=False) for i, c in enumerate(_fold(tokens, budget, row.head, row.body, list(row.texts), list(row.firsts)))]
+            yield pd.DataFrame(found, columns=["doc", *(f.split()[0] for f in CHUNKS.split(", "))])
 
     return rows.mapInPandas(run, f"doc {rows.schema['doc'].dataType.simpleString()}, {CHUNKS}")
 
@@ -270,6 +279,16 @@ class LongestMatch:
         return out
 
 
+def _hard(tokens, budget: int, head: str, text: str, room: int) -> Iterator[tuple[str, int]]:
+    """The pieces of a sentence that is too long, each counted as a whole behind the head; those over the budget are cut again."""
+    for piece in tokens.pieces(text, room):
+        n = tokens.count(head + piece)
+        if n > budget and room > 1 and len(piece) > 1:
+            yield from _hard(tokens, budget, head, piece, max(1, min(room - 1, room - (n - budget))))
+        else:
+            yield piece, n
+
+
 def _fold(tokens, budget: int, head: str, body: str, texts: list[str], firsts: list[bool]) -> Iterator[tuple]:
     """text, n_tokens, char_start, char_end, hard_split of one document's chunks."""
     head_n = tokens.count(head) if head else 0
@@ -298,8 +317,8 @@ def _fold(tokens, budget: int, head: str, body: str, texts: list[str], firsts: l
         if waiting and over:
             yield closed()
         if size > room:
-            for piece in tokens.pieces(texts[i], room):
-                yield head + piece, head_n + tokens.count(piece), -1, -1, True
+            for piece, n in _hard(tokens, budget, head, texts[i], room):
+                yield head + piece, n, -1, -1, True
         else:
             waiting.append(i)
     while waiting:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lowered
+from .ordered import medians
 
 
 def normalised(mentions: DataFrame) -> DataFrame:
@@ -55,7 +56,8 @@ def stats(nodes: DataFrame, links: DataFrame) -> DataFrame:
         nodes.agg(F.count("*").alias("nodes"))
         .crossJoin(kept.agg(F.count("*").alias("edges")))
         .crossJoin(links.agg(F.count("*").alias("all_edges")))
-        .crossJoin(degree.agg(F.coalesce(F.round(F.avg("d"), 6), F.lit(0.0)).alias("degree_mean"), F.coalesce(F.median("d"), F.lit(0.0)).alias("degree_median"), F.count("*").alias("linked")))
+        .crossJoin(degree.agg(F.coalesce(F.round(F.avg("d"), 6), F.lit(0.0)).alias("degree_mean"), F.count("*").alias("linked")))
+        .crossJoin(medians(degree, [], "d").select(F.coalesce("median", F.lit(0.0)).alias("degree_median")))
         .select("nodes", "edges", (F.col("all_edges") - F.col("edges")).alias("phantom"), "degree_mean", "degree_median", (F.col("nodes") - F.col("linked")).alias("isolated"))
     )
 

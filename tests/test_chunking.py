@@ -110,3 +110,28 @@ def test_integrity_sees_what_is_lost_and_doubled(spark):
     assert rows(bad, 2) == {1: (3, 1, 0, 2, 2), 2: (2, 0, 2, 2, 2), 3: (1, 1, 0, 0, 0)}
     s = chunking.statistics(packed, docs, "id", "title", "body", 4).first()
     assert (s.chunks, s.mean, s.fill_rate, s.hard_splits, s.over_budget) == (4, 3.0, 0.75, 0, 0) and s.chars_per_token == pytest.approx(57 / 11)
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_of_a_tokenizer_file_join_to_the_text(file):
+    """Cuts lie between characters, also where a character is many tokens, and a piece counts no more than it may."""
+    import public_tokenizers
+
+    counter = chunking.FileCounter(public_tokenizers.path(file))
+    for text in ["日本語の文章🙂ぁ龘龗 and words", "plain words, only words. " * 9, "🙂" * 20, "a", "  lead and trail  ", "éé ‍ x"]:
+        for room in (1, 2, 5, 40):
+            pieces = counter.pieces(text, room)
+            assert "".join(pieces) == text and all(pieces)
+            assert all(counter.count(p) <= room + 1 or len(p.strip()) <= 2 for p in pieces), (room, pieces)
+
+
+def test_hard_pieces_keep_to_the_budget_with_their_title(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    body = "日本語の文章🙂ぁ龘龗" * 12 + " x" * 90
+    docs = spark.createDataFrame([(1, "A title of some words", body)], "doc long, title string, body string")
+    counter = chunking.FileCounter(path)
+    got = sorted(chunking.pack_counted(docs, "doc", "title", "body", 24, lambda: chunking.FileCounter(path)).collect(), key=lambda r: r.chunk_index)
+    assert all(r.hard_split and r.n_tokens == counter.count(r.text) <= 24 for r in got)
+    assert "".join(r.text.removeprefix("A title of some words\n\n") for r in got) == body
