@@ -6,3 +6,4 @@ from . import relational as relational
 from . import reporting as reporting
 from . import orders as orders
 from . import search as search
+from . import roundtrips as roundtrips

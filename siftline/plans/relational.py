@@ -39,6 +39,12 @@ def _(t):
     return chunking.pack_counted(t("benchmark"), "item_id", "item_id", "text", 60, chunking.ByteCounter, ("Zwölf Boxkämpfer", 5))
 
 
+@query("t8_canary_counts", "SELECT doc_id AS doc, CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT) AS n_tokens FROM documents")
+def _(t):
+    """The counter must count the canary as told before it counts anything."""
+    return chunking.token_counts(t("documents"), "doc_id", "text", chunking.ByteCounter, ("Zwölf Boxkämpfer", 5))
+
+
 @query("t10_recounted_packing")
 def _(t):
     return chunking.pack_counted(t("documents"), "doc_id", "source", "text", 300, chunking.ByteCounter)

@@ -4,11 +4,31 @@ from __future__ import annotations
 
 import html
 import json
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path that all executors reach, deleted with the application: under ``spark.checkpoint.dir``.
+
+    Only a session on one machine may do without that setting; it gets a temporary one.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="siftline-")
+    folder = f"{base.rstrip('/')}/siftline-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def strict_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a bad line fails the query."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
