@@ -76,3 +76,15 @@ def test_tiny_vocabularies(spark, texts):
     weights, intercept = op.train(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int"))
     names, want, at = by_hand.fit([(texts[i % 2], i % 2) for i in ids])
     assert intercept == pytest.approx(at, abs=1e-6) and np.allclose(weights[names], want, atol=1e-4)
+
+
+def test_training_is_bounded_in_characters(spark):
+    """A text that alone is over the bound isn't learned from, others are; without any, nothing is known."""
+    ids = [i for i in range(60) if not by_hand.is_held_out(i)]
+    short = {i: f"you {'idiot' if i % 2 else 'friend'} of ours" for i in ids}
+    docs = spark.createDataFrame([(i, t if i != ids[3] else "idiot friend " * 5000) for i, t in short.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    weights, at = op.train(docs, labels, max_chars=10_000)
+    names, want, z = by_hand.fit([(t, i % 2) for i, t in short.items() if i != ids[3]])
+    assert at == pytest.approx(z, abs=1e-6) and np.allclose(weights[names], want, atol=1e-4)
+    assert op.train(docs, labels, max_chars=5)[1] == -30.0
