@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large and small stars.
 
 Each round gives every node's larger neighbours, then every node's smaller ones, to its smallest
-neighbour; links never multiply, and the number of rounds is about the logarithm of the longest
+neighbour; a link without one of its ends is none. Links never multiply, and the number of rounds is about the logarithm of the longest
 path. Rounds are written to the shared folder. No link leaves the executors: a round ends with
 one row of counts. A hub's links meet only in partial aggregates and in a broadcast join.
 """

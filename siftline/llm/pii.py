@@ -10,7 +10,8 @@ contexts), by gradient ascent on the likelihood, once, in numpy. Texts are decod
 bounded: where no stretch around a token can gain by leaving label O, whatever its labels and
 transitions, the best path has O there, so only the other stretches are decoded.
 
-Null counts as empty; such texts have no spans. Repeated rows are scanned each, null ids stay
+Null counts as empty; such texts have no spans. A very long text is scanned whole. Of equally good labels, ties, the
+first in the order of labels is taken. Repeated rows are scanned each, null ids stay
 null; an empty table gives an empty result; other columns are ignored.
 """
 

@@ -9,7 +9,7 @@ occurs in a piece only at its start or in runs of marks, and a line end is in no
 always one byte token. ``Vocabulary`` checks both facts for the file at hand and falls back to
 the library on whole texts where they fail.
 
-A null text counts as empty and has no tokens. Repeated rows are counted each for itself, null
+A null text counts as empty and has no tokens; a very long text is counted whole. Counts know no ties. Repeated rows are counted each for itself, null
 ids stay null, an empty table gives an empty result, other columns are ignored.
 """
 

@@ -7,8 +7,8 @@ other texts have it, smoothed towards no difference; logistic regression with a
 features scaled by r. A text's score is the regression's probability. It is a sum over the text's
 different words, so that each word is worth one number, worked out once.
 
-Training is bounded: at most ``max_rows`` labelled rows, those with the smallest hash of their doc_id;
-nothing else is sampled. N-grams are cut and counted on the executors; the driver fits the bounded sample.
+Training is bounded: at most ``max_rows`` labelled rows, those with the smallest hash of their doc_id, and of these
+the first that hold at most ``max_chars`` characters together; nothing else is sampled. N-grams are cut and counted on the executors; the driver fits the bounded sample.
 Scores come from texts only.
 
 Null and empty texts have no features and get the intercept's score; very long texts are scored whole. Rows
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .runtime import durable, map_rows, once, quoted, ship, texts
 
 SIZES, PLACES = (4, 5, 6), 1 << 20
-MAX_ROWS = 8000
+MAX_ROWS, MAX_CHARS = 8000, 50_000_000
 SMOOTH, RIDGE, STEPS = 1.0, 3e-3, 60
 #: Words whose n-grams are gone through at a time in training.
 BLOCK = 10_000
@@ -127,13 +127,29 @@ def fit(rows: list[np.ndarray], y: np.ndarray, sizes: np.ndarray, used: np.ndarr
     return out, float(w[k])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def _bounded(sample: DataFrame, max_chars: int) -> DataFrame:
+    """The rows, by the hash of their doc_id, that hold at most so many characters; a row too long for what is left is passed over.
+
+    sample: durable, at most MAX_ROWS rows or so; only their lengths are looked at, one after the other.
+    """
+    rows = sample.select("doc_id", F.length("text").alias("n"), F.xxhash64("doc_id").alias("h"))
+    if (rows.agg(F.sum("n")).first()[0] or 0) <= max_chars:
+        return sample
+    left, chosen = max_chars, []
+    for r in sorted(rows.collect(), key=lambda r: (r.h, r.doc_id)):
+        if r.n <= left:
+            left -= r.n
+            chosen.append((r.doc_id,))
+    return sample.join(F.broadcast(sample.sparkSession.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """(weight of each place, intercept), from labelled rows that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # At most max_rows pairs of numbers: a proven bound. Each id counts once, however often rows repeat it.
     found = texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id")
-    sample = durable(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    sample = _bounded(durable(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))), max_chars)
 
     def of_words() -> Callable[[Iterator[tuple]], Iterable[tuple]]:
         def rows(source: Iterator[tuple]) -> Iterator[tuple]:
