@@ -61,11 +61,17 @@ def postings(docs: DataFrame, doc: str, tokens: Column, terms: DataFrame | None
     return rows.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
 
 
+#: A term in over a HEAVY-th of all documents is heavy.
+HEAVY = 100
+
+
 def index(docs: DataFrame, doc: str, tokens: Column, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Weighted postings (doc, term, tf, dl, idf, avgdl) and the one-row corpus table (n, avgdl).
 
     Documents without tokens count in n and avgdl. With ``terms`` (a column term, those of the queries) other
-    postings are never made; without them the corpus's tokens are added up from the postings.
+    postings are never made; without them the corpus's tokens are added up from the postings, and weights of terms that
+    are in over a HEAVY-th of all documents go to the postings: of these there are less than HEAVY times a document's
+    terms, and they have most of the postings. Only the others' are shuffled by term.
     """
     bounded = terms is not None and are_few(terms)
     post = postings(docs, doc, tokens, F.broadcast(terms) if bounded else terms)
@@ -75,9 +81,21 @@ def index(docs: DataFrame, doc: str, tokens: Column, terms: DataFrame | None = N
     # Counts look at tf, as the sum of all does, so that the postings' exchange is the same for all three uses.
     often = post.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = often.crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "avgdl")  # one row
-    weighted = F.broadcast(weighted) if bounded else weighted  # no more rows than terms
-    return post.join(weighted, "term").select("term", "doc", "tf", "dl", "idf", "avgdl"), corpus
+    weighted = often.crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "avgdl", (F.col("df") * HEAVY > F.col("n")).alias("heavy"))  # one row
+    if terms is None:
+        heavy = weighted.filter("heavy").drop("heavy")
+        rest = post.join(F.broadcast(heavy.select("term")), "term", "left_anti").join(weighted.filter("NOT heavy").drop("heavy"), "term")
+        rows = post.join(F.broadcast(heavy), "term").unionByName(rest)
+    else:
+        rows = post.join(F.broadcast(weighted) if bounded else weighted, "term")  # no more rows than terms
+    return rows.select("term", "doc", "tf", "dl", "idf", "avgdl"), corpus
+
+
+def idf(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
+    """term, idf of every term, without weighted postings."""
+    often = unfolded(spread(docs, doc).select(F.col(doc).alias("doc"), F.array_distinct(tokens).alias("ts")), F.col("ts")).groupBy("term").agg(F.count("*").alias("df"))
+    total = docs.agg(F.count("*").alias("n"))  # one row
+    return often.crossJoin(F.broadcast(total)).select("term", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def asked_terms(queries: DataFrame, tokens: Column) -> DataFrame:

@@ -138,8 +138,7 @@ def _(t):
 
 @query("r2_idf", _with(_DOCS, **_LATIN) + " SELECT term, round(idf, 9) AS idf FROM terms")
 def _(t):
-    weighted, _corpus = retrieval.index(t("documents"), "doc_id", tx.latin_tokens(F.col("text")))
-    return weighted.groupBy("term").agg(F.round(F.max("idf"), 9).alias("idf"))
+    return retrieval.idf(t("documents"), "doc_id", tx.latin_tokens(F.col("text"))).withColumn("idf", F.round("idf", 9))
 
 
 @query("r3_bm25_scores", _with(_DOCS, _SCORED, **_LATIN) + " SELECT qid, count(*) AS n, round(sum(score), 4) AS total, round(max(score), 6) AS best FROM scored GROUP BY qid")
