@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import io
 from .leaders import _matrix
 from .retrieval import top, unit
 
@@ -67,7 +68,7 @@ def index(vectors: DataFrame, centres: np.ndarray, vid: str = "vec_id", vec: str
 def permitted(table: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, qid: str = "qid", vec: str = "v", clearance: str = "clearance") -> tuple[DataFrame, DataFrame]:
     """(qid, doc, score, rank: the exact k nearest that the query may see; qid, multiplied: products that it took).
 
-    table: ``index``'s, best cached. queries: qid, a vector and the bits of its groups; a row is seen if they share one.
+    table: ``index``'s. queries: qid, a vector and the bits of its groups; a row is seen if they share one.
     Ties go to the smaller doc. Queries, a stated set, meet cells in blocks.
     """
     spark = table.sparkSession
@@ -116,7 +117,7 @@ def permitted(table: DataFrame, centres: np.ndarray, queries: DataFrame, k: int,
         schema = f"qid {asked.schema['qid'].dataType.simpleString()}, doc long, score double"
         return own.groupBy(*keys).cogroup(met.select(*keys, "qid", "q", "clearance").groupBy(*keys)).applyInPandas(look, schema)
 
-    first = meet(pairs.filter(F.col("place") < FIRST)).persist()
+    first = io.kept(meet(pairs.filter(F.col("place") < FIRST)), "cells")  # k rows for each of a query's first cells
     found = top(first.filter("doc IS NOT NULL"), k).groupBy("qid").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     # A cell that can't hold what is as good as the k-th best isn't gone into.
     rest = pairs.filter(F.col("place") >= FIRST).join(found, "qid", "left")

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .retrieval import unit
+from .retrieval import top, unit
 
 #: Uncovered vectors that a round brings to the driver; leaders that it may hold.
 STEP, MOST = 1024, 100_000
@@ -32,7 +32,7 @@ def stream(rows: DataFrame, vid: str, order: str, vec: str) -> DataFrame:
 
 
 def leaders(rows: DataFrame, radius: float, step: int = STEP, most: int = MOST) -> pd.DataFrame:
-    """id, pos, v of the leaders, in stream order; rows: as ``stream`` gives them, best cached.
+    """id, pos, v of the leaders, in stream order; rows: as ``stream`` gives them.
 
     ``radius``: the least cosine that a leader covers. Each round is a job (so plans that use this run jobs when they are made);
     there are about as many as leaders over ``step``. Over ``most`` leaders it gives up: the radius is too small for clusters.
@@ -129,12 +129,4 @@ def reranked(pool: DataFrame, cluster: DataFrame, credit: DataFrame, alpha: floa
     rows = pool.join(cluster, "qid", "left").join(credit, ["cluster", "doc"], "left")
     size = pool.groupBy("qid").agg(F.count("*").alias("_m"))
     rows = rows.join(size, "qid").withColumn("score", boost((F.col("_m") - F.col("rank") + 1) / F.col("_m"), F.col("credited"), F.col("surfaced"), alpha, beta))
-    from .retrieval import top
-
     return top(rows.select("qid", "doc", "score"), 1 << 30)
-
-
-def cached(rows: DataFrame) -> DataFrame:
-    """Rows kept for the rounds: as a checkpoint in the session's folder if it names one, else in the executors' memory and disks."""
-    named: SparkSession = rows.sparkSession
-    return rows.checkpoint() if named.sparkContext.getCheckpointDir() else rows.persist()

@@ -374,11 +374,13 @@ _DENSE = ", dense AS (SELECT * FROM (SELECT qid, doc, row_number() OVER (PARTITI
 _FUSED = _with(_DOCS, _SCORED, ", lex AS (SELECT * FROM ranked WHERE rank <= 50)", _DENSE, ", fused AS (SELECT qid, doc, sum(1.0 / (60 + rank)) AS score FROM (SELECT qid, doc, rank FROM lex UNION ALL SELECT qid, doc, rank FROM dense) GROUP BY qid, doc), fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS rank FROM fused)", **_LATIN)
 
 
-def _arms(t) -> dict[str, DataFrame]:
-    """Lexical and dense lists of the items (an item's vector is the one of its id) and their fusion; each list is made once."""
+def _arms(t, again: bool = False) -> dict[str, DataFrame]:
+    """Lexical and dense lists of the items (an item's vector is the one of its id) and their fusion."""
     vectors = t("embeddings")
     asked = vectors.join(t("benchmark").select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    lex, dense = _ranked(t).persist(), retrieval.nearest(vectors, asked, 50).persist()
+    lex, dense = _ranked(t), retrieval.nearest(vectors, asked, 50)
+    if again:  # 50 rows an item
+        lex, dense = io.kept(lex, "bm25"), io.kept(dense, "dense")
     return {"bm25": lex, "dense": dense, "fused": retrieval.top(retrieval.fuse(lex, dense), 50)}
 
 
@@ -531,9 +533,9 @@ def _(t):
 @query("a18_severance", f"WITH c AS ({_SLIDE}), g AS (SELECT item_id, b.text, doc_id AS doc FROM benchmark b, documents d WHERE contains(d.text, b.text)), x AS (SELECT item_id, g.doc, coalesce(bool_or(contains(chunk, text)), false) AS whole FROM g LEFT JOIN c ON c.doc = g.doc GROUP BY ALL) SELECT count(*) AS spans, sum(CAST(NOT whole AS BIGINT))::BIGINT AS severed, round(CASE WHEN count(*) > 0 THEN 100.0 * sum(CAST(NOT whole AS BIGINT)) / count(*) END, 4) AS pct FROM x")
 def _(t):
     gold = _gold(t).join(t("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("fact")), "qid")
-    whole = gold.join(chunking.slide(t("documents"), "doc_id", "text", 512, 64), "doc", "left").groupBy("qid", "doc").agg(F.coalesce(F.bool_or(F.col("chunk").contains(F.col("fact"))), F.lit(False)).alias("whole"))
-    bad = F.sum((~F.col("whole")).cast("long"))
-    return whole.agg(F.count("*").alias("spans"), bad.alias("severed"), F.round(F.try_divide(100.0 * bad, F.count("*")), 4).alias("pct"))
+    found = chunking.severed(gold.select("doc", "fact"), t("documents"), "doc_id", "text", [("512/64", 512, 64)])
+    spans, bad = F.sum("spans"), F.sum("severed")
+    return found.agg(F.coalesce(spans, F.lit(0)).alias("spans"), bad.alias("severed"), F.round(F.try_divide(100.0 * bad, spans), 4).alias("pct"))
 
 
 @query("a20_occurrences", "SELECT doc_id, (length(text) - length(replace(text, 'the ', ''))) // 4 AS n FROM documents")
@@ -664,9 +666,9 @@ def _(t):
 
 @query("u8_mini_evaluation", _FUSED + ", gold AS (SELECT item_id AS qid, doc_id AS doc FROM benchmark b, documents d WHERE contains(d.text, b.text)), arms AS (SELECT 'fused' AS arm, qid, doc, rank FROM fr UNION ALL SELECT 'dense', qid, doc, rank FROM dense UNION ALL SELECT 'bm25', qid, doc, rank FROM lex), names AS (SELECT DISTINCT arm FROM arms), per AS (SELECT n.arm, g.qid, coalesce(min(a.rank) = 1, false) AS hits1, count(a.rank) = count(*) AS strict FROM gold g CROSS JOIN names n LEFT JOIN (SELECT * FROM arms WHERE rank <= 10) a ON a.arm = n.arm AND a.qid = g.qid AND a.doc = g.doc GROUP BY n.arm, g.qid) SELECT arm, count(*) AS n, round(100.0 * avg(CAST(hits1 AS INT)), 2) AS hits1, round(100.0 * avg(CAST(strict AS INT)), 2) AS strict FROM per GROUP BY arm")
 def _(t):
-    gold, asked, out = _gold(t).persist(), t("benchmark").select(F.col("item_id").alias("qid")), None
+    gold, asked, out = io.kept(_gold(t), "gold"), t("benchmark").select(F.col("item_id").alias("qid")), None
     pct = lambda c: F.round(100 * F.avg(F.col(c).cast("int")), 2).alias(c)
-    for arm, ranked in _arms(t).items():
+    for arm, ranked in _arms(t, again=True).items():
         row = retrieval.metrics(asked, gold, ranked, 10).agg(F.count("*").alias("n"), pct("hits1"), pct("strict")).select(F.lit(arm).alias("arm"), "*")
         out = row if out is None else out.unionAll(row)
     return out

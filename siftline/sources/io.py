@@ -29,6 +29,13 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` made once, as a table in a scratch folder: for small results that a plan uses more than once."""
+    path = scratch_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def strict_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a bad line fails the query."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
