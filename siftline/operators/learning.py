@@ -108,3 +108,38 @@ def gates(deltas: DataFrame) -> DataFrame:
         gate("similar", "shuffled", F.col("p") <= 0.05).alias("not_structural"),
     )
     return row.withColumn("permitted", F.col("better_on_similar") & F.col("not_worse_on_novel") & F.col("beats_popularity") & F.col("not_structural"))
+
+
+def random_boost(pool: DataFrame, credit: DataFrame, weight: float = 0.3) -> DataFrame:
+    """seed, qid, doc, score, rank: as ``rerank``, but each query's boosts lie on docs of its pool drawn at random.
+
+    The magnitudes stay, so that what they do by perturbing a ranking is told from what they know. A pool is ordered by
+    draws once, and its n-th boost goes to the n-th doc drawn.
+    """
+    most = credit.groupBy("seed").agg(F.max("credit").alias("most"))  # a row for each seed
+    share = credit.join(most, "seed").select("seed", "doc", (F.col("credit") / F.col("most")).alias("share"))
+    rows = pool.join(share, ["seed", "doc"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    query = Window.partitionBy("seed", "qid")
+    drawn = F.row_number().over(query.orderBy(draw(F.col("seed"), F.col("qid"), F.col("doc"), F.lit("boost")), "doc"))
+    rows = rows.select("seed", "qid", "doc", "rank", drawn.alias("drawn"), F.collect_list("share").over(query.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("shares"))
+    size = F.size("shares")
+    rows = rows.withColumn("score", (size - F.col("rank") + 1) / size + weight * F.element_at("shares", F.col("drawn")))
+    by = query.orderBy(F.round("score", 9).desc(), "doc")
+    return rows.select("seed", "qid", "doc", "score", F.row_number().over(by).alias("rank"))
+
+
+def oracle(pool: DataFrame, gold: DataFrame) -> DataFrame:
+    """seed, qid, doc, rank: the pool with its gold docs first, each side in its own order: what no boost can exceed."""
+    hit = gold.select("qid", "doc").distinct().withColumn("hit", F.lit(1))
+    rows = pool.join(hit, ["qid", "doc"], "left")
+    by = Window.partitionBy("seed", "qid").orderBy(F.coalesce("hit", F.lit(0)).desc(), "rank")
+    return rows.select("seed", "qid", "doc", F.row_number().over(by).alias("rank"))
+
+
+def ndcg(split: DataFrame, gold: DataFrame, ranked: DataFrame, k: int = 10) -> DataFrame:
+    """seed, qid, ndcg at k of the queries held back that have gold; all gold counts alike."""
+    asked = split.filter("NOT learns").select("seed", "qid").join(gold.select("qid", "doc").distinct(), "qid")
+    hit = asked.join(ranked.filter(F.col("rank") <= k).select("seed", "qid", "doc", "rank"), ["seed", "qid", "doc"], "left")
+    gain = F.coalesce(F.sum(1 / F.log2(F.col("rank") + 1.0)), F.lit(0.0))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.count("*"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
+    return hit.groupBy("seed", "qid").agg((gain / ideal).alias("ndcg"))

@@ -80,6 +80,26 @@ def _(t):
     return _Pass(t).arms()["popularity"].withColumn("seed", F.col("seed").cast("long")).withColumn("score", F.round("score", 6))
 
 
+#: Base, random boosts and the ceiling: what a learned order has to be told from.
+_CONTROLS = f"""WITH {_LEARN}, top AS (SELECT seed, max(credit) AS most FROM credit GROUP BY seed),
+s AS (SELECT q.seed, q.qid, p.doc, rank, coalesce(credit / most, 0) AS share FROM q JOIN pool p USING (qid) LEFT JOIN credit c ON c.seed = q.seed AND c.doc = p.doc LEFT JOIN top ON top.seed = q.seed WHERE NOT learns),
+m AS (SELECT *, count(*) OVER w AS m, list(share) OVER (w ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS shares, row_number() OVER (w ORDER BY {_DRAW.format("seed, qid, doc, 'boost'")}, doc) AS drawn FROM s WINDOW w AS (PARTITION BY seed, qid)),
+b AS (SELECT seed, qid, doc, rank, (m - rank + 1) / m + 0.3 * share AS learned, (m - rank + 1) / m + 0.3 * shares[drawn] AS random, EXISTS (SELECT 1 FROM gold g WHERE g.qid = m.qid AND g.doc = m.doc) AS hit FROM m),
+arms AS (SELECT 'base' AS arm, seed, qid, doc, rank FROM b UNION ALL SELECT 'learned', seed, qid, doc, row_number() OVER (PARTITION BY seed, qid ORDER BY round(learned, 9) DESC, doc) FROM b UNION ALL SELECT 'random', seed, qid, doc, row_number() OVER (PARTITION BY seed, qid ORDER BY round(random, 9) DESC, doc) FROM b UNION ALL SELECT 'oracle', seed, qid, doc, row_number() OVER (PARTITION BY seed, qid ORDER BY hit DESC, rank) FROM b),
+w AS (SELECT seed, q.qid, g.doc FROM q JOIN gold g USING (qid) WHERE NOT learns),
+per AS (SELECT arm, w.seed, w.qid, coalesce(sum(1 / log2(rank + 1.0)), 0) AS gain, count(*) AS golds FROM (SELECT DISTINCT arm FROM arms) x, w LEFT JOIN arms a ON a.arm = x.arm AND a.seed = w.seed AND a.qid = w.qid AND a.doc = w.doc AND a.rank <= 3 GROUP BY x.arm, w.seed, w.qid)"""
+
+
+@query("x15_learning_controls", _CONTROLS.replace("SELECT arm, w.seed", "SELECT x.arm, w.seed") + " SELECT arm, seed, count(*) AS n, round(avg(gain / list_sum([1 / log2(i + 1.0) FOR i IN range(1, least(golds, 3) + 1)])), 6) AS ndcg FROM per GROUP BY arm, seed")
+def _(t):
+    p, out = _Pass(t), None
+    arms = {"base": p.seeded, "learned": learning.rerank(p.seeded, p.credit), "random": learning.random_boost(p.seeded, p.credit), "oracle": learning.oracle(p.seeded, p.gold)}
+    for arm, ranked in arms.items():
+        own = learning.ndcg(p.split, p.gold, ranked, 3).withColumn("arm", F.lit(arm))
+        out = own if out is None else out.unionAll(own)
+    return out.groupBy("arm", F.col("seed").cast("long").alias("seed")).agg(F.count("*").alias("n"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+
+
 @query("x9_learning_gates")
 def _(t):
     p, rows = _Pass(t), None
