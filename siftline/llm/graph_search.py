@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by largest inner product: robust-pruned directed graphs, one for each shard.
 
-Vectors get one more component, sqrt(M - |v|^2) with M the largest squared norm, and queries a zero there: the
+Vectors get one more component, sqrt(M - |v|^2) with M the shard's largest squared norm, and queries a zero there: the
 nearest by distance are then those of largest inner product, whatever the norms. Distinct vectors are dealt to shards
-of about SHARD by a hash of their smallest id. In a shard a task builds the graph: points come in batches; a greedy
+of about SHARD by a hash of their smallest id, those whose norms differ by a factor of four or so to shards of their
+own, so that a few long vectors don't make all others look alike. In a shard a task builds the graph: points come in batches; a greedy
 search for each proposes neighbours (all points that it went through), and of these, nearest first, one is kept
 unless a kept one is nearer to it by a factor of ALPHA (relaxed distance pruning, which keeps edges in diverse
 directions, at most DEGREE). Edges are given back, and a list that grows over DEGREE is pruned again. Every vector is in
@@ -146,10 +147,16 @@ def padded(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data, sq
 
 
-def lifted(v: np.ndarray, most: float) -> np.ndarray:
-    """With the component that makes all norms alike; scaled, so that single precision does."""
-    rest = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", v, v) / most))
-    return np.concatenate([v / np.sqrt(most), rest[:, None]], 1).astype(np.float32)
+def norms(v: np.ndarray) -> np.ndarray:
+    """Norms as a column, of very long and very short vectors too."""
+    scale = np.maximum(np.abs(v).max(axis=1, keepdims=True), np.finfo(float).tiny)
+    return scale * np.linalg.norm(v / scale, axis=1, keepdims=True)
+
+
+def lifted(v: np.ndarray) -> np.ndarray:
+    """With the component that makes all norms alike; scaled to 1, so that single precision does."""
+    x = v / norms(v).max()
+    return np.concatenate([x, np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", x, x)))[:, None]], 1).astype(np.float32)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -165,31 +172,33 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return rows.filter(F.coalesce(good, F.lit(False))).distinct()
 
 
-def indexed(rows: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame, int, float]:
-    """(dim, shard, place, v, ids, edges, entry for each distinct vector: durable; number of shards; largest squared norm).
+def indexed(rows: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """(dim, size, shard, place, v, ids, edges, entry for each distinct vector: durable; dim, size and its shards).
 
-    ids: the k + 1 smallest of the vector.
+    size: a power of four that the sum of the components' sizes is about; there are 1,100 at most. ids: the k + 1 smallest of the vector.
     """
     ship(rows.sparkSession)
     first = Window.partitionBy("h", "v").orderBy("id")
     told = rows.withColumn("h", F.xxhash64("v")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
-    points = durable(told.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("v", "ids"))
-    squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    n, most = points.agg(F.count("*"), F.max(squared)).first()
-    shards, most = max(1, -(-n // shard)), most or 1.0
-    dealt = points.select(F.size("v").alias("dim"), F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int").alias("shard"), "v", "ids")
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x))  # no squares, which might be infinite or 0
+    size = F.floor(F.least(F.log2(length), F.lit(1024.0)) / 2 + 0.5).cast("int")
+    points = told.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    points = durable(points.select(F.size("v").alias("dim"), size.alias("size"), "v", "ids"))
+    kinds = [(r.dim, r.size, -(-r.n // shard)) for r in points.groupBy("dim", "size").agg(F.count("*").alias("n")).collect()]
+    shards = F.element_at(F.create_map(*(F.lit(x) for d, s, n in kinds for x in (f"{d} {s}", n))), F.concat_ws(" ", "dim", "size")) if kinds else F.lit(1)
+    dealt = points.select("dim", "size", F.pmod(F.xxhash64(F.col("ids")[0]), shards).cast("int").alias("shard"), "v", "ids")
 
     def graph(table: pa.Table) -> pa.Table:
         # The same order in whatever order rows come, so that a lost task builds the same graph again.
         lead = table["ids"].combine_chunks()
         table = table.take(pa.array(np.argsort(lead.values.to_numpy()[lead.offsets.to_numpy()[:-1]], kind="stable")))
-        edges, entry = build(lifted(_matrix(table["v"]), most))
+        edges, entry = build(lifted(_matrix(table["v"])))
         lists = pa.ListArray.from_arrays(np.arange(0, edges.size + 1, edges.shape[1], dtype=np.int32), edges.ravel())
         table = table.append_column("place", pa.array(np.arange(len(edges), dtype=np.int32))).append_column("edges", lists)
         return table.append_column("entry", pa.array(np.full(len(edges), entry, np.int32)))
 
-    schema = "dim int, shard int, v array<double>, ids array<bigint>, place int, edges array<int>, entry int"
-    return durable(dealt.groupBy("dim", "shard").applyInArrow(graph, schema)), shards, most
+    schema = "dim int, size int, shard int, v array<double>, ids array<bigint>, place int, edges array<int>, entry int"
+    return durable(dealt.groupBy("dim", "size", "shard").applyInArrow(graph, schema)), kinds
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, block: int = QUERIES, beam: int = BEAM) -> DataFrame:
@@ -201,11 +210,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
 
 def nearest_to(rows: DataFrame, asked: DataFrame, k: int, shard: int = SHARD, block: int = QUERIES, beam: int = BEAM) -> DataFrame:
     """As ``nearest``, for the queries ``asked`` (id, v, as ``usable`` gives them) against ``rows``."""
-    index, shards, most = indexed(rows, k, shard)
+    index, kinds = indexed(rows, k, shard)
     blocks = max(1, -(-asked.count() // block))
     width = max(beam, k + 1)
-    queries = asked.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "v")
-    points = index.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard", "place", "v", "ids", "edges", "entry")
+    every = F.array(*(F.struct(F.lit(d).alias("dim"), F.lit(s).alias("size"), F.lit(n).alias("shards")) for d, s, n in kinds)) if kinds else F.array().cast("array<struct<dim:int,size:int,shards:int>>")
+    queries = asked.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.filter(every, lambda x: x["dim"] == F.size("v"))).alias("kind"), "id", "v")
+    queries = queries.select("kind.dim", "kind.size", F.explode(F.sequence(F.lit(0), F.col("kind.shards") - 1)).alias("shard"), "block", "id", "v")
+    points = index.select("dim", "size", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard", "place", "v", "ids", "edges", "entry")
 
     def look(points: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple] = []
@@ -213,11 +224,10 @@ def nearest_to(rows: DataFrame, asked: DataFrame, k: int, shard: int = SHARD, bl
             points = points.take(pa.array(np.argsort(points["place"].to_numpy())))
             v, q, ids = _matrix(points["v"]), _matrix(queries["v"]), points["ids"].combine_chunks()
             members, starts = ids.values.to_numpy(), ids.offsets.to_numpy()
-            data, sq = padded(lifted(v, most))
+            data, sq = padded(lifted(v))
             edges = _matrix(points["edges"])
             edges = np.concatenate([edges, np.full((1, edges.shape[1]), len(v), np.int32)])
-            scale = np.linalg.norm(q, axis=1, keepdims=True)
-            lifted_q = np.concatenate([q / scale, np.zeros((len(q), 1))], 1).astype(np.float32)
+            lifted_q = np.concatenate([q / norms(q), np.zeros((len(q), 1))], 1).astype(np.float32)
             step = max(1, FLOATS // max(data.shape[1] * STEP * edges.shape[1], len(v)))
             names = queries["id"].to_pylist()
             for i in range(0, len(q), step):
@@ -229,7 +239,7 @@ def nearest_to(rows: DataFrame, asked: DataFrame, k: int, shard: int = SHARD, bl
         a, b, c = zip(*found, strict=True) if found else ((), (), ())
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
-    keys = ["dim", "shard", "block"]
+    keys = ["dim", "size", "shard", "block"]
     found = points.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(look, "query_id long, vec_id long, score double")
     # A row repeats an id with other vectors: its best one counts.
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
