@@ -31,8 +31,9 @@ from .runtime import durable, map_rows, once, texts
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "guess")
 LEAST_GUESSES = 8.0
-#: Words learned from the corpus at most, their letters, and occurrences at least.
-LEARNED, LETTERS, OCCURRENCES = 65_536, (3, 24), 10
+#: Words learned from the corpus at most, their letters, and how often they occur at least: a share of all words, and
+#: in small corpora, where that is less, a number that a leaked value doesn't reach.
+LEARNED, LETTERS, SHARE, OCCURRENCES = 65_536, (3, 24), 2.5e-6, 10
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_guess bigint"
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(?P<value>[A-Za-z0-9+/_.=-]+)""")
@@ -127,13 +128,17 @@ def vocabulary_words(path: str) -> list[str]:
 def learned_words(docs: DataFrame, most: int = LEARNED, text_col: str = "text") -> list[str]:
     """The corpus's frequent words, the most frequent first: all that occur at least 2**k times, k as small as ``most`` allows.
 
-    Counted over all rows, in partial sums; only words of the result come to the driver, at most ``most``.
+    Words have at least SHARE of all occurrences, so that over four million words what is learned doesn't depend on how
+    large the corpus is, and at least OCCURRENCES. Counted over all rows, in partial sums; only words of the result come to
+    the driver, at most ``most``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = F.when(text.rlike("[=:]"), F.regexp_replace(text, _CONTEXT_JVM, " ")).otherwise(text)
     low, high = LETTERS
     word = F.regexp_extract_all(F.lower(plain), F.lit(rf"(?<![\p{{L}}\p{{N}}])\p{{L}}{{{low},{high}}}(?![\p{{L}}\p{{N}}])"), F.lit(0))
-    counts = durable(docs.select(F.explode(word).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= OCCURRENCES))
+    every = durable(docs.select(F.explode(word).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    total = every.agg(F.sum("n")).first()[0] or 0
+    counts = every.filter(F.col("n") >= max(OCCURRENCES, math.ceil(SHARE * total)))
     sizes = {r.k: r.n for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()}  # a row for each k
     held, least = 0, None
     for k in sorted(sizes, reverse=True):

@@ -103,3 +103,12 @@ def test_words_are_learned_from_all_texts_but_not_from_values(spark):
     assert op.learned_words(docs, most=2) == [] and op.learned_words(docs.limit(0)) == []
     guess = op.Guesser([op.WORDS, op.learned_words(docs)])
     assert op.guessed_spans("secret: zorblat", guess) == [] and len(op.guessed_spans("secret: qhzkvxwpmt", guess)) == 1
+
+
+def test_learned_words_by_share(spark, monkeypatch):
+    """The same corpus ten times over has the same learned words, once the share is what counts."""
+    monkeypatch.setattr(op, "SHARE", 0.05)
+    text = " ".join(["gribbet"] * 40 + ["wimple"] * 20 + ["rarely"] * 11 + [f"other{chr(97 + i)}x" for i in range(26)] * 8)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    many = spark.createDataFrame([(i, text) for i in range(10)], "doc_id long, text string")
+    assert op.learned_words(docs) == op.learned_words(many) == ["gribbet", "wimple"]
