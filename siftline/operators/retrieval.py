@@ -328,3 +328,31 @@ def containing(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str
     texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     found = pairs.join(texts, "doc").filter(F.col("text").contains(F.col("part"))).select("qid", "doc")
     return found.unionAll(texts.join(short, F.col("text").contains(F.col("part"))).select("qid", "doc"))
+
+
+def size_curve(docs: DataFrame, doc: str, tokens: Column, queries: DataFrame, qid: str, gold: DataFrame, place: Column, shares: list[int], k: int = 10) -> DataFrame:
+    """share, docs, recall, ndcg of BM25 at k over growing corpora: all gold documents and ``share`` percent of the others.
+
+    place: a number from 0 to 99 for each document; corpora are nested, the last one, at 100, is whole.
+    """
+    keep = gold.select(F.col("doc").alias("_g")).distinct()
+    rows = docs.join(few(keep), F.col(doc) == F.col("_g"), "left").withColumn("_place", F.when(F.col("_g").isNotNull(), -1).otherwise(place))
+    out = None
+    for share in shares:
+        own = rows.filter(F.col("_place") < share)
+        found = graded(gold, bm25_top(own, doc, tokens, queries, qid, k), k).agg(F.avg("recall").alias("recall"), F.avg("ndcg").alias("ndcg"))
+        row = own.agg(F.count("*").alias("docs")).crossJoin(found).select(F.lit(share).alias("share"), "docs", "recall", "ndcg")  # one row each
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+def structured(questions: DataFrame, rows: DataFrame, pattern: str, columns: list[str]) -> DataFrame:
+    """qid, answer: questions of one form answered from metadata alone, by a count of the rows that have the named values.
+
+    questions: qid, text. ``pattern`` has a group for each of ``columns``; a question of another form has a null answer.
+    """
+    parts = [F.regexp_extract("text", pattern, i + 1) for i in range(len(columns))]
+    asked = questions.filter(F.col("text").rlike(pattern)).select("qid", *(p.alias(c) for p, c in zip(parts, columns, strict=True)))
+    counts = rows.groupBy(*columns).agg(F.count("*").alias("n"))
+    found = asked.join(counts, columns, "left").select("qid", F.coalesce("n", F.lit(0)).alias("answer"))
+    return questions.select("qid").join(found, "qid", "left")

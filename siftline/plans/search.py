@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import cells, chunking, leaders, segmenting
-from .queries import query
+from ..functions import text as tx
+from ..operators import cells, chunking, leaders, retrieval, segmenting
+from ..sources import io
+from .queries import _DOCS, _LATIN, _SCORED, _gold, _with, query
 
 # Leader clusters ------------------------------------------------------------------------------
 
@@ -139,3 +141,41 @@ def _(t):
     known = [r.type for r in segmenting.abbreviations(docs, "text").collect()]
     s = docs.select("doc_id", F.explode(segmenting.whole_sentences(F.col("text"), known)).alias("s"))
     return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s.text")).alias("n_chars"))
+
+
+# Arms and corpora -------------------------------------------------------------------------------
+
+_PLACE = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % 100"
+_IN_GOLD = "doc_id IN (SELECT d.doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text))"
+
+
+def _curve_sql(share: int) -> str:
+    corpus = f"(SELECT * FROM documents WHERE {_IN_GOLD} OR {_PLACE} < {share})"
+    ranked = _with(_DOCS, _SCORED, **_LATIN).replace("FROM documents)", f"FROM {corpus} c)")
+    per = f"SELECT g.qid, count(r.rank) / count(*) AS recall, coalesce(sum(1 / log2(r.rank + 1.0)), 0) / list_sum([1 / log2(i + 1.0) FOR i IN range(1, least(count(*), 10) + 1)]) AS ndcg FROM g LEFT JOIN ranked r ON r.qid = g.qid AND r.doc = g.doc AND r.rank <= 10 GROUP BY g.qid"
+    return f"({ranked}, g AS (SELECT item_id AS qid, doc_id AS doc FROM benchmark b, documents d WHERE contains(d.text, b.text)), per AS ({per}) SELECT {share} AS share, (SELECT n FROM corpus) AS docs, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg FROM per)"
+
+
+_SHARES = [25, 50, 100]
+
+
+@query("a29_corpus_size_curve", " UNION ALL ".join(map(_curve_sql, _SHARES)))
+def _(t):
+    """The share of a corpus's other documents beside those that hold an item; the last corpus is whole."""
+    docs = t("documents")
+    place = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long") % 100
+    curve = retrieval.size_curve(docs, "doc_id", tx.latin_tokens(F.col("text")), t("benchmark"), "item_id", io.kept(_gold(t), "gold"), place, _SHARES)
+    return curve.withColumns({c: F.round(c, 6) for c in ("recall", "ndcg")})
+
+
+@query("a30_structured_arm", "SELECT source || ' ' || lang AS qid, count(*) AS answer FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang UNION ALL SELECT 'other ' || lang, NULL FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) UNION ALL SELECT 'nobody ' || lang, 0 FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")
+def _(t):
+    """Questions made of the table's own sources and languages; of another form, and about nobody."""
+    docs = t("documents").select("source", "lang")
+    known = docs.filter("source IS NOT NULL AND lang IS NOT NULL").distinct()
+    ask = lambda who, text: F.struct(F.concat_ws(" ", who, "lang").alias("qid"), F.format_string(text, who, F.col("lang")).alias("text"))
+    form = "How many documents did %s publish in %s?"
+    questions = known.select(ask(F.col("source"), form).alias("q"))
+    for who, text in (("other", "What does %s say in %s?"), ("nobody", form)):
+        questions = questions.unionAll(known.select("lang").distinct().select(ask(F.lit(who), text).alias("q")))
+    return retrieval.structured(questions.select("q.*"), docs, r"^How many documents did (\S+) publish in (\S+)\?$", ["source", "lang"])
