@@ -12,6 +12,8 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,17 +63,11 @@ def postings(docs: DataFrame, doc: str, tokens: Column, terms: DataFrame | None
     return rows.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-#: A term in over a HEAVY-th of all documents is heavy.
-HEAVY = 100
-
-
 def index(docs: DataFrame, doc: str, tokens: Column, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Weighted postings (doc, term, tf, dl, idf, avgdl) and the one-row corpus table (n, avgdl).
 
     Documents without tokens count in n and avgdl. With ``terms`` (a column term, those of the queries) other
-    postings are never made; without them the corpus's tokens are added up from the postings, and weights of terms that
-    are in over a HEAVY-th of all documents go to the postings: of these there are less than HEAVY times a document's
-    terms, and they have most of the postings. Only the others' are shuffled by term.
+    postings are never made; without them the corpus's tokens are added up from the postings.
     """
     bounded = terms is not None and are_few(terms)
     post = postings(docs, doc, tokens, F.broadcast(terms) if bounded else terms)
@@ -81,14 +77,9 @@ def index(docs: DataFrame, doc: str, tokens: Column, terms: DataFrame | None = N
     # Counts look at tf, as the sum of all does, so that the postings' exchange is the same for all three uses.
     often = post.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = often.crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "avgdl", (F.col("df") * HEAVY > F.col("n")).alias("heavy"))  # one row
-    if terms is None:
-        heavy = weighted.filter("heavy").drop("heavy")
-        rest = post.join(F.broadcast(heavy.select("term")), "term", "left_anti").join(weighted.filter("NOT heavy").drop("heavy"), "term")
-        rows = post.join(F.broadcast(heavy), "term").unionByName(rest)
-    else:
-        rows = post.join(F.broadcast(weighted) if bounded else weighted, "term")  # no more rows than terms
-    return rows.select("term", "doc", "tf", "dl", "idf", "avgdl"), corpus
+    weighted = often.crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "avgdl")  # one row
+    weighted = F.broadcast(weighted) if bounded else weighted  # no more rows than terms
+    return post.join(weighted, "term").select("term", "doc", "tf", "dl", "idf", "avgdl"), corpus
 
 
 def idf(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
@@ -127,14 +118,32 @@ def bm25_top(docs: DataFrame, doc: str, tokens: Column, queries: DataFrame, qid:
     if len(pairs) > ASKED or docs.schema[doc].dataType.simpleString() not in ("bigint", "int"):
         return top(bm25(index(docs, doc, tokens, asked_terms(queries, tokens))[0], queries, qid, tokens, k1, b), k)
     schema = f"qid {asked.schema['qid'].dataType.simpleString()}, doc {docs.schema[doc].dataType.simpleString()}, score double"
+    kind, whole = (pa.from_numpy_dtype({"bigint": "int64", "int": "int32"}[x]) if x in ("bigint", "int") else pa.string() for x in (asked.schema["qid"].dataType.simpleString(), docs.schema[doc].dataType.simpleString()))
     terms = sorted({r.term for r in pairs})
     if not terms:
         return top(docs.sparkSession.createDataFrame([], schema), k)
-    cut = spread(docs.select(doc, F.coalesce(tokens, F.array().cast("array<string>")).alias("ts")), doc)
-    rows = cut.select(F.col(doc).alias("doc"), F.size("ts").cast("long").alias("dl"), F.filter("ts", lambda w: w.isin(terms)).alias("own"))
-    # A document's row under '' (no term is empty) holds its length.
-    met = rows.select("dl", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("own"))).alias("term"))
-    df = {r.term: (r.n, r.dl) for r in met.groupBy("term").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).collect()}
+    # Dealt out first, cut into tokens then.
+    rows = spread(docs, doc).select(F.col(doc).cast("long").alias("doc"), F.coalesce(tokens, F.array().cast("array<string>")).alias("ts"))
+
+    def met(batch: pa.RecordBatch, known: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token that is known its row and its number; each row's tokens."""
+        size = batch["ts"].value_lengths().to_numpy(zero_copy_only=False)
+        found = pc.index_in(batch["ts"].flatten(), value_set=pa.array(known, pa.string())).to_numpy(zero_copy_only=False)
+        some = np.flatnonzero(~np.isnan(found)) if found.dtype.kind == "f" else np.arange(len(found))
+        return np.repeat(np.arange(len(size)), size)[some], found[some].astype(np.int64), size
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, dl, df = 0, 0, np.zeros(len(terms), np.int64)
+        for batch in batches:
+            row, word, size = met(batch, terms)
+            df += np.bincount(np.unique(row * len(terms) + word) % len(terms), minlength=len(terms))
+            n, dl = n + len(size), dl + int(size.sum())
+        own = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, own]), pa.array(np.r_[n, df[own]]), pa.array(np.r_[dl, df[own] * 0])], names=["at", "n", "dl"])
+
+    # A task's row for -1 has its documents and their tokens.
+    sums = rows.mapInArrow(count, "at long, n long, dl long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
+    df = {terms[r["at"]] if r["at"] >= 0 else "": (r.n, r.dl) for r in sums.collect()}
     n, total = df.get("", (0, 0))
     known = [w for w in terms if w in df]
     at = {w: i for i, w in enumerate(known)}
@@ -144,33 +153,34 @@ def bm25_top(docs: DataFrame, doc: str, tokens: Column, queries: DataFrame, qid:
     idf = np.array([np.log(1 + (n - df[w][0] + 0.5) / (df[w][0] + 0.5)) for w in known])
     of = np.array(held, np.int64).reshape(-1, 3)
     starts = np.searchsorted(of[:, 0], np.arange(len(known) + 1))
-    sent = docs.sparkSession.sparkContext.broadcast((at, idf, of[:, 1], of[:, 2].astype(float), starts, ids, total / n if n else 0.0))
+    if not known:
+        return top(docs.sparkSession.createDataFrame([], schema), k)
+    sent = docs.sparkSession.sparkContext.broadcast((known, idf, of[:, 1], of[:, 2].astype(float), starts, ids, total / n))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, idf, query, times, starts, ids, avgdl = sent.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf, query, times, starts, ids, avgdl = sent.value
         q = len(ids)
         docs, scores = np.zeros((q, 0), np.int64), np.zeros((q, 0))
         step = max(1, SCORES // max(1, q))
         for batch in batches:
-            for i in range(0, len(batch), step):
-                part = batch.iloc[i : i + step]
-                size = part["own"].map(len).to_numpy()
-                words = np.fromiter((at[w] for own in part["own"] for w in own), np.int64, int(size.sum()))
-                cell, tf = np.unique(np.repeat(np.arange(len(part)), size) * len(idf) + words, return_counts=True)
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                row, word, size = met(part, known)
+                cell, tf = np.unique(row * len(idf) + word, return_counts=True)
                 row, word = cell // len(idf), cell % len(idf)
-                weight = idf[word] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * part["dl"].to_numpy()[row] / avgdl)) if avgdl else np.zeros(len(row))
+                weight = idf[word] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / avgdl))
                 many = starts[word + 1] - starts[word]
                 asks = np.repeat(starts[word] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                score = np.bincount(query[asks] * len(part) + np.repeat(row, many), times[asks] * np.repeat(weight, many), q * len(part)).reshape(q, -1)
+                score = np.bincount(query[asks] * part.num_rows + np.repeat(row, many), times[asks] * np.repeat(weight, many), q * part.num_rows).reshape(q, -1)
                 # The best so far meet the batch's; 0 is no common term.
                 scores = np.concatenate([scores, score], axis=1)
                 docs = np.concatenate([docs, np.broadcast_to(part["doc"].to_numpy(), score.shape)], axis=1)
                 best = np.lexsort((docs, -np.round(scores, 9)), axis=1)[:, :k]
                 docs, scores = np.take_along_axis(docs, best, 1), np.take_along_axis(scores, best, 1)
         a, c = np.nonzero(scores > 0)
-        yield pd.DataFrame({"qid": np.array(ids)[a], "doc": docs[a, c], "score": scores[a, c]})
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[a], kind), pa.array(docs[a, c], whole), pa.array(scores[a, c])], names=["qid", "doc", "score"])
 
-    return top(rows.filter("size(own) > 0").mapInPandas(run, schema), k)
+    return top(rows.mapInArrow(run, schema), k)
 
 
 def direct(docs: DataFrame, doc: str, tokens: Column, queries: DataFrame, qid: str, idf: DataFrame, corpus: DataFrame, k1: float = 1.2, b: float = 0.75, block: int = 1024) -> DataFrame:
