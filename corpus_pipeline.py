@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import decontaminate, exact_dedup, packing, similar, toxicity
+from siftline.llm import decontaminate, exact_dedup, packing, toxicity, wide_simhash
 from siftline.llm.runtime import new_folder, remove, scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,9 +35,10 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts whose sets of five-word shingles are 0.8 similar, the smallest doc_id stays.
 
-    MinHash bands find candidates and the exact similarity decides, as 64 bits of SimHash can't tell 0.8 (see the module).
+    Blocks of SimHash fingerprints find candidates and the exact similarity decides. Fingerprints are longer than
+    64 bits, as these can't tell 0.8 (see the module).
     """
-    return similar.keep_first(docs)
+    return wide_simhash.keep_first(docs)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

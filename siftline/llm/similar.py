@@ -44,6 +44,8 @@ PAIRWISE = 8
 #: Texts that share a rare shingle and meet in one task, about.
 CELL = 2048
 WORDS = HASHES // 64
+#: Whether two structs with size and bits may be that similar.
+Sift = Callable[[str, str, float], Column]
 #: A frozen stream: the same functions in every worker.
 _TIMES, _PLUS = np.frombuffer(np.random.RandomState(8).bytes(16 * HASHES), "<u8").reshape(2, HASHES) | np.uint64(1)
 
@@ -157,11 +159,11 @@ def _placed(rows: DataFrame, stars: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _verified(pairs: DataFrame, kin: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, kin: DataFrame, sets: DataFrame, similarity: float, sifted: Sift) -> DataFrame:
     """The pairs (a, b) whose sets of shingles are similar."""
     end = lambda c: kin.select(F.col("node").alias(c), F.struct("size", "bits").alias(f"k{c}"))
     items = lambda c: sets.select(F.col("node").alias(c), F.col("items").alias(f"s{c}"))
-    near = pairs.distinct().join(end("a"), "a").join(end("b"), "b").filter(_sifted("ka", "kb", similarity)).select("a", "b", (F.col("ka.size") + F.col("kb.size")).alias("both"))
+    near = pairs.distinct().join(end("a"), "a").join(end("b"), "b").filter(sifted("ka", "kb", similarity)).select("a", "b", (F.col("ka.size") + F.col("kb.size")).alias("both"))
     common = F.size(F.array_intersect("sa", "sb"))
     return near.join(items("a"), "a").join(items("b"), "b").filter(_least(common, F.col("both") - common, similarity)).select("a", "b")
 
@@ -171,23 +173,30 @@ def links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], simila
 
     distinct: node, hash, size, bits, bands, each set once; durable. sets_of: (node, hash) to (node, items).
     """
-    crowd = crowded(distinct)
+    return linked_inside(crowded(distinct), distinct, sets_of, similarity, pairwise, _sifted)
+
+
+def linked_inside(crowd: DataFrame, distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, pairwise: int, sifted: Sift) -> DataFrame:
+    """a, b: links that connect all similar texts of each block of ``crowd`` (as ``crowded`` gives it).
+
+    sifted: what sizes and bits of two texts rule out before their sets are compared.
+    """
     kin = durable(distinct.join(crowd.select("node").distinct(), "node").select("node", "hash", "size", "bits"))
     sets = durable(sets_of(kin.select("node", "hash")))
-    found = _joined(_verified(crowd.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")), kin, sets, similarity))
+    found = _joined(_verified(crowd.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")), kin, sets, similarity, sifted))
 
     # Every text has been held against its block's centre.
     few = _placed(crowd.filter((F.col("n") > 2) & (F.col("n") <= pairwise) & (F.col("node") != F.col("first"))).select("block", "node"), found)
     ordered = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
     pairs = few.alias("a").join(few.alias("b"), "block").filter(ordered).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    found = _joined(found.unionByName(_verified(pairs, kin, sets, similarity)))
+    found = _joined(found.unionByName(_verified(pairs, kin, sets, similarity, sifted)))
 
     large = _placed(crowd.filter((F.col("n") > pairwise) & (F.col("node") != F.col("first"))).select("block", "node"), found)
     mixed = large.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("block")
     member = durable(large.join(mixed, "block").select("node", "root").distinct())
     if member.isEmpty():
         return found
-    return found.unionByName(_verified(_sharing_rare(member, sets, similarity), kin, sets, similarity))
+    return found.unionByName(_verified(_sharing_rare(member, sets, similarity), kin, sets, similarity, sifted))
 
 
 def _up(c: Column, num: int, den: int) -> Column:
@@ -240,9 +249,18 @@ def _sharing_rare(member: DataFrame, sets: DataFrame, similarity: float) -> Data
 def rooted(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, hash (of the text), root (the group), component_id (its smallest doc_id) for every row."""
     wide = durable(sketches(docs, shingle, id_col, text_col))
-    distinct = durable(wide.groupBy("set", "size", "bits", "bands").agg(F.min("doc_id").alias("least"), F.min("hash").alias("hash"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     sets_of = lambda wanted: shingle_sets(docs, wanted, shingle, id_col, text_col)
-    roots = components(links(distinct, sets_of, similarity), "a", "b")
+    return grouped(wide, lambda distinct: links(distinct, sets_of, similarity))
+
+
+def grouped(wide: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, hash, root, component_id for every row of ``wide`` (doc_id, hash, set and what is the same for a set).
+
+    links_of: from the distinct sets, durable and with a node each, to links a, b.
+    """
+    own = [c for c in wide.columns if c not in ("doc_id", "hash")]
+    distinct = durable(wide.groupBy(*own).agg(F.min("doc_id").alias("least"), F.min("hash").alias("hash"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    roots = components(links_of(distinct), "a", "b")
     placed = durable(distinct.join(roots, "node", "left").select("set", "least", "n", F.coalesce("root", "node").alias("root")))
     named = durable(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
     named = durable(with_groups(placed.drop("least"), named, "root", "members", placed.count()).select("set", "n", "root", "component_id"))
@@ -263,7 +281,12 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
     Of rows that repeat that id in the group, or of a group without ids, the largest by text, then by all
     columns as JSON, stays.
     """
-    named = rooted(docs, shingle, similarity, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return survivors(docs, rooted(docs, shingle, similarity, id_col, text_col), id_col, text_col)
+
+
+def survivors(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row that ``keep_first`` keeps of each of ``groups`` (as ``rooted`` gives them)."""
+    named = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = named.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n"))
     total = rows.groupBy("root").agg(F.sum("n").alias("n"))
     keys = durable(rows.drop("n").join(total, "root"))
