@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import durable, map_rows, one_of_each, quoted, texts, whole, with_groups
+from .runtime import HOT, durable, map_rows, one_of_each, quoted, texts, whole, with_groups
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Smallest hashes of a text; bands, and hashes in each.
@@ -191,9 +191,9 @@ def linked_inside(crowd: DataFrame, distinct: DataFrame, sets_of: Callable[[Data
     pairs = few.alias("a").join(few.alias("b"), "block").filter(ordered).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     found = _joined(found.unionByName(_verified(pairs, kin, sets, similarity, sifted)))
 
-    large = _placed(crowd.filter((F.col("n") > pairwise) & (F.col("node") != F.col("first"))).select("block", "node"), found)
-    mixed = large.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("block")
-    member = durable(large.join(mixed, "block").select("node", "root").distinct())
+    large = durable(_placed(crowd.filter((F.col("n") > pairwise) & (F.col("node") != F.col("first"))).select("block", "node", "n"), found))
+    mixed = durable(large.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("n").alias("n")).filter("low != high").select("block", "n"))
+    member = durable(with_groups(large.drop("n"), mixed, "block", "n", large.count()).select("node", "root").distinct())
     if member.isEmpty():
         return found
     return found.unionByName(_verified(_sharing_rare(member, sets, similarity), kin, sets, similarity, sifted))
@@ -207,14 +207,22 @@ def _up(c: Column, num: int, den: int) -> Column:
 def _prefixes(member: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """t, node, root, size, place, short, largest, cells: the shingles that ``_sharing_rare`` joins on."""
     x = Fraction(str(similarity))
-    token = durable(member.join(sets, "node").select("node", "root", F.size("items").alias("size"), F.explode("items").alias("t")))
-    often = durable(token.groupBy("t").agg(F.count("*").alias("often")))
-    own = with_groups(token, often, "t", "often", token.count()).groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("s"))
-    size = F.col("size")
-    first = F.slice("s", F.lit(1), size - _up(size, x.numerator, x.denominator) + 1)
-    prefix = own.select("node", "root", "size", F.posexplode(first).alias("place", "x")).filter("x.often > 1")
+    own = durable(member.join(sets, "node").select("node", "root", "items", F.size("items").alias("size")))
+    total = own.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    often = durable(own.select(F.explode("items").alias("t")).groupBy("t").agg(F.count("*").alias("often")))
+    # Shingles of a large group, fewer than HOT, come last in the order: they are taken from the texts' own lists, and only others are joined.
+    is_hot = F.col("often") > max(1, total // HOT)
+    hot = F.array(*(F.lit(r.t) for r in sorted(often.filter(is_hot).collect(), key=lambda r: (r.often, r.t)))).cast("array<bigint>")
+    cold = own.select("node", F.explode(F.array_except("items", hot)).alias("t")).join(often.filter(~is_hot), "t")
+    again = F.array_sort(F.collect_list(F.when(F.col("often") > 1, F.struct("often", "t"))))
+    cold = cold.groupBy("node").agg(F.count_if(F.col("often") == 1).cast("int").alias("alone"), again["t"].alias("again"))
+    size, alone = F.col("size"), F.coalesce("alone", F.lit(0))
+    shared = F.concat(F.coalesce("again", F.array().cast("array<bigint>")), F.array_intersect(hot, F.col("items")))
+    first = F.slice(shared, F.lit(1), F.greatest(F.lit(0), size - _up(size, x.numerator, x.denominator) + 1 - alone))
+    prefix = own.join(cold, "node", "left").select("node", "root", "size", alone.alias("alone"), F.posexplode(first).alias("place", "t"))
+    prefix = prefix.withColumn("place", F.col("place") + F.col("alone")).drop("alone")
     short = F.col("place") <= size - _up(size, 2 * x.numerator, x.numerator + x.denominator)
-    prefix = durable(prefix.select("node", "root", "size", "place", F.col("x.t").alias("t"), short.alias("short")))
+    prefix = durable(prefix.withColumn("short", short))
     # Under one shingle, those outside its largest component are held against the others.
     tops = prefix.groupBy("t", "root").agg(F.count("*").alias("n"), F.max("short").alias("short"))
     tops = tops.groupBy("t").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("n"), F.max("short").alias("short"))

@@ -180,3 +180,51 @@ def test_form_letters_that_are_not_similar_are_not_paired(spark):
 def test_crowded_shingles_are_dealt_to_cells(spark, monkeypatch):
     monkeypatch.setattr(op, "CELL", 16)
     test_a_large_group_just_under_and_over_the_similarity(spark)
+
+
+def _told(known):
+    return sorted((r.t, r.node, r.root, r.size, r.place, r.short, r.largest, r.cells) for r in known.collect())
+
+
+def test_shingles_that_a_large_group_shares_are_not_joined(spark, monkeypatch):
+    """Of 400 letters from one template only their own shingles meet in a join: a fixed few from each letter."""
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(12), []
+    for i in range(400):
+        words = [f"w{k}" for k in range(200)]
+        for place in range(20, 200, 36):
+            words[place] = f"name{rng.randrange(10**9)}"
+        rows.append((i, op.shingles(" ".join(words), 5).view("int64").tolist()))
+    rows += [(400 + i, [1000 * i + k for k in range(30)] + [7] * (i % 3 == 0)) for i in range(30)] + [(500, rows[0][1][:180]), (501, [9]), (502, [9])]
+    sets = spark.createDataFrame(rows, "node long, items array<long>")
+    member = sets.select("node", F.col("node").alias("root"))
+    joined, whole = [], op.with_groups
+    monkeypatch.setattr(op, "with_groups", lambda r, *a: joined.append(r.count()) or whole(r, *a))
+    known = _told(op._prefixes(member, sets, 0.8))
+    assert sum(joined) < sum(len(x) for _, x in rows) / 8
+    # The same prefixes as by one order of all shingles, the rarest first.
+    often = {}
+    for _, items in rows:
+        for t in items:
+            often[t] = often.get(t, 0) + 1
+    want = set()
+    for node, items in rows:
+        n = len(items)
+        for place, t in enumerate(sorted(items, key=lambda t: (often[t], t))[: n - -(-n * 4 // 5) + 1]):
+            if often[t] > 1:
+                want.add((t, node, n, place, place <= n - -(-n * 8 // 9)))
+    met = {t for t, *_, short in want if short and len({w[1] for w in want if w[0] == t}) > 1}
+    assert {(t, node, n, place, short) for t, node, _, n, place, short, *_ in known} == {w for w in want if w[0] in met}
+    # However few shingles count as hot, the prefixes are these.
+    for hot in (1, 10**9):
+        monkeypatch.setattr(op, "HOT", hot)
+        assert _told(op._prefixes(member, sets, 0.8)) == known
+
+
+def test_no_task_gets_a_large_block_whole(spark, monkeypatch):
+    """Blocks that still hold several components are found again without dealing their texts by block."""
+    asked, whole = [], op.with_groups
+    monkeypatch.setattr(op, "with_groups", lambda rows, groups, key, size, total: asked.append((key, groups.agg({size: "max"}).first()[0])) or whole(rows, groups, key, size, total))
+    test_a_large_group_just_under_and_over_the_similarity(spark)
+    assert max(n or 0 for key, n in asked if key == "block") >= 100
