@@ -97,10 +97,16 @@ def sketches(docs: DataFrame, bits: int, shingle: int = SHINGLE, id_col: str = "
 
 
 def keyed(distinct: DataFrame, bits: int) -> DataFrame:
-    """block, node, w0 to w3: a row for each block of a fingerprint. A block is its number, then its bits."""
+    """block, node, w0 to w3: a row for each block of a fingerprint. A block is its number, then its bits.
+
+    A column ``without`` of ``distinct``, if there is one, names numbers of blocks that a text leaves out (null: none).
+    """
     a_word, n = 64 // bits, F.when(F.col("size") > FEW, blocks(bits)).otherwise(blocks(bits, FLIP_FEW))
+    numbers = F.sequence(F.lit(0), n - 1)
+    if "without" in distinct.columns:
+        numbers = F.array_except(numbers, F.coalesce("without", F.array().cast("array<int>")))
     value = f"shiftrightunsigned(bits[k div {a_word}], cast(k % {a_word} * {bits} as int)) & {(1 << bits) - 1}L"
-    rows = distinct.filter("size > 0").select("node", "bits", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    rows = distinct.filter("size > 0").select("node", "bits", F.explode(numbers).alias("k"))
     return rows.select(F.expr(f"shiftleft(cast(k as bigint), {bits}) | ({value})").alias("block"), "node", *(F.col("bits")[i].alias(f"w{i}") for i in range(WORDS)))
 
 
@@ -191,10 +197,12 @@ def close(distinct: DataFrame, bits: int) -> DataFrame:
     if counts.isEmpty():
         return durable(_near_in_cells(rows.withColumns({"cell": F.lit(0), "probe": yes, "own": yes}), bits))
     large = counts.select("block", "n", "c", (F.floor(F.col("n") / CROWD) + 1).cast("int").alias("cells"))
-    small = rows.join(counts.select("block"), "block", "left_anti").withColumns({"cell": F.lit(0), "probe": yes, "own": yes})
     most = F.when(F.col("block") < blocks(bits) << bits, most_bits(FLIP)).otherwise(most_bits(FLIP_FEW))
-    crowd = rows.join(counts.select("block"), "block", "left_semi")
-    crowd = durable(with_groups(durable(crowd), durable(large), "block", "n", distinct.count()))
+    crowd = durable(rows.join(counts.select("block"), "block", "left_semi"))
+    # Only rows of large blocks come out of a join on blocks: each text leaves those blocks out of its own list, for the others.
+    left_out = crowd.groupBy("node").agg(F.collect_list(F.shiftright("block", bits).cast("int")).alias("without"))
+    small = keyed(distinct.join(left_out, "node", "left"), bits).withColumns({"cell": F.lit(0), "probe": yes, "own": yes})
+    crowd = durable(with_groups(crowd, durable(large), "block", "n", distinct.count()))
     crowd = crowd.withColumn("far", _far([F.col(f"w{i}") for i in range(WORDS)], [F.col(f"c.w{i}") for i in range(WORDS)], most))
     columns = ["block", "node", *(f"w{i}" for i in range(WORDS))]
     own = crowd.select(*columns, F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell"), no.alias("probe"), yes.alias("own"))

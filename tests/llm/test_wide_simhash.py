@@ -137,3 +137,40 @@ def test_near_finds_whole_groups():
     for own in (yes, np.arange(40) < 25):
         a, b, met = op.near(order, words, yes if own is yes else np.arange(40) >= 0, own, op.FLIP)
         assert sorted(a.tolist()) == sorted(order[:20].tolist()) and len(set(b.tolist())) == 1 and (met > 0).all()
+
+
+def _joined(plan):
+    """Rows that came out of each join of an executed plan."""
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in plan.nodeName() else []
+    return own + [n for i in range(plan.children().size()) for n in _joined(plan.children().apply(i))]
+
+
+def test_joins_give_no_more_rows_than_texts_or_large_blocks_have(spark, monkeypatch):
+    """Blocks of one large group are dealt; the rows of all other blocks go through no join."""
+    rng = random.Random(6)
+    texts = [*_edited(rng, [f"w{rng.randrange(10**6)}" for _ in range(100)], 150), *(" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(450))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bits = op.width(len(texts))
+    distinct = op.durable(op.sketches(docs, bits).withColumnRenamed("doc_id", "node"))
+    sizes = [r["count"] for r in op.keyed(distinct, bits).groupBy("block").count().collect()]
+    crowd = sorted(sizes)[-10]
+    monkeypatch.setattr(op, "CROWD", crowd)
+    large, joined, dealt, cells = sum(n for n in sizes if n > crowd), [], [], op._near_in_cells
+    assert 0 < large < sum(sizes) / 5
+
+    def seen(rows, bits):
+        own = rows.filter("own").select("block", "node")
+        dealt.extend(map(tuple, own.collect()))
+        joined.extend(_joined(own._jdf.queryExecution().executedPlan()))
+        return cells(rows, bits)
+
+    monkeypatch.setattr(op, "_near_in_cells", seen)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else counts hide in the stages of the plan
+    try:
+        found = op.close(distinct, bits)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sorted(dealt) == sorted((r.block, r.node) for r in op.keyed(distinct, bits).collect())
+    assert joined and max(joined) <= max(len(texts), large)
+    assert {r.node for r in op.components(found, "a", "b").collect() if r.root == 0} == set(range(150))
