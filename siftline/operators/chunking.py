@@ -252,14 +252,23 @@ def pack_table(docs: DataFrame, doc: str, title: str, body: str, budget: int, co
     return docs.sparkSession.sql(f"SELECT doc, {fields} FROM {{rows}} r, LATERAL pack_chunks(r.title, r.body, r.s, {int(budget)}) c", rows=rows)
 
 
+#: Characters whose tokens a task holds at a time, besides those of one text.
+CUT = 1 << 19
+
+
 def segments(docs: DataFrame, doc: str, text: str, segmenter: Callable[[], Callable[[str], list[str]]]) -> DataFrame:
-    """doc, tokens: every text's tokens by a segmenter made in each task; tokens without a letter or digit are dropped, a null text has none."""
+    """doc, tokens: every text's tokens by a segmenter made in each task; tokens without a letter or digit are dropped, a null text has none.
+
+    A segmenter that has ``many`` gets a batch's texts at once.
+    """
     rows = spread(docs).select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = segmenter()
+        many = getattr(cut, "many", None) or (lambda texts: map(cut, texts))
         for batch in batches:
-            yield pd.DataFrame({"doc": batch["doc"], "tokens": [[w for w in cut(t) if any(c.isalnum() for c in w)] for t in batch["text"]]})
+            for _, rows in batch.groupby(batch["text"].str.len().cumsum() // CUT):
+                yield pd.DataFrame({"doc": rows["doc"], "tokens": [[w for w in ws if w.isalnum() or any(c.isalnum() for c in w)] for ws in many(rows["text"].tolist())]})
 
     return rows.mapInPandas(run, f"doc {rows.schema['doc'].dataType.simpleString()}, tokens array<string>")
 

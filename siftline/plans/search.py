@@ -108,10 +108,10 @@ def _(t):
 def _(t):
     """Texts without their blanks, cut by the dictionary of the texts with them."""
     docs = t("documents")
-    counts = [(r.term, r.n) for r in segmenting.dictionary(docs, "text").collect()]
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
+    cut = segmenting.BestPath((r.term, r.n) for r in segmenting.dictionary(docs, "text").collect())
+    sent = docs.sparkSession.sparkContext.broadcast(cut)
     bare = docs.select("doc_id", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_]+", "").alias("text"))
-    return chunking.segments(bare, "doc_id", "text", lambda: segmenting.BestPath(sent.value)).select("doc", F.size("tokens").cast("long").alias("n"))
+    return chunking.segments(bare, "doc_id", "text", lambda: sent.value).select("doc", F.size("tokens").cast("long").alias("n"))
 
 
 _STOPS = """t AS (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}][\\p{L}\\p{N}_.''’-]*')) AS w FROM documents),

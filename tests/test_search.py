@@ -103,6 +103,28 @@ def test_best_path_over_all_cuts():
     assert segmenting.BestPath([])("ab") == ["a", "b"]
 
 
+@pytest.mark.parametrize("chars,step,pairs", [(1 << 17, 24, 1 << 20), (50, 2, 0), (1 << 17, 10**9, 0)])
+def test_best_paths_of_many_texts(monkeypatch, chars, step, pairs):
+    """Against a plain loop over each text: short and long pieces, letters of no word, nothing at all."""
+    monkeypatch.setattr(segmenting, "CHARS", chars)
+    monkeypatch.setattr(segmenting, "STEP", step)
+    monkeypatch.setattr(segmenting, "PAIRS", pairs)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeไ語") for _ in range(rng.randrange(1, 6)))
+    cut = segmenting.BestPath({word(): rng.randrange(1, 90) for _ in range(300)}.items())
+    texts = ["", "x", "\0", "\0a\0", *("".join(rng.choice("abcde語xy_\ud800"[: rng.choice([5, 10])]) for _ in range(rng.randrange(90))) for _ in range(80)), "".join(word() for _ in range(900)), ""]
+    found = list(cut.many(texts))
+    assert [*map("".join, found)] == texts and list(cut.many([])) == [] and found[-2] == cut(texts[-2])
+    price = lambda ws: sum(min(cut.cost.get(w, math.inf), cut.alone if len(w) == 1 else math.inf) for w in ws)
+    for text, ws in zip(texts, found, strict=True):
+        best = [0.0]
+        for j in range(1, len(text) + 1):
+            best.append(min(best[i] + price([text[i:j]]) for i in range(max(0, j - 5), j)))
+        assert price(ws) == pytest.approx(best[-1])
+    even = segmenting.BestPath([(w, 1) for w in ("a", "b", "c", "d", "ab", "bc", "cd", "bcd", "z")])
+    assert list(even.many(["abc", "abcd", "dabc"])) == [["a", "bc"], ["a", "bcd"], ["d", "a", "bc"]]
+
+
 def test_best_path_finds_spaced_words_again(spark):
     docs = spark.createDataFrame([("the cat sat on the mat",), ("a cat and the dog",), (None,)], "text string")
     counts = [(r.term, r.n) for r in segmenting.dictionary(docs, "text").collect()]
