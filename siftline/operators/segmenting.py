@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.io import kept
 
 # Dictionary segmentation --------------------------------------------------------------------
 
@@ -21,9 +22,19 @@ WORDS, LONGEST = 200_000, 24
 
 
 def dictionary(docs: DataFrame, text: str, words: int = WORDS, longest: int = LONGEST) -> DataFrame:
-    """term, n: how often each word occurs in spaced texts, the ``words`` most frequent of ``longest`` characters at most."""
+    """term, n: how often each word occurs in spaced texts, the ``words`` most frequent of ``longest`` characters at most.
+
+    All words are counted into a table of their own, and how many occur so often is counted first: only words that may
+    be among the most frequent are put in order.
+    """
     terms = docs.select(F.explode(tx.unicode_tokens(F.col(text))).alias("term")).filter(F.length("term") <= longest)
-    return terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(words)
+    counts, left, least = kept(terms.groupBy("term").agg(F.count("*").alias("n")), "words"), words, 0
+    # Numbers of occurrences are few: each adds its own number to the number of all tokens.
+    for level in counts.groupBy("n").agg(F.count("*").alias("many")).orderBy(F.desc("n")).collect():
+        if left <= 0:
+            break
+        left, least = left - level.many, level.n
+    return counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(words)
 
 
 #: Characters that are cut at a time, so that tables of them stay near the processor; steps of fewer words are taken one by one.

@@ -132,6 +132,17 @@ def test_best_path_finds_spaced_words_again(spark):
     assert segmenting.BestPath(counts)("thecatandthedogsat") == ["the", "cat", "and", "the", "dog", "sat"]
 
 
+@pytest.mark.parametrize("words", [1, 3, 4, 5, 6, 99])
+def test_dictionary_sorts_what_is_frequent(spark, words):
+    docs = spark.createDataFrame([("d c b a a b b",), ("e e c, longword",), (None,)], "text string")
+    found = segmenting.dictionary(docs, "text", words, 7)
+    want = [("b", 3), ("a", 2), ("c", 2), ("e", 2), ("d", 1)]
+    assert [(r.term, r.n) for r in found.collect()] == want[:words]
+    # Words that are too rare are dropped before the order.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert f">= {want[: words][-1][1]})" in plan
+
+
 def test_abbreviations_and_sentences(spark):
     rng = random.Random(7)
     words = ["alpha", "beta", "gamma", "delta", "house", "river", "e", "and"]
