@@ -149,27 +149,14 @@ def _(t):
     return scored.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"), F.round(F.max("score"), 6).alias("best"))
 
 
-def _verified(t, asked):
-    """Scores of the asked items on all documents, by the index and by the text itself."""
-    tokens = tx.latin_tokens(F.col("text"))
-    weighted, corpus = retrieval.index(t("documents"), "doc_id", tokens, retrieval.asked_terms(asked, tokens))
-    scored = retrieval.bm25(weighted, asked, "item_id", tokens)
-    wanted = asked.select(F.explode(F.array_distinct(tokens)).alias("term")).distinct()
-    idf = wanted.join(weighted.groupBy("term").agg(F.max("idf").alias("idf")), "term")
-    direct = retrieval.direct(t("documents"), "doc_id", tokens, asked, "item_id", idf, corpus)
-    both = scored.join(direct.withColumnRenamed("score", "again"), ["qid", "doc"], "full")
-    differs = F.coalesce(F.abs(F.col("score") - F.col("again")) > 1e-9, F.lit(True))
-    return both.groupBy("qid").agg(F.count("*").alias("n"), F.count_if(differs).alias("differing"))
-
-
 @query("r6_index_verifier", _with(_DOCS, _SCORED, **_LATIN) + " SELECT qid, count(*) AS n, CAST(0 AS BIGINT) AS differing FROM scored WHERE qid % 20 = 0 GROUP BY qid")
 def _(t):
-    return _verified(t, t("benchmark").filter("item_id % 20 = 0"))
+    return retrieval.verified(t("documents"), "doc_id", tx.latin_tokens(F.col("text")), t("benchmark").filter("item_id % 20 = 0"), "item_id")
 
 
 @query("r6_index_verifier_all", _with(_DOCS, _SCORED, **_LATIN) + " SELECT qid, count(*) AS n, CAST(0 AS BIGINT) AS differing FROM scored GROUP BY qid")
 def _(t):
-    return _verified(t, t("benchmark"))
+    return retrieval.verified(t("documents"), "doc_id", tx.latin_tokens(F.col("text")), t("benchmark"), "item_id")
 
 
 # Windows ----------------------------------------------------------------------------------------

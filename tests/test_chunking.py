@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,29 @@ def test_canary_stops_another_tokenizer(spark):
         chunking.pack_counted(docs, "id", "title", "body", 20, Joined, ("a b c", 3)).collect()
 
 
+@pytest.mark.parametrize("block,scores,pairs", [(1024, 1 << 22, 1_000_000), (4, 20, 40)])
+def test_index_is_verified_where_documents_lie(spark, monkeypatch, block, scores, pairs):
+    monkeypatch.setattr(retrieval, "SCORES", scores)
+    monkeypatch.setattr(retrieval, "PAIRS", pairs)
+    rng = random.Random(5)
+    make = lambda n, k: [(i, " ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(k)))) for i in range(n)]
+    docs = spark.createDataFrame([*make(50, 30), (70, None), (71, ""), (72, "only here")], "id long, text string")
+    asked = spark.createDataFrame([*make(9, 5), (50, None), (51, "nowhere"), (52, "w1 w1 nowhere")], "id long, text string")
+    tokens = tx.latin_tokens(F.col("text"))
+    want = {r.qid: r.n for r in retrieval.bm25(retrieval.index(docs, "id", tokens)[0], asked, "id", tokens).groupBy("qid").agg(F.count("*").alias("n")).collect()}
+    check = lambda: {r.qid: (r.n, r.differing) for r in retrieval.verified(docs, "id", tokens, asked, "id", block=block).collect()}
+    assert check() == {q: (n, 0) for q, n in want.items()} and len(want) > 5
+    # Pairs aren't shuffled: texts are dealt out by their id, and counts (and the queries' own terms) by the query.
+    monkeypatch.setattr(retrieval, "few", F.broadcast)
+    plan = retrieval.verified(docs, "id", tokens, asked, "id")._jdf.queryExecution().executedPlan().toString()
+    assert sorted(re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\((.+?), \d+\)", plan)) == ["id", "id", "qid", "qid, term"]
+    # A score that is wrong, or one that is missing, is found.
+    right = retrieval.bm25
+    monkeypatch.setattr(retrieval, "bm25", lambda *a: right(*a).filter("NOT (qid = 52 AND doc < 10)").withColumn("score", F.col("score") + F.when(F.col("doc") == 20, 1e-6).otherwise(0)))
+    lost = {(r.qid, r.doc) for r in right(retrieval.index(docs, "id", tokens)[0], asked, "id", tokens).filter("doc = 20 OR qid = 52 AND doc < 10").collect()}
+    assert check() == {q: (n, sum(q == x for x, _ in lost)) for q, n in want.items()} and len(lost) > 3
+
+
 def test_direct_scores_are_those_of_the_index(spark):
     rng = random.Random(5)
     make = lambda n, k: spark.createDataFrame([(i, " ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(k)))) for i in range(n)], "id long, text string")
