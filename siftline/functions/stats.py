@@ -161,7 +161,11 @@ def delta_family(outcomes: DataFrame, pairs: list[tuple[str, str]], metrics: lis
     """
     arms = sorted({a for p in pairs for a in p})
     firsts = [F.first(m).cast("double").alias(m) for m in metrics]
-    wide = outcomes.groupBy("config", "qid", "type").pivot("arm", arms).agg(*firsts)
+    return wide_family(outcomes.groupBy("config", "qid", "type").pivot("arm", arms).agg(*firsts), pairs, metrics)
+
+
+def wide_family(wide: DataFrame, pairs: list[tuple[str, str]], metrics: list[str]) -> DataFrame:
+    """As ``delta_family`` for outcomes with a row for each query: config, type and a column for each arm, named arm_metric if metrics are several."""
     at = lambda arm, m: F.col(f"{arm}_{m}" if len(metrics) > 1 else arm)
     rows = F.array(*(F.struct(F.lit(f"{a}-{b}").alias("pair"), F.lit(m).alias("metric"), (at(a, m) - at(b, m)).alias("diff")) for a, b in pairs for m in metrics))
     long = wide.select("config", "type", F.explode(rows).alias("x"))

@@ -102,14 +102,12 @@ def _(t):
 
 @query("x9_learning_gates")
 def _(t):
-    p, rows = _Pass(t), None
-    for arm, ranked in p.arms().items():
-        own = learning.strict(p.split, p.gold, ranked, 3).withColumn("arm", F.lit(arm))
-        rows = own if rows is None else rows.unionAll(own)
-    rows = rows.join(learning.similar(p.split, p.gold), ["seed", "qid"])
-    rows = rows.select(F.when(F.col("similar"), "similar").otherwise("novel").alias("config"), F.concat_ws(":", "seed", "qid").alias("qid"), F.lit("all").alias("type"), "arm", "strict")
+    lines = t("lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("doc"), F.col("l_linenumber").alias("at"), (F.col("l_returnflag") == "R").alias("gold"))
+    n = t("part").agg(F.max("p_partkey") + 1).first()[0]
+    rows = learning.outcomes(t("orders").select(F.col("o_orderkey").alias("qid")), lines, n, _SEEDS, 5, 3)
+    rows = rows.withColumns({"config": F.when(F.col("similar"), "similar").otherwise("novel"), "type": F.lit("all")})
     pairs = [("learned", "base"), ("learned", "popularity"), ("learned", "shuffled")]
-    deltas = st.bootstrap(st.delta_family(rows, pairs, ["strict"]), "family", "diff", scale=100.0)
+    deltas = st.bootstrap(st.wide_family(rows, pairs, ["strict"]), "family", "diff", scale=100.0)
     part = lambda i: F.split(F.col("family"), "[/-]")[i]
     return learning.gates(deltas.select(part(0).alias("split"), part(2).alias("a"), part(3).alias("b"), "mean", "low", "p"))
 

@@ -6,6 +6,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftline.functions import stats as st
@@ -146,6 +147,31 @@ def test_gates(spark):
     assert all(learning.gates(spark.createDataFrame(rows, names)).first())
 
 
+def test_outcomes_of_all_arms_in_one_pass(spark):
+    """Against the arms one by one; queries without gold, docs on several lines, queries of no table."""
+    rng = random.Random(4)
+    n, k, seeds, e = 60, 4, 3, 0.6
+    rows = [(q, min(rng.randrange(n), rng.randrange(n)), at, rng.random() < 0.2) for q in range(400) for at in range(rng.randrange(1, 10))] + [(0, 7, 9, None), (None, 3, 1, True)]
+    lines = spark.createDataFrame(rows, "qid long, doc long, at int, gold boolean")
+    queries = spark.range(390).select(F.col("id").alias("qid"))
+    by = Window.partitionBy("qid").orderBy("at", "doc")
+    pool = lines.groupBy("qid", "doc").agg(F.min("at").alias("at")).select("qid", "doc", F.row_number().over(by).alias("rank")).cache()
+    golds = lines.filter("gold").select("qid", "doc").distinct().cache()
+    split = learning.split(queries, seeds).cache()
+    credit = learning.credit(learning.explored(split, pool, n, k, e), golds, n, k, e, 4.0).cache()
+    seeded = split.filter("NOT learns").select("seed", "qid").join(pool, "qid").cache()
+    arms = {"base": seeded, "learned": learning.rerank(seeded, credit), "popularity": learning.rerank(seeded, credit, text=False), "shuffled": learning.rerank(seeded, learning.shuffled(credit, n))}
+    want = {(r.seed, r.qid): [r.similar] for r in learning.similar(split, golds).collect()}
+    for ranked in arms.values():
+        for r in learning.strict(split, golds, ranked, 2).collect():
+            want[r.seed, r.qid].append(r.strict)
+    found = learning.outcomes(queries, lines, n, seeds, k, 2, e, 4.0)
+    got = {(r.seed, r.qid): [r.similar, r.base, r.learned, r.popularity, r.shuffled] for r in found.collect()}
+    assert got == want and len(got) > 200 and len({tuple(x) for x in got.values()}) > 6
+    with pytest.raises(ValueError, match="divides"):
+        learning.outcomes(queries, lines, learning.STRIDE, seeds)
+
+
 def test_bootstrap_as_plain_resampling(spark):
     rng = random.Random(5)
     diffs = [rng.choice([-1.0, 0.0, 0.0, 1.0, 1.0]) for _ in range(300)]
